@@ -37,9 +37,22 @@ BLOCK = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 6, 4
 END_ID = 1
 #: Entries of the worker's caches.
-CACHED_CHUNKS, CACHED_WORDS = 200_000, 150_000
+CACHED_CHUNKS, CACHED_WORDS = 350_000, 250_000
 # Characters at which str.split() cuts and the tokenizer's white space doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Marks that are neither letters, digits nor white space, and the end of the Latin letters.
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+LATIN_END = "\u0250"
+
+
+def _shown_bytes() -> dict[int, str]:
+    """Byte-level vocabularies show a byte as the character of that number if it prints, else as the next one from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_SHOWN = _shown_bytes()
 
 
 class _Cache(dict):
@@ -64,7 +77,9 @@ class Ids:
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks between
     white space; a chunk goes through the tokenizer's own normalizer, pre-tokenizer and model, with what is met again
-    taken from bounded caches. `closed` is false for a tokenizer of another make: whole texts are then encoded.
+    taken from bounded caches. A chunk of Latin letters, with or without a run of marks behind it, needs no
+    pre-tokenizer: the letters are one piece and the marks another. `closed` is false for a tokenizer of another make:
+    whole texts are then encoded.
     """
 
     def __init__(self, path: str):
@@ -74,7 +89,7 @@ class Ids:
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.closed = bool(spec["model"].get("end_of_word_suffix")) and first.get("type") == "Split" and first.get("invert", False)
         model = self.tok.model
-        self.words = _Cache(lambda w: np.array([t.id for t in model.tokenize(w)], "<u4").tobytes(), CACHED_WORDS)
+        self.words = _Cache(lambda w: b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(w)]), CACHED_WORDS)
         self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
 
     def _whole(self, text: str) -> bytes:
@@ -83,7 +98,11 @@ class Ids:
     def _chunk(self, chunk: str) -> bytes:
         if len(chunk) > 200 or any(s in chunk for s in self.special):
             return self._whole(chunk)
-        normal = self.tok.normalizer.normalize_str(chunk)
+        normal = chunk.lower() if chunk.isascii() else self.tok.normalizer.normalize_str(chunk)
+        letters = normal.rstrip(MARKS)
+        if letters.isalpha() and max(letters) < LATIN_END:
+            own = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
+            return self.words[own] + self.words[normal[len(letters) :]] if len(letters) < len(normal) else self.words[own]
         return b"".join([self.words[w] for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)])
 
     def __call__(self, text: str | None) -> bytes:
