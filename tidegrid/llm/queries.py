@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, simhash, url_filter
+from . import language_id, packing, quality_neighbours, quality_rules, simhash, toxicity, url_filter
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 applies.
@@ -45,11 +45,31 @@ FROM parsed p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    chain = toxicity.learn(docs, labels, ["junk", "toxic"])
+    return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality_rules.judge(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
+def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_neighbours.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_neighbours.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs))
@@ -68,7 +88,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_quality_neighbours": op7_quality_neighbours,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
 }
