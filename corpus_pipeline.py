@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import simhash
+from tidegrid.llm import mixing, packing, quality_neighbours, simhash, suffix_dedup
 from tidegrid.llm.common import settle, table
+from tidegrid.llm.queries import MAX_REPETITION, tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality_neighbours.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_neighbours.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +21,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of the texts; n_chars follows. Every document stays."""
+    left = F.col("kept_text")
+    cut = suffix_dedup.remove_repeats(docs).withColumn("text", left)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length(left).cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source is due; none goes."""
+    return mixing.mix(docs, max_repetition=MAX_REPETITION).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("source_mixing", mixture),
+    ("best_fit_packing", packed),
+]
 
-#: SQL can express neither the trained classifier nor the fingerprints; tests hold the stages against brute force.
+#: SQL can express neither the trained classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_neighbours, quality_rules, simhash, toxicity, url_filter
+from . import language_id, mixing, packing, quality_neighbours, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 applies.
@@ -20,6 +20,14 @@ URL_RULES = [
 ]
 
 
+#: Epochs that the most repeated source may have where sources are mixed.
+MAX_REPETITION = 1.5
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS t(host, path, verdict)")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -86,7 +94,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n_tokens"))
+    return mixing.mix(docs, max_repetition=MAX_REPETITION, tokens=F.col("n_tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
@@ -94,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_neighbours": op7_quality_neighbours,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": OP3_SQL}
