@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_neighbours, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from . import language_id, media, mixing, packing, quality_neighbours, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from .common import held_out, table
 
 #: (host, path, verdict) of the rules that op3 applies.
@@ -24,6 +24,12 @@ URL_RULES = [
 MAX_REPETITION = 1.5
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images: each embedding is drawn as a picture, and copies are sought among all pictures."""
+    images = media.pictures(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.copies(images).select(F.col("id").alias("vec_id"), "class_id", "n_links")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False)
 
@@ -100,6 +106,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_copies": op1_media_copies,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
