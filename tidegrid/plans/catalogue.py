@@ -259,7 +259,7 @@ def _line_parse(spark, sf_dir):
     """Lines of all events, read back."""
     e = _table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("user_id"), F.round("value", 3).alias("value"), F.col("event_id").alias("id"), (epoch.micros(F.col("ts")) * 1000).alias("time_ns"))
     p = lineproto.parse(e.select("event_id", lineproto.line("events", ["event_type", "user_id"], ["value", "id"], e, "ms").alias("line")), "ms")
-    return p.select("event_id", F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"), lineproto.typed(F.col("fields")["id"], "integer").alias("id"), F.round(lineproto.typed(F.col("fields")["value"], "float"), 3).alias("value"), F.floor(F.col("time_ns") / 1_000_000).cast("long").alias("ms"))
+    return p.select("event_id", F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"), lineproto.typed(F.col("fields")["id"], "integer").alias("id"), F.round(lineproto.typed(F.col("fields")["value"], "float"), 3).alias("value"), F.expr("time_ns div 1000000").alias("ms"))
 
 
 # Generators.
