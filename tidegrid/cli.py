@@ -58,7 +58,7 @@ def repl(session: Session, lines, write, fmt: str = "table", store: Store | None
             for e in store.search(text.partition(" ")[2].strip()) if store else []:
                 write(f"{e['id']}  {e['query']}")
             continue
-        if text and (statement := buffer.add(line)) is not None:
+        if text and (statement := buffer.add(line.rstrip("\n"))) is not None:
             try:
                 out = session.execute(statement)
                 write(render.render(out.df, fmt, out.series))

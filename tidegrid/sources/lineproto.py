@@ -49,7 +49,7 @@ def parse(lines: DataFrame, unit: str = "ns", column: str = "line") -> DataFrame
     name = _unescape(F.regexp_extract("__head", r"^((?:\\.|[^\\,])+)", 1))
     tags = pairs(F.regexp_extract("__head", r"^(?:\\.|[^\\,])+,(.*)$", 1), _unescape)
     ns = F.try_multiply(F.col("__time").try_cast("long"), F.lit(UNIT_NS[precision(unit)]).cast("long"))
-    ok = F.col("__head") != ""
+    ok = (F.col("__head") != "") & F.col("__body").contains("=")
     keep = [c for c in lines.columns if c != column]
     return rows.select(*keep, F.when(ok, name).alias("measurement"), tags.alias("tags"), pairs(F.col("__body"), lambda v: v).alias("fields"), ns.alias("time_ns"))
 
