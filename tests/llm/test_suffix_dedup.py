@@ -74,3 +74,27 @@ def test_induced_order_and_prefixes(monkeypatch):
         for a, b, n in zip(x, x[1:], lcp[1:]):
             p, q = key(a)[0], key(b)[0]
             assert n == next((k for k in range(min(len(p), len(q), cap)) if p[k] != q[k]), min(len(p), len(q), cap))
+
+
+def test_segments_do_not_depend_on_order_or_steps(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidegrid.llm.common import offsets_of
+
+    texts = pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).combine_chunks()
+
+    def segments(column, step):
+        monkeypatch.setattr(suffix_dedup, "STEP", step)
+        data, offsets = offsets_of(column)
+        start, count, key, doc = suffix_dedup.runs(data, offsets)
+        assert (np.diff(offsets)[doc] >= suffix_dedup.LENGTH).all()
+        return sorted(zip(key.tolist(), suffix_dedup._cut(data, start, count)))
+
+    order = np.random.default_rng(1).permutation(len(texts))
+    assert segments(texts, 1 << 20) == segments(texts.take(pa.array(order)), 1000)
+
+
+def test_squeezed_numbers_round_trip():
+    for a in (np.zeros(0, np.int64), np.arange(-5, 300, dtype=np.int64), np.array([1, 2**63], np.uint64), np.array([7], np.uint8)):
+        assert (suffix_dedup.unsqueeze(suffix_dedup.squeeze(a), a.dtype) == a).all()

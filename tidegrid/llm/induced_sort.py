@@ -124,11 +124,11 @@ class Sorter:
         """cap: the largest common prefix of interest, at most 200; 0: none are made."""
         self.t, self.cap, self.memory, self.base = text, cap, memory, base
         n = len(text)
+        change = np.flatnonzero(text[1:] != text[:-1])  # last places of runs of a symbol
+        up = text[change] < text[change + 1]
         rises = np.empty(n, bool)  # suffixes smaller than the one behind them
-        step = np.sign(text[1:].astype(np.int64) - text[:-1])
-        change = np.flatnonzero(step)
-        nxt = np.searchsorted(change, np.arange(n - 1))
-        rises[:-1] = step[change[np.minimum(nxt, len(change) - 1)]] > 0 if len(change) else False
+        rises[: int(change[-1]) + 1 if len(change) else 0] = np.repeat(up, np.diff(change, prepend=-1))
+        rises[int(change[-1]) + 1 if len(change) else 0 :] = False
         rises[text == 0] = True
         rises[-1] = True
         self.seeds = np.flatnonzero(rises & np.concatenate([[True], ~rises[:-1] | (text[:-1] == 0)]) & ((np.concatenate([[0], text[:-1]]) > text) | (text == 0)))

@@ -4,7 +4,7 @@ Every `LENGTH`-byte string of a document belongs to the shard of its minimizer,
 strings; equal strings have equal minimizers and so meet in one shard, whatever surrounds them. Consecutive strings
 with one minimizer form a segment.
 
-1. Documents are dealt into groups of about GROUP_BYTES. Each group sends the minimizers it has to their shards, once.
+1. Documents are dealt into groups of about GROUP_BYTES, minimizers into a shard for each SHARD_BYTES. Each group sends the minimizers it has to their shards, once.
 2. A shard answers each group with those that more than one document has; nothing else can repeat.
 3. Each group sends its segments with these minimizers, each distinct one once, with its smallest doc_id.
 4. A shard sorts the suffixes of its distinct segments by external induced sorting (see induced_sort), which also gives
@@ -29,6 +29,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,9 @@ from .common import fresh, offsets_of
 
 LENGTH = 50
 K = 24
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 16 << 20
+#: Bytes of the input for each shard; its segments are about half as many for distinct, four times as many for repeated text.
+SHARD_BYTES = 4 << 20
 #: Window starts hashed at a time.
 STEP = 1 << 20
 #: A null doc_id.
@@ -83,7 +86,13 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none
     start, count, key = (np.concatenate(c) for c in zip(*found))
-    return start, count, key, np.searchsorted(offsets, start, side="right") - 1
+    with np.errstate(over="ignore"):  # least hashes crowd near zero; they are spread again, one to one
+        key = (key ^ key >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(29)
+    doc = np.searchsorted(offsets, start, side="right") - 1
+    # Steps cut segments where they happen to end; joined again, segments don't depend on the order of documents.
+    first = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + count[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(start) else start
+    return start[first], np.add.reduceat(count, first) if len(first) else count, key[first], doc[first]
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -98,8 +107,19 @@ def _texts(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return offsets_of(pa.concat_arrays([c.cast(pa.large_binary()) for c in table.column(name).chunks]) if table.column(name).num_chunks else pa.array([], pa.large_binary()))
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def unsqueeze(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).reshape(-1)
+
+
 def _blobs(table: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
+    return [unsqueeze(x.as_py(), kind) for x in table.column(name)]
 
 
 def _one_of(key: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -127,7 +147,7 @@ def _send_keys(shards: int):
         k = k[first]
         shard = _shard(k, shards)
         cut = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [(s, key[0].as_py(), k[a:b].tobytes(), several[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        rows = [(s, key[0].as_py(), squeeze(k[a:b]), squeeze(several[a:b])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         return _table(rows, _KEYS)
 
     return of_group
@@ -148,7 +168,7 @@ def _choose(key: tuple, table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     hot = (np.diff(np.concatenate([first, [len(k)]])) > 1) | (np.maximum.reduceat(np.concatenate(several)[order], first) > 0)
     known = k[first][hot]
-    rows = [(g, mine.tobytes()) for g, own in zip(table.column("g").to_pylist(), keys) if len(mine := own[_one_of(own, known)])]
+    rows = [(g, squeeze(mine)) for g, own in zip(table.column("g").to_pylist(), keys) if len(mine := own[_one_of(own, known)])]
     return _table(rows, _CHOSEN)
 
 
@@ -176,13 +196,15 @@ def _send_segments(shards: int):
             least = of_shard[s]
             if least.get(seg, LAST + 1) > d:
                 least[seg] = d
+        packer = zstandard.ZstdCompressor(level=3)
         keys = np.unique(k)
         place = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
         rows = []
         for s, least in enumerate(of_shard):
             if least:
                 segs = sorted(least)
-                rows.append((s, key[0].as_py(), keys[place[s] : place[s + 1]].tobytes(), b"".join(segs), np.array([len(x) for x in segs], np.int64).tobytes(), np.array([least[x] for x in segs], np.int64).tobytes()))
+                sizes, owners = np.array([len(x) for x in segs], np.int32), np.array([least[x] for x in segs], np.int64)
+                rows.append((s, key[0].as_py(), squeeze(keys[place[s] : place[s + 1]]), packer.compress(b"".join(segs)), squeeze(sizes), squeeze(owners)))
         return _table(rows, _SEGMENTS)
 
     return of_group
@@ -199,8 +221,9 @@ def _sorted_shard(memory: int, base: int):
     def of_shard(key: tuple, table: pa.Table) -> pa.Table:
         least: dict[bytes, int] = {}
         lists = []
-        for blob, sizes, owners in zip(table.column("segments"), _blobs(table, "sizes", np.int64), _blobs(table, "owners", np.int64)):
-            blob, at, own = blob.as_py(), 0, []
+        unpacker = zstandard.ZstdDecompressor()
+        for blob, sizes, owners in zip(table.column("segments"), _blobs(table, "sizes", np.int32), _blobs(table, "owners", np.int64)):
+            blob, at, own = unpacker.decompress(blob.as_py()), 0, []
             for n, d in zip(sizes.tolist(), owners.tolist()):
                 seg = blob[at : at + n]
                 at += n
@@ -227,7 +250,7 @@ def _sorted_shard(memory: int, base: int):
                 i = np.fromiter((number[x] for x in own), np.int64, len(own))
                 value = low[_spread(first[i], sizes[i] - LENGTH + 1)]
                 at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-                rows.append((key[0].as_py(), g, k.as_py(), at.astype(np.int64).tobytes(), np.asarray(value[at]).tobytes()))
+                rows.append((key[0].as_py(), g, k.as_py(), squeeze(at.astype(np.int32)), squeeze(np.asarray(value[at]))))
             del low
         return _table(rows, _ANSWERS)
 
@@ -242,7 +265,7 @@ def _covered(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, answers: pa
         shard = _shard(k, shards)
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s, at, least in zip(answers.column("shard").to_pylist(), _blobs(answers, "at", np.int64), _blobs(answers, "least", np.int64)):
+        for s, at, least in zip(answers.column("shard").to_pylist(), _blobs(answers, "at", np.int32), _blobs(answers, "least", np.int64)):
             mine = order[cut[s] : cut[s + 1]]
             segs = _cut_some(data, start[mine], count[mine])
             distinct = sorted(set(segs))
@@ -289,7 +312,7 @@ def _remove(shards: int, columns: list[str], names: list[str]):
     return of_group
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None, with_text: bool = True, group_bytes: int = GROUP_BYTES, memory: int = induced_sort.MEMORY, base: int = induced_sort.BASE) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, with_text: bool = True, group_bytes: int = GROUP_BYTES, shard_bytes: int = SHARD_BYTES, memory: int = induced_sort.MEMORY, base: int = induced_sort.BASE) -> DataFrame:
     """The named columns of docs (all by default), and n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     Strings are judged on the input. kept_text is what is left, without the bytes of characters that a cut broke.
@@ -299,13 +322,13 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, with_text:
     read = list(dict.fromkeys([*columns, "doc_id", "text"]))
     g = fresh(docs, "g")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, math.ceil(size / group_bytes))
+    groups, shards = max(1, math.ceil(size / group_bytes)), max(1, math.ceil(size / shard_bytes))
     dealt = docs.select(*(f"`{c}`" for c in read)).withColumn(g, F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(g)
     slim = dealt.select("doc_id", "text", g)
-    keys = slim.groupBy(g).applyInArrow(_send_keys(groups), _KEYS)
+    keys = slim.groupBy(g).applyInArrow(_send_keys(shards), _KEYS)
     chosen = keys.groupBy("shard").applyInArrow(_choose, _CHOSEN)
-    segments = slim.groupBy(g).cogroup(chosen.groupBy("g")).applyInArrow(_send_segments(groups), _SEGMENTS)
+    segments = slim.groupBy(g).cogroup(chosen.groupBy("g")).applyInArrow(_send_segments(shards), _SEGMENTS)
     answers = segments.groupBy("shard").applyInArrow(_sorted_shard(memory, base), _ANSWERS)
     kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, kinds[n]) for n in names)])
-    return dealt.groupBy(g).cogroup(answers.groupBy("g")).applyInArrow(_remove(groups, columns, names), schema)
+    return dealt.groupBy(g).cogroup(answers.groupBy("g")).applyInArrow(_remove(shards, columns, names), schema)
