@@ -177,13 +177,21 @@ def _series_unpivot(spark, sf_dir):
     return s.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Order keys whose orders share a response body, for each status.
+_BODY_KEYS = 5000
+
+
+def _order_bodies(orders: DataFrame) -> DataFrame:
+    """Response bodies of orders: one for each status and range of keys, so that bodies don't grow with the table."""
+    cells = F.array(F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"')), F.col("o_totalprice").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')))
+    parts = orders.groupBy("o_orderstatus", F.expr(f"o_orderkey div {_BODY_KEYS}")).agg(F.array_join(F.collect_list(F.concat(F.lit("["), F.array_join(cells, ","), F.lit("]"))), ",").alias("rows"))
+    return parts.select(F.format_string('{"results":[{"statement_id":0,"series":[{"name":"orders","tags":{"o_orderstatus":"%s"},"columns":["time","value","note"],"values":[%s]}]}]}', "o_orderstatus", "rows").alias("body"))
+
+
 @_query("nrm_wire_series", "SELECT 'orders' AS name, o_orderstatus AS tag, epoch_ns(o_orderdate) AS time_ns, round(o_totalprice, 6) AS value FROM orders WHERE o_orderkey % 50 = 0")
 def _wire_series(spark, sf_dir):
-    """Orders as a response body, built and read back."""
-    o = _table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    cells = F.array(F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"')), F.col("o_totalprice").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit('"')))
-    parts = o.groupBy("o_orderstatus").agg(F.array_join(F.collect_list(F.concat(F.lit("["), F.array_join(cells, ","), F.lit("]"))), ",").alias("rows"))
-    body = parts.select(F.format_string('{"results":[{"statement_id":0,"series":[{"name":"orders","tags":{"o_orderstatus":"%s"},"columns":["time","value","note"],"values":[%s]}]}]}', "o_orderstatus", "rows").alias("body"))
+    """Orders as response bodies, built and read back."""
+    body = _order_bodies(_table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
     return wire.normalize(body).series.select("name", F.col("tags")["o_orderstatus"].alias("tag"), "time_ns", F.round("value", 6).alias("value"))
 
 
