@@ -1,5 +1,6 @@
 import duckdb
 from pyspark.sql import functions as F
+from tidegrid.functions import text
 from tidegrid.plans import catalogue
 from tidegrid.sources import wire
 
@@ -15,3 +16,12 @@ def test_bodies_hold_every_order_and_stay_bounded(spark):
     got = wire.normalize(catalogue._order_bodies(one)).series.select("name", F.col("tags")["o_orderstatus"], "time_ns", F.round("value", 6)).collect()
     want = duckdb.sql(f"SELECT 'orders', o_orderstatus, epoch_ns(o_orderdate), round(o_totalprice, 6) FROM '{SF}/orders.parquet'").fetchall()
     assert len(want) == one.count() and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_whole_texts_are_escaped(spark):
+    """Separators behind the first 200 characters too."""
+    t = F.col("text")
+    got = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", text.escape_measurement(t), text.escape_key(t), text.quote_field(t)).collect()
+    want = duckdb.sql(rf"""SELECT doc_id, replace(replace(replace(text, '\', '\\'), ',', '\,'), ' ', '\ '), replace(replace(replace(replace(text, '\', '\\'), ',', '\,'), ' ', '\ '), '=', '\='), '"' || replace(replace(text, '\', '\\'), '"', '\"') || '"' FROM '{SF}/documents.parquet'""").fetchall()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert max(len(r[1] or "") for r in want) > 1000 and sorted(map(tuple, got), key=key) == sorted(want, key=key)
