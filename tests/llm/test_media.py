@@ -75,3 +75,41 @@ def test_pictures_of_near_vectors_are_copies(spark):
 
 def test_empty_table(spark):
     assert media.copies(spark.createDataFrame([], "id long, image binary")).collect() == []
+
+
+def brute(images):
+    """(class, number of links) of each image: every pair of descriptors of every pair of images."""
+    seen = [media.describe(media.decode(x)) for x in images]
+    places = [media.unpack_places(media.pack_places(p)) for p, _ in seen]
+    root, degree = list(range(len(images))), [0] * len(images)
+    for j in range(len(images)):
+        for i in range(j):
+            x = seen[i][1][:, None, :] ^ seen[j][1][None, :, :]
+            meets = (x.reshape(*x.shape[:2], media.TABLES, -1) == 0).all(3).any(2)
+            a, b = np.nonzero(meets & (np.bitwise_count(x).sum(2) <= media.MAX_BITS))
+            if len(a) >= media.INLIERS and media.consensus(places[i][a], places[j][b]) >= media.INLIERS:
+                degree[i] += 1
+                degree[j] += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return list(zip(root, degree))
+
+
+def test_links_of_all_pairs_equal_brute_force(spark):
+    """Copies whose corners also occur, a few each, in different earlier pictures; whole buckets and cut ones."""
+    rng = np.random.default_rng(8)
+    parts = [scene(rng)[:80, :66] for _ in range(6)]
+    images = []
+    for part in parts:
+        a = scene(rng)
+        a[40:120, 60:126] = part
+        images.append(a)
+    sheet = np.vstack([np.hstack(parts[:3]), np.hstack(parts[3:])])
+    images += [sheet, sheet * 0.9 + 9, sheet * 0.8 + 20, sheet[:, :190] * 0.95]
+    images = [pgm(a) for a in images]
+    want = brute(images)
+    assert all(n >= 3 for _, n in want[6:])
+    data = spark.createDataFrame(list(enumerate(images)), "id long, image binary")
+    for bucket in (media.BUCKET, 3):
+        got = {r["id"]: (r["class_id"], r["n_links"]) for r in media.copies(data, bucket=bucket).collect()}
+        assert got == dict(enumerate(want))

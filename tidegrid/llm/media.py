@@ -5,8 +5,9 @@
 3. Each corner gets an orientation (direction of its patch's centre of mass) and BITS binary tests between smoothed
    points of the patch, turned by the orientation, so that descriptors bear turning, scaling, brightness and contrast.
 4. Hamming tables: a descriptor is cut into TABLES words and dealt by (table, word). Two descriptors that differ in
-   fewer than TABLES bits share a word. Within a bucket the pairs within MAX_BITS are found in blocks, and each member
-   is tied to the first image it matches, so a group of n copies sends n - 1 ties and not all its pairs.
+   fewer than TABLES bits share a word. Within a bucket all pairs of different images within MAX_BITS are matches, each
+   sent by the first word it shares. A bucket of more than BUCKET rows is cut into blocks, and each pair of blocks is
+   compared by itself.
 5. Geometric consensus: the matches of two images each propose a similarity transform; a pair is a link if INLIERS
    matches agree with one within TOLERANCE pixels.
 6. Links make classes (connected components).
@@ -34,6 +35,8 @@ KEYPOINTS = 48
 RADIUS = 13
 BITS, TABLES = 128, 4
 MAX_BITS = 20
+#: Rows of a bucket, or of a block of it, that are compared at once.
+BUCKET = 2048
 INLIERS = 6
 TOLERANCE = 4.0
 SEED = 29
@@ -183,7 +186,7 @@ def unpack_places(packed: np.ndarray) -> np.ndarray:
     return np.stack([x / 8, y / 8, 1 / np.array(SCALES)[packed >> 12 & 15], (packed & 4095) / 4096 * 2 * np.pi - np.pi], axis=1)
 
 
-_ROWS = "word long, image long, place long, low long, high long"
+_ROWS = "image long, place long, low long, high long"
 
 
 def _descriptor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +199,22 @@ def _descriptor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             p, d = describe(a)
             if not len(p):
                 continue
-            d = np.ascontiguousarray(d)
-            words = (d.view("<u4").astype(np.int64).reshape(-1, TABLES) | np.arange(TABLES) << 32).T.ravel()
-            halves = d.view("<i8").reshape(-1, 2)
-            cols = [words, np.full(len(words), number, np.int64), np.tile(pack_places(p), TABLES), np.tile(halves[:, 0], TABLES), np.tile(halves[:, 1], TABLES)]
+            halves = np.ascontiguousarray(d).view("<i8").reshape(-1, 2)
+            cols = [np.full(len(p), number, np.int64), pack_places(p), halves[:, 0], halves[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in _ROWS.split(", ")])
 
 
+def _dealt(described: DataFrame, bucket: int) -> DataFrame:
+    """Descriptors by word (with the table's number above its 32 bits) and pair of blocks; `own` is the row's block."""
+    words = F.array(*(F.expr(f"shiftrightunsigned({half}, {shift}) & 4294967295L | {t}L << 32") for t, (half, shift) in enumerate((h, s) for h in ("low", "high") for s in (0, 32))))
+    rows = described.withColumn("word", F.explode(words))
+    large = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select(F.col("word").alias("l_word"), F.ceil(F.col("n") / bucket).alias("blocks"))
+    cut = rows.join(large, F.col("word") == F.col("l_word"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    own = cut.withColumn("own", F.pmod(F.xxhash64("image", "place"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.shiftleft(F.least("own", "other"), 32).bitwiseOR(F.greatest("own", "other"))
+    return own.select("word", pair.alias("pair"), "own", "image", "place", "low", "high")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Whole groups of rows that are equal in the first `keys` columns, many at a time; rows come sorted."""
     held: list[pa.RecordBatch] = []
@@ -229,24 +241,33 @@ _MATCHES = "a long, b long, a_place long, b_place long"
 
 
 def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets, sorted by word and image: ties of each descriptor to the first image before it that matches."""
-    for t in _groups(batches, 1):
-        word, image, place = (t.column(c).to_numpy() for c in ("word", "image", "place"))
+    """Pairs of blocks, sorted by word, pair and image: all matches of descriptors of different images."""
+    for t in _groups(batches, 2):
+        word, pair, own, image, place = (t.column(c).to_numpy() for c in ("word", "pair", "own", "image", "place"))
         bits = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("low", "high")], axis=1)
-        cut = np.flatnonzero(np.diff(word)) + 1
-        left, right = [], []
-        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(word)]])
-        some = image[first] != image[last - 1]
-        for a, b in zip(first[some].tolist(), last[some].tolist()):
-            rest = np.arange(a, b)
-            while len(rest) > 1 and image[rest[0]] != image[rest[-1]]:
-                near = np.bitwise_count(bits[rest[0]] ^ bits[rest[1:]]).sum(axis=1) <= MAX_BITS
-                hit = rest[1:][near & (image[rest[1:]] != image[rest[0]])]
-                left += [rest[0]] * len(hit)
-                right += hit.tolist()
-                rest = np.setdiff1d(rest[1:], hit, assume_unique=True)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (image[left], image[right], place[left], place[right])], ["a", "b", "a_place", "b_place"])
+        cross = pair >> 32 != pair & 0xFFFFFFFF
+
+        def matches(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            some = (image[i] != image[j]) & ~(cross[i] & (own[i] == own[j]))
+            i, j = i[some], j[some]
+            x = bits[i] ^ bits[j]
+            near = np.bitwise_count(x).sum(axis=1) <= MAX_BITS
+            near &= (x.view("<u4").reshape(-1, TABLES) == 0).argmax(axis=1) == word[i] >> 32
+            i, j = i[near], j[near]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (image[i], image[j], place[i], place[j])], ["a", "b", "a_place", "b_place"])
+
+        first = np.concatenate([[0], np.flatnonzero((word[1:] != word[:-1]) | (pair[1:] != pair[:-1])) + 1])
+        size = np.diff(np.concatenate([first, [len(word)]]))
+        number, small = np.repeat(np.arange(len(first)), size), np.repeat(size <= 16, size)
+        for step in range(1, 16):
+            i = np.flatnonzero(small[:-step] & (number[:-step] == number[step:])) if len(word) > step else np.zeros(0, int)
+            if not len(i):
+                break
+            yield matches(i, i + step)
+        for a, n in zip(first[size > 16].tolist(), size[size > 16].tolist()):
+            for k in range(0, n, 256):
+                i, j = np.triu_indices(min(256, n - k), 1, n - k)
+                yield matches(a + k + i, a + k + j)
 
 
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
@@ -276,13 +297,13 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
 
-def copies(images: DataFrame, id_column: str = "id", image_column: str = "image") -> DataFrame:
+def copies(images: DataFrame, id_column: str = "id", image_column: str = "image", bucket: int = BUCKET) -> DataFrame:
     """id, class_id (the smallest id of the class) and n_links (verified links of the image's bytes) of each row."""
     rows = settle(images.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{image_column}`").alias("image")).withColumn("number", F.monotonically_increasing_id()).withColumn("digest", F.coalesce(F.sha2("image", 256), F.concat(F.lit("null-"), F.col("number").cast("string")))), "images")
     first = rows.groupBy("digest").agg(F.min("number").alias("first"), F.min("id").alias("least"))
     distinct = settle(rows.join(first, rows["number"] == F.col("first"), "left_semi").select("number", "image"), "distinct")
-    described = distinct.mapInArrow(_descriptor_batches, _ROWS)
-    matches = described.repartition("word").sortWithinPartitions("word", "image").mapInArrow(_match_batches, _MATCHES)
+    described = settle(distinct.mapInArrow(_descriptor_batches, _ROWS), "described")
+    matches = _dealt(described, bucket).repartition("word", "pair").sortWithinPartitions("word", "pair", "image").mapInArrow(_match_batches, _MATCHES)
     links = settle(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_link_batches, "a long, b long").distinct(), "links")
     roots = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("d_first")).groupBy("d_first").agg(F.count("*").alias("n_links"))
