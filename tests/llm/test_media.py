@@ -113,3 +113,17 @@ def test_links_of_all_pairs_equal_brute_force(spark):
     for bucket in (media.BUCKET, 3):
         got = {r["id"]: (r["class_id"], r["n_links"]) for r in media.copies(data, bucket=bucket).collect()}
         assert got == dict(enumerate(want))
+
+
+def test_small_crop_of_a_less_contrasty_part_is_found(spark):
+    """The crop has none of the strongest corners of the large picture."""
+    rng = np.random.default_rng(12)
+    a = np.hstack([np.vstack([scene(rng) for _ in range(3)]) for _ in range(3)])
+    a[:160, :200] = 120 + (a[:160, :200] - 120) * 0.8
+    crop = a[20:140, 30:170]
+    p, _ = media.describe(media.decode(pgm(a)))
+    x, y = p[:48, 0], p[:48, 1]
+    assert ((x >= 30) & (x < 170) & (y >= 20) & (y < 140)).sum() < media.INLIERS
+    rows = [(0, pgm(a)), (1, pgm(crop)), (2, pgm(scene(rng)))]
+    out = {r["id"]: r["class_id"] for r in media.copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert out == {0: 0, 1: 0, 2: 2}

@@ -1,7 +1,7 @@
 """Copies among images by local descriptors.
 
 1. Images (binary PGM, PPM or 8-bit PNG) are decoded to grey values; images with equal bytes are collapsed first.
-2. Corners: local maxima of the Harris measure on a pyramid of SCALES, the KEYPOINTS strongest of an image.
+2. Corners: local maxima of the Harris measure on a pyramid of SCALES, all that pass a share of the strongest.
 3. Each corner gets an orientation (direction of its patch's centre of mass) and BITS binary tests between smoothed
    points of the patch, turned by the orientation, so that descriptors bear turning, scaling, brightness and contrast.
 4. Hamming tables: a descriptor is cut into TABLES words and dealt by (table, word). Two descriptors that differ in
@@ -31,7 +31,6 @@ from .common import settle
 from .simhash import connected
 
 SCALES = (1.0, 0.8, 0.64)
-KEYPOINTS = 48
 RADIUS = 13
 BITS, TABLES = 128, 4
 MAX_BITS = 20
@@ -40,6 +39,8 @@ BUCKET = 2048
 INLIERS = 6
 TOLERANCE = 4.0
 SEED = 29
+#: Corners described at a time.
+STEP = 2048
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -135,6 +136,17 @@ _YX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_YX**2).sum(0) <= RADIUS**2
 
 
+def _turned(a: np.ndarray, smooth: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(angle, descriptor) of the corners at y, x."""
+    patch = a[y[:, None, None] + _YX[0], x[:, None, None] + _YX[1]] * _DISC
+    angle = np.arctan2((patch * _YX[0]).sum((1, 2)), (patch * _YX[1]).sum((1, 2)))
+    c, n = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+    px = x[:, None, None] + c * _TESTS[None, :, :, 0] - n * _TESTS[None, :, :, 1]
+    py = y[:, None, None] + n * _TESTS[None, :, :, 0] + c * _TESTS[None, :, :, 1]
+    v = smooth[np.rint(py).astype(int), np.rint(px).astype(int)]
+    return angle, np.packbits(v[:, :, 0] < v[:, :, 1], axis=1)
+
+
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keypoints: x, y, scale, angle in the image's own pixels; descriptors: (n, BITS / 8) bytes)."""
     points, bits, strength = [], [], []
@@ -155,21 +167,16 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y, x = np.nonzero(best)
         if not len(y):
             continue
-        keep = np.argsort(-core[y, x], kind="stable")[:KEYPOINTS]
-        y, x = y[keep] + m, x[keep] + m
+        strength.append(core[y, x])
+        y, x = y + m, x + m
         smooth = _box(a, 2)
-        patch = a[y[:, None, None] + _YX[0], x[:, None, None] + _YX[1]] * _DISC
-        angle = np.arctan2((patch * _YX[0]).sum((1, 2)), (patch * _YX[1]).sum((1, 2)))
-        c, n = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        px = x[:, None, None] + c * _TESTS[None, :, :, 0] - n * _TESTS[None, :, :, 1]
-        py = y[:, None, None] + n * _TESTS[None, :, :, 0] + c * _TESTS[None, :, :, 1]
-        v = smooth[np.rint(py).astype(int), np.rint(px).astype(int)]
-        bits.append(np.packbits(v[:, :, 0] < v[:, :, 1], axis=1))
-        strength.append(core[y - m, x - m])
-        points.append(np.stack([x / s, y / s, np.full(len(x), 1 / s), angle], axis=1))
+        for k in range(0, len(y), STEP):
+            angle, d = _turned(a, smooth, y[k : k + STEP], x[k : k + STEP])
+            bits.append(d)
+            points.append(np.stack([x[k : k + STEP] / s, y[k : k + STEP] / s, np.full(len(angle), 1 / s), angle], axis=1))
     if not points:
         return np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
-    top = np.argsort(-np.concatenate(strength), kind="stable")[:KEYPOINTS]
+    top = np.argsort(-np.concatenate(strength), kind="stable")
     return np.concatenate(points)[top], np.concatenate(bits)[top]
 
 
