@@ -259,3 +259,13 @@ def test_mixture_odd_input(spark):
     assert sorted(str(r["doc_id"]) for r in got) == ["5", "5", "6", "7", "None"]
     df = spark.createDataFrame([(1, "a", "x", 9)], "doc_id long, source string, text string, MIX_EPOCH int")
     assert mixing.mix(df).columns == ["doc_id", "source", "text", "mix_epoch", "mix_block", "mix_order", "mix_weight"]
+
+
+def test_language_dictionaries_take_every_sampled_text(spark):
+    """Also from behind the texts' common first kilobyte."""
+    rows = [(i, f"{'boilerplate ' * 90}{f'mark{chr(97 + i // 26)}{chr(97 + i % 26)} ' * 300}", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    used = language_id.bounded_sample(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "lang"), docs, ["lang"], 256)
+    made = language_id.learn(docs)["en"]
+    assert len(used) > 100 and len(made) <= language_id.DICT_BYTES
+    assert all(f"mark{chr(97 + r['doc_id'] // 26)}{chr(97 + r['doc_id'] % 26)}".encode() in made for r in used)

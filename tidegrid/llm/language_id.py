@@ -5,7 +5,8 @@ reduced to lower-case letters (and bytes beyond ASCII) with single spaces betwee
 smallest total wins. Narrow wins are rejected: `accepted` is false where the second best total exceeds the best by less
 than MIN_MARGIN of it; the prediction itself is still given.
 
-Fitted on at most TEXTS_PER_LANGUAGE texts a language, each of at most FIT_TEXT_BYTES, cut to DICT_BYTES in all; every
+Fitted on at most TEXTS_PER_LANGUAGE texts a language, each of at most FIT_TEXT_BYTES, with an even share of DICT_BYTES from
+two places of every text; every
 document is scored, whole.
 
 Nulls and odd input: a null text, or one without a letter, is "und" with score 0, as is every text if no language could
@@ -43,6 +44,15 @@ def letters(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode().translate(_LETTERS).split()) + b" "
 
 
+def _slices(text: bytes, size: int, places: int = 2) -> bytes:
+    """At most size bytes of a text: all of it, or equal slices from the middles of its parts."""
+    if len(text) <= size:
+        return text
+    part = max(1, size // places)
+    middles = [len(text) * (2 * i + 1) // (2 * places) for i in range(places)]
+    return b"".join(text[m - part // 2 : m - part // 2 + part] for m in middles)[:size]
+
+
 def learn(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw dictionary content by language, from documents with a language that aren't held out."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
@@ -52,8 +62,7 @@ def learn(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, dict_bytes: i
             out.setdefault(r["lang"], []).append(letters(r["text"]))
     made = {}
     for lang, texts in sorted(out.items()):
-        each = max(512, dict_bytes // len(texts))
-        made[lang] = b"".join(t[:each] for t in texts)[-dict_bytes:]
+        made[lang] = b"".join(_slices(t, dict_bytes // len(texts)) for t in texts)
     return made
 
 
