@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import re
 import tempfile
 import uuid
@@ -9,14 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are the maximal runs of characters other than these (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Texts above this many bytes are not used to fit models (they are still scored whole).
+#: Default bound on the bytes of a text that a model is fitted on (longer ones are still scored whole).
 FIT_TEXT_BYTES = 65_536
+#: Cells that hashes of labelled rows are dealt into for each row wanted, rows kept in each, and rows drawn for each wanted.
+CELL_ROWS, SPARE = 16, 2
+#: Rows that may be broadcast: a sample of labelled ids is checked against it.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in its absence (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in its absence a temporary one where all run in one process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidegrid-"))
     return sc.getCheckpointDir()
 
@@ -36,7 +45,50 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage is cut and the rows outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that no later step reads."""
+    for df in tables:
+        path = df.__dict__.pop("_settled_path", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch_file():
+    """A nameless file on the worker's own disk, in Spark's local folder, for one task's use."""
+    return tempfile.TemporaryFile(dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None)
+
+
+def trim() -> None:
+    """Give freed memory back, as Python workers live on and are used again by other stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        return
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
+
+def unsqueeze(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).view(kind).reshape(-1)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... count[i] of them, for all i."""
+    total = int(count.sum())
+    base = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) if len(count) else np.zeros(0, np.int64)
+    return base + np.arange(total)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -60,26 +112,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
-def bounded_sample(labelled: DataFrame, docs: DataFrame, classes: list[str], per_class: int, seed: int = 17) -> list[dict]:
-    """At most per_class rows for each combination of `classes`, evenly drawn, with their texts, on the driver.
+def _least(df: DataFrame, by: list, order: list, most: int) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
+
+
+def bounded_sample(labelled: DataFrame, docs: DataFrame, classes: list[str], per_class: int, seed: int = 17, max_bytes: int = FIT_TEXT_BYTES) -> list[dict]:
+    """At most per_class rows for each combination of `classes`, with their texts of at most max_bytes, on the driver.
 
-    labelled: doc_id and the class columns; a hash of doc_id deals each class into per_class cells and each cell
-    keeps the row with the smallest hash, so that the result is bounded, even and the same for any partitioning.
-    Texts over FIT_TEXT_BYTES are passed over. Rows with a null id or class aren't used.
+    labelled: doc_id and the class columns. Rows are drawn by the smallest hashes of doc_id, so the sample is bounded and
+    the same for any partitioning: hashes are dealt into cells, cells keep CELL_ROWS rows each, of these SPARE * per_class
+    rows are looked up among the documents, and the first per_class that have a usable text are taken. Rows with a null
+    id or class aren't used; of documents with one id the smallest text counts.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    usable = docs.where(F.octet_length("text") <= FIT_TEXT_BYTES).select("doc_id", "text")
-    cells = (
-        labelled.select("doc_id", *classes)
-        .where(F.col("doc_id").isNotNull())
-        .dropna(subset=classes)
-        .withColumn("__h", h)
-        .withColumn("__cell", F.pmod("__h", F.lit(per_class)))
-        .groupBy(*classes, "__cell")
-        .agg(F.min_by("doc_id", F.col("__h")).alias("doc_id"))
-        .select("doc_id", *classes)
-    )
-    rows = usable.join(F.broadcast(cells), "doc_id").orderBy("doc_id", *classes, "text").toArrow().to_pylist()
+    known = labelled.select("doc_id", *classes).where(F.col("doc_id").isNotNull()).dropna(subset=classes).distinct()
+    known = known.withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("__cell", F.pmod("__h", F.lit(per_class)))
+    cells = _least(known, [*classes, "__cell"], ["__h", "doc_id"], CELL_ROWS)
+    drawn = settle(_least(cells, classes, ["__h", "doc_id"], SPARE * per_class).drop("__cell"), "drawn")
+    usable = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text")
+    few = drawn.count() <= BROADCAST_ROWS
+    found = usable.join(F.broadcast(drawn) if few else drawn, "doc_id").groupBy("doc_id", *classes, "__h").agg(F.min("text").alias("text"))
+    rows = _least(found, classes, ["__h", "doc_id"], per_class).drop("__h").orderBy("doc_id", *classes).toArrow().to_pylist()
+    discard(drawn)
     seen, kept = set(), []
     for r in rows:
         if r["doc_id"] not in seen:

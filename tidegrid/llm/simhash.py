@@ -14,13 +14,31 @@ by key; within a bucket all members are compared, in blocks, and only the edges
 Components are then found over fingerprints by alternating large-star and small-star steps, each written to the shared
 folder, and given back to documents.
 
+Near copies by similarity (near_copies, one_of_each) are groups of texts whose sets of `words`-word shingles have a
+Jaccard similarity of `similarity` or more (five and 0.8 by default). At 0.8 some 15 % of SimHash bits differ, so a
+wider fingerprint of six 23-bit segments is used: its keys are a codeword of each of two segments (15 pairs of segments,
+28 keys each on average), and rows that meet are candidates if their other four segments differ in no more bits than
+all but one in 200 pairs of that similarity do. Every candidate that counts is then verified on the whole texts:
+
+* distinct shingle sets are nodes; buckets of up to 8 nodes give all candidate pairs, larger ones a spanning forest of
+  theirs, so copies are never expanded into all pairs;
+* of each node first the pair with the smallest partner is verified, then pairs that still lie in different groups;
+* where a pair of a forest fails, the members of its component are dealt out again, and all candidate pairs between
+  different groups are verified. So a verified pair is never lost to the forest.
+
+A pair of similarity 0.8 exactly meets in some bucket with probability 0.96 (0.85: 0.99, 0.9: 0.998).
+
 Nulls and odd input: a null or wordless text has fingerprint zero and is linked like any other; a null doc_id takes
 part and never becomes a component's id (a component of null ids only has a null id); repeated rows and ids stay as
-they are; empty tables give empty tables; other columns aren't read.
+they are; empty tables give empty tables; other columns aren't read. In near_copies a text of fewer words than a shingle
+is one shingle, and texts without words are copies of each other. one_of_each keeps of each group the first row by
+doc_id, then by a hash of the row; rows with a null doc_id can't be named as copies and all stay; rows that are equal in
+every column count as one.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -31,7 +49,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, settle, word_runs
+from . import buckets
+from .common import as_bytes, discard, settle, trim, word_runs
 
 # Bits of the segments, and the generator polynomial of the (23, 12) Golay code,
 # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -39,6 +58,17 @@ SEGMENT_BITS = (23, 23, 18)
 GENERATOR = 0b110001110101
 HASH_SEED = 42
 MAX_BITS = 3
+#: Distinct fingerprints of a task that makes keys.
+KEY_ROWS = 20_000
+# Odd constants that the hashes of a shingle's words are multiplied by (the fractional part of the golden
+# ratio, and the mixing constants of the 64-bit finalizers in the literature).
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+#: Near copies: words of a shingle, similarity, segments of the wide fingerprint, and keys of a part.
+WORDS, SIMILARITY = 5, 0.8
+SEGMENTS = 6
+PART_KEYS = 1 << 20
+#: Nodes whose keys are made at once.
+NODES = 4096
 
 
 def fingerprint(data: bytes, words_per_shingle: int = 3) -> int:
@@ -206,9 +236,10 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush(np.concatenate(keys), np.concatenate(fps))
 
 
-def links(distinct_fps: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, whose components are those of all pairs of fingerprints within 3 bits."""
-    keyed = distinct_fps.select("fp").mapInArrow(_key_batches, "key long, fp long")
+def links(distinct_fps: DataFrame, tasks: int = 0) -> DataFrame:
+    """Edges (a, b), a < b, whose components are those of all pairs of fingerprints within 3 bits; keys are made in `tasks` tasks, if given."""
+    dealt = distinct_fps.select("fp").repartition(tasks, "fp") if tasks else distinct_fps.select("fp")
+    keyed = dealt.mapInArrow(_key_batches, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_edge_batches, "a long, b long").distinct()
 
 
@@ -223,7 +254,8 @@ def connected(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = settle(small, "edges")
+        before, now = now, settle(small, "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == was:
             break
@@ -234,15 +266,236 @@ def connected(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and component_id (the smallest doc_id of the component) of each row."""
     fps = settle(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema), "fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(links(nodes))
+    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
+    roots = connected(links(nodes, max(1, math.ceil(nodes.count() / KEY_ROWS))))
     member = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(ids, "root").select(F.col("fp").alias("n_fp"), "component_id")
     return fps.join(named, fps["fp"] == named["n_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id (one row of it), and all with a null id."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("s_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["s_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+# Near copies by similarity.
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * np.uint64(MIX[5])
+    h = (h ^ h >> np.uint64(29)) * np.uint64(MIX[6])
+    return h ^ h >> np.uint64(32)
+
+
+def shingles(data: bytes, words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of that many words (A-Z lower-cased); of the whole sequence, if it is shorter."""
+    found, carry, n = [], np.zeros(0, np.uint64), 0
+    scale = np.array([MIX[k % len(MIX)] + 2 * k for k in range(words)], np.uint64)
+    with np.errstate(over="ignore"):
+        for run in word_runs(data.lower()):
+            w = np.concatenate([carry, np.fromiter(map(xxhash.xxh64_intdigest, run), np.uint64, len(run))])
+            m = len(w) - words + 1
+            if m > 0:
+                h = w[:m] * scale[0]
+                for k in range(1, words):
+                    h += w[k : k + m] * scale[k]
+                found.append(np.unique(_mixed(h)))
+                n += m
+            carry = w[max(0, m) :]
+        if not n and len(carry):
+            found.append(_mixed(np.array([(carry * scale[: len(carry)]).sum(dtype=np.uint64) + np.uint64(len(carry))], np.uint64)))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """SEGMENTS words of 23 bits: a bit is set if it is set in over half of the (mixed) hashes."""
+    with np.errstate(over="ignore"):
+        counts = np.concatenate([_bit_counts(h if not k else _mixed(h + np.uint64(MIX[k]))) for k in range(3)])
+    bits = (counts * 2 > len(h))[: 23 * SEGMENTS].reshape(SEGMENTS, 23)
+    return bits @ (1 << np.arange(23))
+
+
+def candidate_limit(similarity: float) -> int:
+    """Bits of four segments that all but one in 200 pairs of that similarity differ in at most."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    n = 23 * (SEGMENTS - 2)
+    return math.ceil(n * p + 2.58 * math.sqrt(n * p * (1 - p)))
+
+
+_FACTS = "row_hash long, set_high long, set_low long, " + ", ".join(f"s{k} int" for k in range(SEGMENTS))
+
+
+def _fact_batches(words: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            facts, sets = np.zeros((b.num_rows, SEGMENTS), np.int32), np.zeros((b.num_rows, 2), np.int64)
+            for i, x in enumerate(as_bytes(b.column(1))):
+                h = shingles(x, words)
+                facts[i] = wide_fingerprint(h)
+                sets[i] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+            cols = [b.column(0), b.column(2), *(pa.array(sets[:, k]) for k in (0, 1)), *(pa.array(facts[:, k]) for k in range(SEGMENTS))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f.split()[0] for f in _FACTS.split(", "))])
+        trim()
+
+    return batches
+
+
+_PAIRS = list(combinations(range(SEGMENTS), 2))
+
+
+def _node_keys(parts: int):
+    """Rows: node, tag, segments. Each pair of segments has parts of its own."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, NODES):
+                b = batch.slice(at, NODES)
+                node, tag, *segs = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+                near = [codewords(s) for s in segs]
+                for family, (s, t) in enumerate(_PAIRS):
+                    code = (near[s][:, :, None] << 12 | near[t][:, None, :]).reshape(len(node), -1)
+                    ok = ((near[s] >= 0)[:, :, None] & (near[t] >= 0)[:, None, :]).reshape(len(node), -1)
+                    r, c = np.nonzero(ok)
+                    code = code[r, c]
+                    part = (code * 0x9E3779B1 >> 8) % parts + family * parts
+                    order = np.argsort(part << 24 | code)
+                    r, code, part = r[order], code[order], part[order]
+                    u, v, x, y = (segs[k] for k in range(SEGMENTS) if k not in (s, t))
+                    low, high = (u | v << 23 | (x & 0x3FFFF) << 46).astype(np.uint64), (x >> 18 | y << 5).astype(np.uint32)
+                    yield buckets.cut(part, [code.astype(np.uint32), node[r], tag[r], low[r], high[r]])
+
+    return batches
+
+
+_CANDIDATES = "a long, b long, root long, part long"
+_CANDIDATE_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _CANDIDATES.split(", ")])
+
+
+def _candidates(limit: int, across: bool):
+    """Pairs of nodes of a part: a < b, and the component of a forest that they are from (-1: of a small bucket). With `across`: all pairs with different tags."""
+
+    def of_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, node, tag, low, high = buckets.gathered(batches, [np.uint32, np.int64, np.int64, np.uint64, np.uint32])
+        order = np.lexsort((node, code))
+        code, node, tag, low, high = code[order], node[order], tag[order], low[order], high[order]
+        found = buckets.cross_pairs(code, [low, high], limit, tag) if across else buckets.forest(code, [low, high], limit)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def made() -> pa.RecordBatch:
+            i, j, root = (np.concatenate(c) for c in zip(*held))
+            e = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), root], axis=1), axis=0)
+            e = e[e[:, 0] != e[:, 1]]
+            return pa.RecordBatch.from_arrays([*(pa.array(e[:, k]) for k in range(3)), pa.array(np.full(len(e), key[0].as_py()))], schema=_CANDIDATE_ARROW)
+
+        for f in found:
+            held.append(f if len(f) == 3 else (*f, np.full(len(f[0]), -1, np.int64)))
+            if sum(len(h[0]) for h in held) > buckets.BLOCK:
+                yield made()
+                held = []
+        if held:
+            yield made()
+        trim()
+
+    return of_part
+
+
+def _candidate_pairs(nodes: DataFrame, n: int, limit: int, across: bool) -> DataFrame:
+    """nodes: node, tag, segments; n: how many there are."""
+    parts = max(1, math.ceil(n * 28.4 / PART_KEYS))
+    dealt = nodes.select("node", "tag", *(f"s{k}" for k in range(SEGMENTS))).repartition(max(1, math.ceil(n / KEY_ROWS)), "node")
+    return dealt.mapInArrow(_node_keys(parts), buckets.schema(5)).groupBy("part").applyInArrow(_candidates(limit, across), _CANDIDATES)
+
+
+def _jaccard(words: int, similarity: float):
+    """Rows: a, b, text of a, text of b; which pairs are similar enough."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        for batch in it:
+            out = []
+            for a, x, y in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3))):
+                if known[0] != a:
+                    known = a, shingles(x, words)
+                h = shingles(y, words)
+                both = len(np.intersect1d(known[1], h, assume_unique=True))
+                out.append(both >= similarity * (len(h) + len(known[1]) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "near"])
+        trim()
+
+    return batches
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b, near) of pairs of nodes, by their whole texts."""
+    x, y = (texts.select(F.col("node").alias(f"{n}_node"), F.col("text").alias(f"{n}_text")) for n in "xy")
+    met = pairs.join(x, pairs["a"] == x["x_node"]).join(y, pairs["b"] == y["y_node"]).select("a", "b", "x_text", "y_text")
+    return settle(met.mapInArrow(_jaccard(words, similarity), "a long, b long, near boolean"), "verified")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose nodes have different roots (a node without one is its own), with these roots."""
+    x, y = (roots.select(F.col("node").alias(f"{n}_node"), F.col("root").alias(f"{n}_root")) for n in "xy")
+    met = pairs.join(x, pairs["a"] == x["x_node"], "left").join(y, pairs["b"] == y["y_node"], "left")
+    return met.withColumn("x_root", F.coalesce("x_root", "a")).withColumn("y_root", F.coalesce("y_root", "b")).where("x_root <> y_root").drop("x_node", "y_node")
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [f"`{f.name}`" for f in df.schema.fields if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+
+
+def _facts(docs: DataFrame, words: int) -> DataFrame:
+    rows = docs.select("doc_id", "text", F.xxhash64(*_hashable(docs)).alias("row_hash"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return settle(rows.mapInArrow(_fact_batches(words), f"doc_id {kind}, {_FACTS}"), "facts")
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(facts of each row with their node, roots of the nodes that have copies)."""
+    facts, limit = _facts(docs, words), candidate_limit(similarity)
+    own = F.min(F.struct("doc_id", "row_hash")).alias("own")
+    nodes = settle(facts.groupBy("set_high", "set_low").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(SEGMENTS)), own).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = facts.join(nodes.select("set_high", "set_low", "node"), ["set_high", "set_low"])
+    pairs = settle(_candidate_pairs(nodes.withColumn("tag", F.lit(0).cast("long")), nodes.count(), limit, False).distinct(), "candidates")
+    edges = pairs.select("a", "b").distinct()
+    if pairs.isEmpty():
+        return rows, pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    met = edges.select(F.explode(F.array("a", "b")).alias("m_node")).distinct()
+    wanted = nodes.join(met, nodes["node"] == met["m_node"], "left_semi").select("node", F.col("own.doc_id").alias("w_id"), F.col("own.row_hash").alias("w_hash"))
+    keyed = docs.select("doc_id", "text", F.xxhash64(*_hashable(docs)).alias("row_hash"))
+    texts = settle(keyed.join(wanted, (F.col("row_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, similarity)
+    links = first.where("near").select("a", "b")
+    roots = connected(links)
+    second = _verified(_apart(edges.join(first.select("a", "b"), ["a", "b"], "left_anti"), roots).select("a", "b"), texts, words, similarity)
+    if not second.where("near").isEmpty():
+        links = links.union(second.where("near").select("a", "b"))
+        roots = connected(links)
+    failed = first.union(second).where("NOT near").select("a", "b")
+    torn = pairs.where("root >= 0").join(failed, ["a", "b"], "left_semi").select("part", "root").distinct()
+    if not torn.isEmpty():
+        again = pairs.where("root >= 0").join(torn, ["part", "root"], "left_semi").select(F.explode(F.array("a", "b")).alias("m_node")).distinct()
+        tagged = nodes.join(again, nodes["node"] == again["m_node"], "left_semi").join(roots.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").withColumn("tag", F.coalesce("root", "node"))
+        rest = _candidate_pairs(tagged, again.count(), limit, True).select("a", "b").distinct().join(failed, ["a", "b"], "left_anti")
+        third = _verified(rest, texts, words, similarity)
+        if not third.where("near").isEmpty():
+            roots = connected(links.union(third.where("near").select("a", "b")))
+    return rows, roots
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, row_hash and copy_of (the smallest doc_id of the group of near copies) of each row."""
+    rows, roots = _grouped(docs, words, similarity)
+    named = rows.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("group", F.coalesce("root", "node"))
+    ids = named.groupBy("group").agg(F.min("doc_id").alias("copy_of"))
+    return named.join(ids, "group").select("doc_id", "row_hash", "copy_of")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows that stay: of each group of near copies the first by (doc_id, hash of the row), and all with a null id."""
+    rows, roots = _grouped(docs, words, similarity)
+    named = rows.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("group", F.coalesce("root", "node"))
+    own = F.struct("doc_id", "row_hash")
+    first = named.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(own).alias("own"))
+    kept = settle(first.select(F.col("own.doc_id").alias("k_id"), F.col("own.row_hash").alias("k_hash")).distinct(), "kept")
+    row_hash = F.xxhash64(*_hashable(docs))
+    stay = docs.join(kept, (docs["doc_id"] == kept["k_id"]) & (row_hash == kept["k_hash"]), "left_semi")
+    repeated = rows.groupBy("doc_id", "row_hash").count().where("count > 1").join(kept, (F.col("doc_id") == F.col("k_id")) & (F.col("row_hash") == F.col("k_hash")), "left_semi")
+    if not repeated.isEmpty():
+        stay = stay.dropDuplicates([c.strip("`") for c in _hashable(docs)])
+    return stay.unionByName(docs.where("doc_id IS NULL"))
