@@ -1,8 +1,11 @@
 import random
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tidegrid.llm import language_id, linear, mixing, packing, quality_neighbours, quality_rules, queries, toxicity
 from tidegrid.llm.common import bounded_sample, held_out, table
@@ -87,7 +90,8 @@ def brute_counts(text):
     text = text or ""
     words = text.encode().split()
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    often = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else {w for w in set(windows)}
+    number = Counter(windows)
+    often = {w for w, n in number.items() if n > 1}
     covered = {i + k for i, w in enumerate(windows) if w in often for k in range(3)}
     lines, seen, dup = text.split("\n"), set(), 0
     for x in lines:
@@ -100,7 +104,7 @@ def brute_counts(text):
 
 def test_quality_rules_counts_by_brute_force(spark, docs, labels):
     model = quality_rules.learn(docs, labels)
-    some = docs.where("length(text) < 4000").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    some = docs.select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
     got = quality_rules.judge(some, model).collect()
     assert len(got) > 700
     for r in got:
@@ -114,8 +118,8 @@ def test_quality_rules_counts_by_brute_force(spark, docs, labels):
 
 def test_quality_score_equals_the_model_over_features(docs, labels):
     model = quality_rules.learn(docs, labels)
-    for text in (b"", b"abc", "some wörds in a text, and more ***".encode() * 5, b"x" * 3000):
-        words = text.split()
+    for text in ("", "abc", "some wörds in a text, and more ***" * 5, "x" * 3000):
+        words = text.encode().split()
         x = linear.Rows.of([quality_rules.features(text, words)], len(model.logistic.weight))
         assert abs(model.logistic.logit(x)[0] - model.logit(text, words)) < 1e-6
 
@@ -172,6 +176,46 @@ def test_language_scorer_takes_the_smallest_total():
     assert s.predict(text)[0] == "xy"[int(np.argmin(sizes))] == "x" and s.predict("schneller fuchs")[0] == "y"
 
 
+# Empty tables and clashing columns.
+
+
+def test_empty_tables_and_clashing_names(spark, docs, labels):
+    none = odd(spark).limit(0)
+    clash = odd(spark).withColumnsRenamed({"Score": "KEPT", "predicted": "Quality_Score", "lang": "toxic_SCORE", "source": "Lang_Pred"})
+    rules, near, chain, contents = quality_rules.learn(docs, labels), quality_neighbours.learn(docs, labels), toxicity.learn(docs, labels, ["toxic"]), language_id.learn(docs)
+    for run, names in (
+        (lambda d: quality_rules.judge(d, rules), quality_rules.NAMES),
+        (lambda d: quality_neighbours.score(d, near), ["score", "predicted"]),
+        (lambda d: toxicity.score(d, chain), ["toxic_score", "toxic"]),
+        (lambda d: language_id.identify(d, contents), ["lang_pred", "score", "margin", "accepted"]),
+    ):
+        assert run(none).count() == 0
+        out = run(clash)
+        assert out.columns[-len(names) :] == names and out.count() == len(ODD) and len({c.lower() for c in out.columns}) == len(out.columns)
+    empty = docs.limit(0)
+    assert quality_rules.learn(empty, labels).probability("some text", [b"some", b"text"]) < 0.01
+    assert quality_neighbours.score(odd(spark), quality_neighbours.learn(empty, labels)).agg(F.max("score")).first()[0] == 0
+
+
+def test_sample_takes_the_first_usable_rows(spark):
+    """A class with no more rows than wanted is taken whole; rows whose text is missing or too long leave their place to others."""
+    docs = spark.createDataFrame([(i, "t" * (5 if i % 3 else 500)) for i in range(300)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i >= 200)) for i in range(400)], "doc_id long, quality int")
+    rows = bounded_sample(known, docs, ["quality"], 200, max_bytes=100)
+    want = {i for i in range(300) if i % 3}
+    assert {r["doc_id"] for r in rows} == want
+    few = bounded_sample(known, docs, ["quality"], 20, max_bytes=100)
+    assert Counter(r["quality"] for r in few) == {0: 20, 1: 20}
+
+
+def test_ties_of_similarity_go_by_place():
+    rng = np.random.default_rng(3)
+    texts = [b"the same words again"] * 40 + [bytes(rng.integers(97, 122, 60).astype(np.uint8)) for _ in range(40)]
+    model = quality_neighbours.fit_model(texts, np.array([1.0] * 25 + [0.0] * 55))
+    assert model.scores([b"the same words again"])[0] == 1.0
+    assert (model.scores(texts[:1] * 7)[0] == model.scores(texts)[0]).all()
+
+
 # Packing.
 
 
@@ -217,6 +261,35 @@ def test_genetic_steps_keep_every_piece_and_never_get_worse():
     assert packing.lower_bound(np.array([2000, 2000, 2000]), 4096) == 2 and packing.lower_bound(np.zeros(0, int), 4096) == 0
 
 
+def test_islands_evolve_apart_and_elites_migrate(spark):
+    """Three islands of a block run in three tasks; whole populations are kept; every island takes in its neighbour's elite."""
+    rng = random.Random(5)
+    lengths = [rng.choice([1300, 1400, 1500, 2100, 2700, 900, 1000]) + rng.randint(0, 40) for _ in range(240)]
+    sizes = spark.createDataFrame([(0, lengths)], "block long, lengths array<long>")
+    trace = []
+    best = packing.evolved(sizes, 1, 4096, trace).collect()
+    first = trace[0].withColumn("task", F.input_file_name()).collect()
+    assert sorted(r["island"] for r in first) == [0, 1, 2] and len({r["task"] for r in first}) == 3
+    bound = packing.lower_bound(np.array(lengths), 4096)
+    assert not any(r["done"] for r in first) or len(trace) == 1
+    assert all(r["done"] or len(r["population"]) == packing.POPULATION for r in first)
+    bins = packing._bins(best[0]["labels"])
+    assert sorted(i for b in bins for i in b) == list(range(240)) and bound <= len(bins) <= len(packing.Packer(lengths, 4096, 0).first())
+    if len(trace) > 1:
+        elite = {r["island"]: r["n_bins"] for r in first}
+        for r in trace[1].collect():
+            assert r["n_bins"] <= min(elite[r["island"]], elite[(r["island"] - 1) % 3])
+
+
+def test_caches_are_bounded_and_given_back():
+    ids = packing.Ids(queries.tokenizer_path())
+    for k in range(0, 200_000, 2000):
+        ids.of([" ".join(f"word{i}x" for i in range(k, k + 2000))])
+        assert ids.held <= packing.CACHE_BYTES + 2000 * 1000
+    ids.forget()
+    assert not ids.chunks and not ids.words and ids.held == 0
+
+
 # Mixing.
 
 
@@ -269,3 +342,48 @@ def test_language_dictionaries_take_every_sampled_text(spark):
     made = language_id.learn(docs)["en"]
     assert len(used) > 100 and len(made) <= language_id.DICT_BYTES
     assert all(f"mark{chr(97 + r['doc_id'] // 26)}{chr(97 + r['doc_id'] % 26)}".encode() in made for r in used)
+
+
+def spark_hash(*values, start=42):
+    """Spark's xxhash64 of integers."""
+    h = start
+    for kind, v in values:
+        h = xxhash.xxh64_intdigest(struct.pack(kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_block_plan_by_hand(spark):
+    """Which rows come how often, from the definition: blocks by hash, whole epochs, then blocks in hash order up to the rest."""
+    rows = [(i, "abc"[min(2, i % 9)], "w " * (1 + i % 5)) for i in range(2000)]
+    got = mixed(spark, rows, budget=9000.0, max_repetition=4.0, blocks=16)
+    total = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in "abc"}
+    weight = {r["source"]: r["mix_weight"] for r in got}
+    share = np.array([total[s] / sum(total.values()) for s in "abc"])
+    for a in np.linspace(0, 1, 2001):  # the smallest exponent that repeats no source more than four times
+        w = share**a / (share**a).sum()
+        if (w * 9000 / np.array([total[s] for s in "abc"])).max() <= 4:
+            break
+    assert np.allclose([weight[s] for s in "abc"], w, atol=1e-3)
+    block = {i: spark_hash(("<i", 7), ("<q", i)) % 16 for i, _, _ in rows}
+    want = Counter()
+    for s in "abc":
+        due = round(weight[s] * 9000 / total[s], 9)
+        size = Counter()
+        for i, x, t in rows:
+            if x == s:
+                size[block[i]] += len(t.split())
+        text = s.encode()
+        seed = xxhash.xxh64_intdigest(s.encode(), spark_hash(("<i", 8), ("<q", int(due))) % 2**64)
+        order = sorted(size, key=lambda b: (spark_hash(("<q", b), start=seed), b))
+        left, more = (due - int(due)) * total[s], set()
+        upto = 0
+        for b in order:
+            upto += size[b]
+            if upto - size[b] / 2 < left:
+                more.add(b)
+        for i, x, _ in rows:
+            if x == s:
+                want[i] = int(due) + (block[i] in more)
+    assert Counter(r["doc_id"] for r in got) == +want
+    for r in got:
+        assert 0 <= r["mix_epoch"] < want[r["doc_id"]] and r["mix_block"] == block[r["doc_id"]]

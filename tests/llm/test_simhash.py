@@ -105,3 +105,86 @@ def test_one_of_each_keeps_one_row_and_columns(spark):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns
     assert sorted(((r["doc_id"]) for r in out.collect()), key=str) == [1, 3, None]
+
+
+def jaccard_groups(texts, words=5, similarity=0.8):
+    """Smallest index of each text's group, by definition, over all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies_equal_all_pairs(spark):
+    """Edits around the limit, chains, short and wordless texts, repeated words."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \n", "a b c", "A b  C", "a b d", "one", "a b c d e", "a b c d f"]
+    for _ in range(40):
+        base = " ".join(rng.choices(words, k=rng.randint(60, 300)))
+        texts += [base, base.upper(), *(edited(rng, base, n) for n in (1, 1, 2, 4, 6))]
+    chain = " ".join(rng.choices(words, k=300))
+    for _ in range(15):
+        texts.append(chain)
+        chain = edited(rng, chain, 4)
+    texts += ["ab " * 500, "ab " * 700, "ab " * 700 + "cd"]
+    rng.shuffle(texts)
+    want = jaccard_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["copy_of"] for r in simhash.near_copies(docs).collect()}
+    assert all(want[got[i]] == want[i] for i in range(len(texts)))  # nothing is joined that isn't alike
+    split = sum(got[i] != w for i, w in enumerate(want))
+    assert split <= 0.02 * len(texts) and len(set(want)) < 0.8 * len(texts)
+
+
+def test_large_group_of_distinct_near_copies(spark, monkeypatch):
+    """All buckets of a group are large: a forest is verified, and what fails in it is compared again."""
+    rng = random.Random(4)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(200))
+    other = edited(rng, base, 12)
+    texts = [edited(rng, base, 1) for _ in range(60)] + [edited(rng, other, 1) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["copy_of"] for r in simhash.near_copies(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    """A text without a copy stays, though its id also names a copy; the row that stays doesn't depend on partitions."""
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (2, "something totally other than that one")]
+    for parts in (1, 3):
+        out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    named = spark.createDataFrame([("b", "x y", "1"), ("a", "x y", "2")], "doc_id string, text string, NODE string")
+    assert [tuple(r) for r in simhash.one_of_each(named).collect()] == [("a", "x y", "2")]
+
+
+def test_pairs_at_the_limit_meet():
+    """Recall of the keys and the candidate limit for pairs of similarity 0.8."""
+    rng = np.random.default_rng(2)
+    limit, met = simhash.candidate_limit(0.8), 0
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (160, 20, 20))
+        x, y = (simhash.wide_fingerprint(np.concatenate([both, own])) for own in (a, b))
+        for s, t in simhash._PAIRS:
+            near = [[set(c[c >= 0].tolist()) for c in simhash.codewords(np.array([x[k], y[k]]))] for k in (s, t)]
+            bits = sum(int(x[k] ^ y[k]).bit_count() for k in range(simhash.SEGMENTS) if k not in (s, t))
+            if near[0][0] & near[0][1] and near[1][0] & near[1][1] and bits <= limit:
+                met += 1
+                break
+    assert met >= 0.9 * 300

@@ -46,6 +46,34 @@ def test_against_brute_force(spark, how):
     assert run(spark, rows, **how) == brute(rows)
 
 
+def test_shard_far_larger_than_its_memory(spark, tmp_path):
+    """One shard for all, sorted on disk and by recursion."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    assert sum(len(t) for _, t in rows) > 4 * (1 << 14)
+    assert run(spark, rows, most_shards=1, memory=1 << 14, base=100) == brute(rows)
+
+
+def test_hot_minimizer_in_many_surroundings(spark, monkeypatch):
+    """A string frequent in ever other contexts, a passage behind it shared by a few."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    rows = [(i, word(60) + "-" * 24 + (word(60) if i % 7 else "a passage that one row in seven shares, word by word ") + "=" * 80 + word(40)) for i in range(400)]
+    monkeypatch.setattr(suffix_dedup, "PASS", 64)
+    assert run(spark, rows, memory=1 << 12, base=50) == brute(rows)
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", PASSAGE + "one"), ("a", PASSAGE + "two"), (None, PASSAGE), ("c", "x")]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["kept_text"] for r in out} == {"a": PASSAGE + "two", "b": "one", None: "", "c": "x"}
+
+
+def test_one_very_long_text(spark):
+    rows = [(1, PASSAGE + "a"), (2, "".join(f"{i} words, " for i in range(200_000)) + PASSAGE), (3, "x" * 1_000_000), (4, "y" + "x" * 300)]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, len(PASSAGE.encode()), 0, 300]
+
+
 def test_copies_columns_and_empty_table(spark):
     rows = [(i, PASSAGE, "mine", i) for i in range(400)] + [(1000, "new words " + PASSAGE + "end", "mine", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, extra int")
@@ -64,6 +92,7 @@ def test_induced_order_and_prefixes(monkeypatch):
         segs = [bytes(rng.randint(1, letters) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 5))] * rng.choice([1, 2])
         cap = rng.choice([3, 50])
         monkeypatch.setattr(induced_sort, "BATCH", rng.choice([1, 2, 5, 1 << 17]))
+        monkeypatch.setattr(induced_sort, "WIDE", rng.choice([0, 2, 1024]))
         t = np.frombuffer(b"\0".join(segs) + b"\0", np.uint8)
         batches = list(induced_sort.Sorter(t, cap, memory=rng.choice([0, 20, 1 << 20]), base=rng.choice([0, 3, 1 << 20])).descending())
         x = [int(i) for b, _ in batches for i in b]

@@ -6,7 +6,6 @@ import ctypes
 import os
 import re
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +14,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+
 #: Words are the maximal runs of characters other than these (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Default bound on the bytes of a text that a model is fitted on (longer ones are still scored whole).
 FIT_TEXT_BYTES = 65_536
 #: Cells that hashes of labelled rows are dealt into for each row wanted, rows kept in each, and rows drawn for each wanted.
-CELL_ROWS, SPARE = 16, 2
+CELL_ROWS, SPARE = 16, 4
 #: Rows that may be broadcast: a sample of labelled ids is checked against it.
 BROADCAST_ROWS = 500_000
 
@@ -30,20 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in its absence a temporary one where all run in one process (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidegrid-"))
-    return sc.getCheckpointDir()
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage is cut and the rows outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_path = path
@@ -107,6 +97,11 @@ def replacing(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in lower), *(v.alias(k) for k, v in new.items()))
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that have a hash."""
+    return [f"`{f.name}`" for f in df.schema.fields if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2 (null ids are held out too)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))

@@ -25,8 +25,8 @@ import numpy as np
 
 from .common import scratch_file, spread
 
-MEMORY = 64 << 20
-BASE = 1 << 20
+MEMORY = 96 << 20
+BASE = 1 << 21
 #: Suffixes scanned at a time.
 BATCH = 1 << 17
 #: Alphabets larger than this are scanned in runs of symbols.
@@ -70,7 +70,9 @@ def _at(a: np.ndarray, b: int | slice | np.ndarray) -> np.ndarray:
 
 
 def _count(into: np.ndarray, x: np.ndarray) -> None:
-    if len(x):
+    if len(into) <= WIDE:
+        into += np.bincount(x, minlength=len(into))
+    elif len(x):
         u, n = np.unique(x, return_counts=True)
         into[u] += n
 

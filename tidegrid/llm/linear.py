@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from .common import spread
 
 
 @dataclass
@@ -34,7 +39,9 @@ class Rows:
         return np.bincount(self.index, weights=self.value * np.repeat(r, np.diff(self.start)), minlength=self.width)
 
     def take(self, at: np.ndarray) -> Rows:
-        return Rows.of([(self.index[self.start[r] : self.start[r + 1]], self.value[self.start[r] : self.start[r + 1]]) for r in at], self.width)
+        size = np.diff(self.start)[at]
+        cells = spread(self.start[:-1][at], size)
+        return Rows(np.concatenate([[0], np.cumsum(size)]), self.index[cells], self.value[cells], self.width)
 
     def frequent(self, least: int) -> Rows:
         """Without the columns that fewer than `least` rows have."""
@@ -107,15 +114,35 @@ def fit(x: Rows, y: np.ndarray, l2: float = 1e-3, steps: int = 150, least: float
     return Logistic(weight, float(b))
 
 
-def out_of_fold(x: Rows, y: np.ndarray, folds: int, **how) -> np.ndarray:
-    """The logit of each row by a model that has not seen it."""
-    out = np.zeros(len(x))
+def folded(x: Rows, y: np.ndarray, folds: int, spark: SparkSession | None = None, **how) -> tuple[np.ndarray, Logistic]:
+    """(the logit of each row by a model that has not seen it, the model of all rows). With spark the fits run as tasks of their own over the broadcast rows, whose number the sample bounds."""
     of = np.arange(len(x)) % folds
+    rests = [np.flatnonzero(of != k) for k in range(folds)] + [np.arange(len(x))]
+    if spark is None or not len(x):
+        models = [fit(x.take(rest), y[rest], **how) for rest in rests]
+    else:
+        shared = spark.sparkContext.broadcast((x, y))
+
+        def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    m = fit(shared.value[0].take(rests[k]), shared.value[1][rests[k]], **how)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], ["k", "weight", "bias"])
+
+        made = spark.range(0, len(rests), 1, len(rests)).mapInArrow(fits, "k long, weight binary, bias double").collect()
+        models = [Logistic(np.frombuffer(r["weight"], np.float64), r["bias"]) for r in sorted(made, key=lambda r: r["k"])]
+        shared.destroy()
+    out = np.zeros(len(x))
     for k in range(folds):
-        own, rest = np.flatnonzero(of == k), np.flatnonzero(of != k)
+        own = np.flatnonzero(of == k)
         if len(own):
-            out[own] = fit(x.take(rest), y[rest], **how).logit(x.take(own))
-    return out
+            out[own] = models[k].logit(x.take(own))
+    return out, models[-1]
+
+
+def out_of_fold(x: Rows, y: np.ndarray, folds: int, **how) -> np.ndarray:
+    """The logit of each row by a model that has not seen it."""
+    return folded(x, y, folds, **how)[0]
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -1,24 +1,31 @@
 """Copies among images by local descriptors.
 
-1. Images (binary PGM, PPM or 8-bit PNG) are decoded to grey values; images with equal bytes are collapsed first.
-2. Corners: local maxima of the Harris measure on a pyramid of SCALES, all that pass a share of the strongest.
+1. Images (binary PGM, PPM or 8-bit PNG; JPEG isn't decoded) become grey values. Images are read once, in one pass that
+   also takes digests; of images with equal bytes one counts from then on.
+2. Corners: local maxima of the Harris measure on a pyramid of SCALES that pass a share of the strongest, at least GAP
+   pixels apart on their scale, so that their number grows with the area.
 3. Each corner gets an orientation (direction of its patch's centre of mass) and BITS binary tests between smoothed
    points of the patch, turned by the orientation, so that descriptors bear turning, scaling, brightness and contrast.
-4. Hamming tables: a descriptor is cut into TABLES words and dealt by (table, word). Two descriptors that differ in
-   fewer than TABLES bits share a word. Within a bucket all pairs of different images within MAX_BITS are matches, each
-   sent by the first word it shares. A bucket of more than BUCKET rows is cut into blocks, and each pair of blocks is
-   compared by itself.
+4. Hamming tables: TABLES words of WORD_BITS bits are the keys of a descriptor; two descriptors that share a word and
+   differ in at most MAX_BITS bits match. Rows are dealt by word in compressed columns. Small buckets give all their
+   matches, large ones the edges of a spanning forest, so a picture with thousands of copies isn't matched with each
+   copy of each.
 5. Geometric consensus: the matches of two images each propose a similarity transform; a pair is a link if INLIERS
-   matches agree with one within TOLERANCE pixels.
+   matches agree with one within TOLERANCE pixels, and with its turn and scale.
 6. Links make classes (connected components).
+7. Where a forest joins descriptors of different classes, all matches between different classes of that bucket are
+   made, added to those of step 4, and steps 5 and 6 are done again for pairs of images of different classes. So
+   classes are those of all matches.
 
 Nulls and odd input: a null or undecodable image, or one without corners, has no links and is its own class (with equal
-ones, if it has bytes at all). Null ids take part, and a class of null ids only has a null id. Rows are neither merged
-nor lost. An empty table stays empty.
+ones, if it has bytes at all); so is one of more than MAX_PIXELS. Null ids take part, and a class of null ids only has a
+null id. Rows are neither merged nor lost. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,24 +34,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from . import buckets
+from .common import settle, squeeze, trim, unsqueeze
 from .simhash import connected
 
 SCALES = (1.0, 0.8, 0.64)
 RADIUS = 13
-BITS, TABLES = 128, 4
+GAP = 6
+BITS, TABLES, WORD_BITS = 128, 6, 21
 MAX_BITS = 20
-#: Rows of a bucket, or of a block of it, that are compared at once.
-BUCKET = 2048
 INLIERS = 6
 TOLERANCE = 4.0
+#: Largest deviations of a match's turn (radians) and scale (factor) from those of the transform.
+TURN, GROWTH = 0.45, 1.35
+MAX_PIXELS = 1 << 27
+#: Rows of a part of the words.
+PART_ROWS = 1 << 20
 SEED = 29
+#: Digests that a task remembers.
+SEEN = 1 << 18
 #: Corners described at a time.
 STEP = 2048
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey values of a binary PGM, PPM or 8-bit, non-interlaced PNG, else None."""
+    """Grey values of a binary PGM, PPM or 8-bit, non-interlaced PNG of at most MAX_PIXELS, else None."""
     if not data:
         return None
     try:
@@ -71,7 +85,7 @@ def _netpbm(data: bytes) -> np.ndarray | None:
         at = end
     w, h, top = fields
     depth = 3 if data[:2] == b"P6" else 1
-    if top > 255:
+    if not 0 < top <= 255 or not 0 < w * h <= MAX_PIXELS:
         return None
     return _grey(np.frombuffer(data, np.uint8, w * h * depth, at + 1).reshape(h, w, depth)) * (255.0 / top)
 
@@ -85,9 +99,9 @@ def _png(data: bytes) -> np.ndarray | None:
         at += n + 12
     w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
     depth = {0: 1, 2: 3, 4: 2, 6: 4}.get(head[9])
-    if head[8] != 8 or depth is None or head[12]:
+    if head[8] != 8 or depth is None or head[12] or not 0 < w * h <= MAX_PIXELS:
         return None
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w * depth + 1)
+    raw = np.frombuffer(zlib.decompressobj().decompress(body, h * (w * depth + 1)), np.uint8).reshape(h, w * depth + 1)
     out = np.zeros((h, w * depth), np.uint8)
     for y in range(h):
         line, up = raw[y, 1:].astype(np.int64), (out[y - 1] if y else np.zeros(w * depth, np.uint8)).astype(np.int64)
@@ -136,6 +150,19 @@ _YX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_YX**2).sum(0) <= RADIUS**2
 
 
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """Greatest value within squares of 2r + 1."""
+    for axis in (0, 1):
+        p = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        n, width = a.shape[axis], 1
+        while width * 2 <= 2 * r + 1:
+            p = np.maximum(np.take(p, range(p.shape[axis] - width), axis), np.take(p, range(width, p.shape[axis]), axis))
+            width *= 2
+        rest = 2 * r + 1 - width
+        a = np.maximum(np.take(p, range(n), axis), np.take(p, range(rest, n + rest), axis))
+    return a
+
+
 def _turned(a: np.ndarray, smooth: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(angle, descriptor) of the corners at y, x."""
     patch = a[y[:, None, None] + _YX[0], x[:, None, None] + _YX[1]] * _DISC
@@ -160,10 +187,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = RADIUS + 1
         core = r[m:-m, m:-m]
         best = core > max(1e-3, 0.005 * float(r.max()))
-        for dy in (-2, -1, 0, 1, 2):
-            for dx in (-2, -1, 0, 1, 2):
-                if dy or dx:
-                    best &= core >= r[m + dy : r.shape[0] - m + dy, m + dx : r.shape[1] - m + dx]
+        best &= core >= _highest(r, GAP)[m:-m, m:-m]
         y, x = np.nonzero(best)
         if not len(y):
             continue
@@ -193,33 +217,112 @@ def unpack_places(packed: np.ndarray) -> np.ndarray:
     return np.stack([x / 8, y / 8, 1 / np.array(SCALES)[packed >> 12 & 15], (packed & 4095) / 4096 * 2 * np.pi - np.pi], axis=1)
 
 
-_ROWS = "image long, place long, low long, high long"
+_SEEN = "digest binary, points binary, low binary, high binary"
+
 
+def _described(kind: str):
+    """Rows: id, image. A row for each: id, digest of the bytes, and its corners, if the task hasn't described the same bytes before."""
 
-def _descriptor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: image number, bytes."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for whole in it:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                rows = []
+                for data in b.column(1):
+                    data = data.as_py()
+                    digest = None if data is None else hashlib.sha256(data).digest()
+                    corners = (None, None, None)
+                    if digest is not None and digest not in seen:
+                        seen.add(digest)
+                        if len(seen) > SEEN:
+                            seen = {digest}
+                        a = decode(data)
+                        p, d = describe(a) if a is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
+                        halves = np.ascontiguousarray(d).view("<u8").reshape(-1, 2)
+                        corners = squeeze(pack_places(p)), squeeze(np.ascontiguousarray(halves[:, 0])), squeeze(np.ascontiguousarray(halves[:, 1]))
+                    rows.append((digest, *corners))
+                cols = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", *(f.split()[0] for f in _SEEN.split(", "))])
+        trim()
+
+    return batches
+
+
+def words_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(tables, rows): the words of descriptors."""
+    bits = np.unpackbits(np.stack([low, high], axis=1).view(np.uint8).reshape(len(low), 16), axis=1, bitorder="little")[:, : TABLES * WORD_BITS]
+    return (bits.reshape(len(low), TABLES, WORD_BITS) @ (1 << np.arange(WORD_BITS, dtype=np.int64))).T
+
+
+def _word_rows(parts: int):
+    """Rows: number, points, low, high. The rows of each table by part: word, image, place, descriptor."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                place, low, high = ([unsqueeze(x.as_py(), k) for x in b.column(c)] for c, k in ((1, np.int64), (2, np.uint64), (3, np.uint64)))
+                image = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in place])
+                place, low, high = (np.concatenate(x) for x in (place, low, high))
+                for t, word in enumerate(words_of(low, high)):
+                    part = (word * 0x9E3779B1 >> 8) % parts + t * parts
+                    order = np.argsort(part << 21 | word, kind="stable")
+                    yield buckets.cut(part[order], [word[order].astype(np.uint32), image[order], place[order], low[order], high[order]])
+
+    return batches
+
+
+_MATCHES = "a long, b long, a_place long, b_place long, tree long"
+_MATCH_ARROW = pa.schema([(f.split()[0], pa.int64()) for f in _MATCHES.split(", ")])
+
+
+def _pair_rows(i: np.ndarray, j: np.ndarray, image: np.ndarray, place: np.ndarray, tree: np.ndarray) -> pa.RecordBatch:
+    swap = image[i] > image[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    rows = np.unique(np.stack([image[i], image[j], place[i], place[j], tree], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(5)], schema=_MATCH_ARROW)
+
+
+def _matches(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of a part of the words. tree: -1 in small buckets; else the part and first row of a forest's component, of which also edges within an image are given."""
+    word, image, place, low, high = buckets.gathered(batches, [np.uint32, np.int64, np.int64, np.uint64, np.uint64])
+    order = np.lexsort((place, image, word))
+    word, image, place, low, high = (c[order] for c in (word, image, place, low, high))
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def made() -> pa.RecordBatch:
+        i, j, tree = (np.concatenate(c) for c in zip(*held))
+        return _pair_rows(i, j, image, place, tree)
+
+    for i, j, root in buckets.forest(word, [low, high], MAX_BITS):
+        keep = (root >= 0) | (image[i] != image[j])
+        held.append((i[keep], j[keep], np.where(root[keep] >= 0, key[0].as_py() << 32 | root[keep], -1)))
+        if sum(len(h[0]) for h in held) > buckets.BLOCK:
+            yield made()
+            held = []
+    if held:
+        yield made()
+    trim()
+
+
+def _tree_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows: tree, image, class, place, low, high; as columns of parts."""
     for b in batches:
-        for number, data in zip(b.column(0).to_pylist(), b.column(1)):
-            a = decode(data.as_py())
-            if a is None:
-                continue
-            p, d = describe(a)
-            if not len(p):
-                continue
-            halves = np.ascontiguousarray(d).view("<i8").reshape(-1, 2)
-            cols = [np.full(len(p), number, np.int64), pack_places(p), halves[:, 0], halves[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in _ROWS.split(", ")])
-
-
-def _dealt(described: DataFrame, bucket: int) -> DataFrame:
-    """Descriptors by word (with the table's number above its 32 bits) and pair of blocks; `own` is the row's block."""
-    words = F.array(*(F.expr(f"shiftrightunsigned({half}, {shift}) & 4294967295L | {t}L << 32") for t, (half, shift) in enumerate((h, s) for h in ("low", "high") for s in (0, 32))))
-    rows = described.withColumn("word", F.explode(words))
-    large = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select(F.col("word").alias("l_word"), F.ceil(F.col("n") / bucket).alias("blocks"))
-    cut = rows.join(large, F.col("word") == F.col("l_word"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    own = cut.withColumn("own", F.pmod(F.xxhash64("image", "place"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.shiftleft(F.least("own", "other"), 32).bitwiseOR(F.greatest("own", "other"))
-    return own.select("word", pair.alias("pair"), "own", "image", "place", "low", "high")
+        tree, *cols = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        part = (tree >> 32) * 31 + (tree & 0xFFFFFFFF) % 31
+        order = np.argsort(part, kind="stable")
+        yield buckets.cut(part[order], [c[order].astype(np.int64) for c in (tree, *cols)])
+
+
+def _cross_matches(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches between different classes within each tree."""
+    tree, image, own, place, low, high = buckets.gathered(batches, [np.int64] * 6)
+    order = np.lexsort((place, image, tree))
+    tree, image, own, place, low, high = (c[order] for c in (tree, image, own, place, low, high))
+    for i, j in buckets.cross_pairs(tree, [low.view(np.uint64), high.view(np.uint64)], MAX_BITS, own):
+        yield _pair_rows(i, j, image, place, np.full(len(i), -1))
+    trim()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -244,47 +347,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-_MATCHES = "a long, b long, a_place long, b_place long"
-
-
-def _match_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks, sorted by word, pair and image: all matches of descriptors of different images."""
-    for t in _groups(batches, 2):
-        word, pair, own, image, place = (t.column(c).to_numpy() for c in ("word", "pair", "own", "image", "place"))
-        bits = np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("low", "high")], axis=1)
-        cross = pair >> 32 != pair & 0xFFFFFFFF
-
-        def matches(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            some = (image[i] != image[j]) & ~(cross[i] & (own[i] == own[j]))
-            i, j = i[some], j[some]
-            x = bits[i] ^ bits[j]
-            near = np.bitwise_count(x).sum(axis=1) <= MAX_BITS
-            near &= (x.view("<u4").reshape(-1, TABLES) == 0).argmax(axis=1) == word[i] >> 32
-            i, j = i[near], j[near]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (image[i], image[j], place[i], place[j])], ["a", "b", "a_place", "b_place"])
-
-        first = np.concatenate([[0], np.flatnonzero((word[1:] != word[:-1]) | (pair[1:] != pair[:-1])) + 1])
-        size = np.diff(np.concatenate([first, [len(word)]]))
-        number, small = np.repeat(np.arange(len(first)), size), np.repeat(size <= 16, size)
-        for step in range(1, 16):
-            i = np.flatnonzero(small[:-step] & (number[:-step] == number[step:])) if len(word) > step else np.zeros(0, int)
-            if not len(i):
-                break
-            yield matches(i, i + step)
-        for a, n in zip(first[size > 16].tolist(), size[size > 16].tolist()):
-            for k in range(0, n, 256):
-                i, j = np.triu_indices(min(256, n - k), 1, n - k)
-                yield matches(a + k + i, a + k + j)
-
-
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
-    """Most matches p[i] to q[i] (x, y, scale, angle) that one of their similarity transforms explains, each place of either image once."""
-    most = 0
+    """Most matches p[i] to q[i] (x, y, scale, angle) that one of their similarity transforms explains - the place, and the match's own turn and scale -, each place of either image once."""
+    most, growth, turn = 0, q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
+    at, to = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
     for i in range(len(p)):
-        s, turn = q[i, 2] / p[i, 2], q[i, 3] - p[i, 3]
-        d = (p[:, 0] - p[i, 0]) + 1j * (p[:, 1] - p[i, 1])
-        off = np.abs(d * s * np.exp(1j * turn) - ((q[:, 0] - q[i, 0]) + 1j * (q[:, 1] - q[i, 1])))
-        ok = off <= TOLERANCE * max(1.0, s)
+        off = np.abs((at - at[i]) * growth[i] * np.exp(1j * turn[i]) - (to - to[i]))
+        ok = (off <= TOLERANCE * max(1.0, growth[i])) & (np.abs(np.angle(np.exp(1j * (turn - turn[i])))) <= TURN) & (np.abs(np.log(growth / growth[i])) <= np.log(GROWTH))
         if ok.sum() > most:
             places = [len(np.unique(np.rint(z[ok, :2] / TOLERANCE), axis=0)) for z in (p, q)]
             most = max(most, min(places))
@@ -304,20 +373,61 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
 
-def copies(images: DataFrame, id_column: str = "id", image_column: str = "image", bucket: int = BUCKET) -> DataFrame:
-    """id, class_id (the smallest id of the class) and n_links (verified links of the image's bytes) of each row."""
-    rows = settle(images.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{image_column}`").alias("image")).withColumn("number", F.monotonically_increasing_id()).withColumn("digest", F.coalesce(F.sha2("image", 256), F.concat(F.lit("null-"), F.col("number").cast("string")))), "images")
-    first = rows.groupBy("digest").agg(F.min("number").alias("first"), F.min("id").alias("least"))
-    distinct = settle(rows.join(first, rows["number"] == F.col("first"), "left_semi").select("number", "image"), "distinct")
-    described = settle(distinct.mapInArrow(_descriptor_batches, _ROWS), "described")
-    matches = _dealt(described, bucket).repartition("word", "pair").sortWithinPartitions("word", "pair", "image").mapInArrow(_match_batches, _MATCHES)
-    links = settle(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_link_batches, "a long, b long").distinct(), "links")
+def _links(matches: DataFrame) -> DataFrame:
+    """Pairs of images that enough of their matches agree on."""
+    rows = matches.where("a <> b").select("a", "b", "a_place", "b_place").distinct()
+    return settle(rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_link_batches, "a long, b long"), "links")
+
+
+def _classed(rows: DataFrame, image: str, roots: DataFrame, name: str) -> DataFrame:
+    """rows with the class of an image: its root, or itself."""
+    r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return rows.join(r, F.col(image) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", image)).drop("__node", "__root")
+
+
+def classes(corners: DataFrame) -> DataFrame:
+    """corners: number, points, low, high of distinct images. (node, root) of the images that have copies."""
+    n = corners.agg(F.sum(F.octet_length("low"))).first()[0] or 0
+    parts = max(1, math.ceil(n / 8 / PART_ROWS))  # at most eight bytes, compressed, for each row of a table
+    dealt = corners.select("number", "points", "low", "high").mapInArrow(_word_rows(parts), buckets.schema(5))
+    matches = settle(dealt.groupBy("part").applyInArrow(_matches, _MATCHES), "matches")
+    links = _links(matches)
     roots = connected(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("d_first")).groupBy("d_first").agg(F.count("*").alias("n_links"))
-    known = first.join(roots, F.col("first") == F.col("node"), "left").select("digest", "first", "least", F.coalesce("root", "first").alias("root"))
-    classes = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = known.join(classes, "root").join(degree, F.col("first") == F.col("d_first"), "left").select(F.col("digest").alias("n_digest"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(named, rows["digest"] == named["n_digest"]).select("id", "class_id", "n_links")
+    both = _classed(_classed(matches.where("tree >= 0"), "a", roots, "a_class"), "b", roots, "b_class")
+    mixed = both.where("a_class <> b_class").select("tree").distinct()
+    ends = both.join(mixed, "tree", "left_semi").select("tree", F.explode(F.array(F.struct(F.col("a").alias("image"), F.col("a_class").alias("class"), F.col("a_place").alias("place")), F.struct(F.col("b").alias("image"), F.col("b_class").alias("class"), F.col("b_place").alias("place")))).alias("r"))
+    rows = settle(ends.select("tree", "r.image", "r.class", "r.place").distinct(), "mixed")
+    if rows.isEmpty():
+        return roots
+    points = corners.join(rows.select(F.col("image").alias("m_image")).distinct(), F.col("number") == F.col("m_image"), "left_semi").select("number", "points", "low", "high").mapInArrow(_unpacked, "number long, n_place long, low long, high long")
+    full = rows.join(points, (F.col("image") == F.col("number")) & (F.col("place") == F.col("n_place"))).select("tree", "image", "class", "place", "low", "high")
+    more = settle(full.mapInArrow(_tree_cuts, buckets.schema(6)).groupBy("part").applyInArrow(_cross_matches, _MATCHES), "matches")
+    apart = _classed(_classed(matches.union(more).where("a <> b"), "a", roots, "a_class"), "b", roots, "b_class").where("a_class <> b_class")
+    added = _links(apart)
+    return roots if added.isEmpty() else connected(links.union(added))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for number, *cells in zip(*(c.to_pylist() for c in b.columns)):
+            cols = [unsqueeze(x, np.int64) for x in cells]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), number)), *map(pa.array, cols)], ["number", "n_place", "low", "high"])
+
+
+def copies(images: DataFrame, id_column: str = "id", image_column: str = "image") -> DataFrame:
+    """id and class_id (the smallest id of the class) of each row."""
+    source = images.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{image_column}`").alias("image"))
+    kind = source.schema["id"].dataType.simpleString()
+    made = source.mapInArrow(_described(kind), f"id {kind}, {_SEEN}").withColumn("number", F.monotonically_increasing_id())
+    rows = settle(made.withColumn("digest", F.coalesce(F.hex("digest"), F.concat(F.lit("null-"), F.col("number").cast("string")))), "described")
+    first = rows.groupBy("digest").agg(F.min(F.when(F.col("points").isNotNull(), F.col("number"))).alias("described"), F.min("number").alias("least_number"), F.min("id").alias("least"))
+    first = first.select("digest", F.coalesce("described", "least_number").alias("first"), "least")
+    corners = rows.where("points IS NOT NULL").join(first.select(F.col("first")), F.col("number") == F.col("first"), "left_semi")
+    roots = classes(corners)
+    known = _classed(first, "first", roots, "root")
+    ids = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = known.join(ids, "root").select(F.col("digest").alias("n_digest"), "class_id")
+    return rows.join(named, rows["digest"] == named["n_digest"]).select("id", "class_id")
 
 
 # A stand-in for a media column: a picture of an embedding.

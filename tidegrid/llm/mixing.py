@@ -12,7 +12,8 @@ run over the blocks of a source, never over its documents, so a source that hold
 driver sees four sums for each step of the bisection.
 
 Nulls and odd input: null sources are one source; a null or wordless text has no tokens and goes where its block goes;
-sources without any tokens are due once, as they are. Repeated rows are dealt alike. An empty table stays empty. If
+sources without any tokens are due once, as they are. Repeated rows are dealt alike; rows with a null doc_id are dealt by
+their other columns. An empty table stays empty. If
 even exponent 1 exceeds the limit (a budget above max_repetition times the tokens), 1 is taken. Columns of the input
 with the names of the result are replaced.
 """
@@ -26,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORD, replacing, settle
+from .common import WORD, hashable, replacing, settle
 
 BLOCKS = 512
-STEPS = 30
+#: The interval of the exponent is cut into PARTS equal parts, ROUNDS times.
+PARTS, ROUNDS = 32, 6
 
 
 def word_count(text: Column) -> Column:
@@ -44,37 +46,43 @@ class Mixture:
     z: float  # sum of shares to the power of the exponent
 
 
-def _sums(shares: DataFrame, a: float) -> tuple[float, float, float, float]:
-    p = F.col("share")
-    r = shares.where("share > 0").agg(F.sum(p**a), F.sum(p**a * F.log(p)), F.max(p ** (a - 1)), F.min(p ** (a - 1))).first()
-    return tuple(r)
+def _sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, ...]]:
+    """For each exponent a: the sums of p ** a and of p ** a * ln p, the greatest and the least p ** (a - 1)."""
+    p, a = F.col("share"), F.col("a")
+    tried = shares.where("share > 0").select("share", F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "a"))
+    rows = tried.groupBy("k").agg(F.sum(p**a), F.sum(p**a * F.log(p)), F.max(p ** (a - 1)), F.min(p ** (a - 1))).orderBy("k").collect()
+    return [tuple(r)[1:] for r in rows]
 
 
 def bisect(shares: DataFrame, tokens: float, target_entropy: float | None, max_repetition: float | None, budget: float | None) -> Mixture:
     """shares: a row for each source, with its share of the tokens."""
+    if not tokens:
+        return Mixture(1.0, 0.0, 0.0, 1.0)
 
-    def fits(a: float) -> bool:
-        z, s, most, least = _sums(shares, a)
+    def fits(a: float, sums: tuple[float, ...]) -> bool:
+        z, s, most, least = sums
         repetition = most / least if budget is None else most * budget / (z * tokens)
         enough = target_entropy is None or math.log(z) - a * s / z <= target_entropy
         return enough and (max_repetition is None or repetition <= max_repetition)
 
     low, high = 0.0, 1.0
-    if tokens and fits(0.0):
-        high = 0.0
-    for _ in range(STEPS if tokens and high else 0):
-        middle = (low + high) / 2
-        low, high = (low, middle) if fits(middle) else (middle, high)
-    if not tokens:
-        return Mixture(1.0, 0.0, 0.0, 1.0)
-    z, _, _, least = _sums(shares, high)
+    for n in range(ROUNDS):
+        trials = [low + (high - low) * i / PARTS for i in range(0 if n == 0 else 1, PARTS)]
+        good = [a for a, sums in zip(trials, _sums(shares, trials)) if fits(a, sums)]
+        first = min(good, default=high)
+        if first == 0.0:
+            high = 0.0
+            break
+        low, high = first - (high - low) / PARTS, first
+    z, _, _, least = _sums(shares, [high])[0]
     return Mixture(high, tokens * z / least if budget is None else float(budget), float(tokens), z)
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None, source_column: str = "source", seed: int = 7, blocks: int = BLOCKS, tokens: Column | None = None) -> DataFrame:
     """docs as often as they are due, with mix_epoch (from 0), mix_block, mix_order (rows of an epoch in this order) and mix_weight."""
     source, n = F.col(f"`{source_column}`"), word_count(F.col("text")) if tokens is None else tokens
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks))
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), F.col("doc_id"))).otherwise(F.xxhash64(F.lit(seed), *hashable(docs)))
+    block = F.pmod(row, F.lit(blocks))
     sums = settle(docs.select(source.alias("m_source"), block.alias("m_block"), n.alias("n")).groupBy("m_source", "m_block").agg(F.sum("n").cast("double").alias("n")), "mix-blocks")
     total = sums.agg(F.sum("n")).first()[0] or 0.0
     shares = settle(sums.groupBy("m_source").agg(F.sum("n").alias("n_source")).withColumn("share", F.col("n_source") / F.lit(total) if total else F.lit(0.0)), "mix-shares")

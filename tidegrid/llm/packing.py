@@ -4,11 +4,12 @@ Documents become pieces of at most `capacity` tokens. A piece that fills a seque
 random (a hash of the row) into blocks of about BLOCK pieces; each block is a bin-packing problem of its own, so that
 memory is bounded and the number of tasks grows with the input, at a loss of under one sequence in a block.
 
-A block starts from best-fit decreasing. If that meets the lower bound it is optimal and done. Else ISLANDS populations
-of it evolve on different executors: a crossover injects whole well-filled bins of one parent into the other, takes out
-the bins that now hold a piece twice, and puts the displaced pieces back by best fit; a mutation dissolves some of the
-emptiest bins likewise. After each epoch every island's elite migrates to the next island. State between epochs is
-written to the shared folder, so a lost executor costs only its own tasks.
+ISLANDS populations of a block evolve in tasks of their own, each from groupings of pieces in disordered order. A
+crossover injects whole well-filled bins of one parent into the other, takes out the bins that now hold a piece twice,
+and puts the displaced pieces back by best fit; a mutation dissolves some of the emptiest bins likewise. A population
+that meets the lower bound of its block is optimal and ends the block. After each epoch every island's elite migrates to
+the next island; whole populations are written to the shared folder between epochs, so a lost executor costs only its
+own tasks. At the end plain best-fit decreasing is held against the best of the islands, and the better one counts.
 
 Nulls and odd input: a null text is empty and becomes the single closing token; null or repeated ids and repeated rows
 stay rows of their own; long texts are cut into pieces, nothing is dropped; an empty table packs into nothing. Only
@@ -17,6 +18,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import random
@@ -29,15 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import settle
+from .common import settle, trim
 
 CAPACITY = 4096
 #: Pieces of a block, on average.
 BLOCK = 8192
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 6, 4
 END_ID = 1
-#: Entries of the worker's caches.
-CACHED_CHUNKS, CACHED_WORDS = 350_000, 250_000
+#: Disorder of the groupings that populations start from: the share of a length that the order may be off by.
+DISORDER = (0.25, 0.5, 1.0, 2.0)
+#: Bytes of keys and ids that a worker's cache holds at most before it starts anew, and texts that are encoded together.
+CACHE_BYTES, TEXTS = 24 << 20, 256
+#: Most tasks of an epoch.
+MOST_TASKS = 10_000
 # Characters at which str.split() cuts and the tokenizer's white space doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 # Marks that are neither letters, digits nor white space, and the end of the Latin letters.
@@ -55,29 +61,12 @@ def _shown_bytes() -> dict[int, str]:
 _SHOWN = _shown_bytes()
 
 
-class _Cache(dict):
-    """A dict that makes missing values and is bounded: what was used since the last turn-over stays at hand."""
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Ids:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False).ids.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks between
-    white space; a chunk goes through the tokenizer's own normalizer, pre-tokenizer and model, with what is met again
-    taken from bounded caches. A chunk of Latin letters, with or without a run of marks behind it, needs no
+    white space; chunks that texts share are made once, by the tokenizer's own normalizer, pre-tokenizer and model, and
+    kept in a cache bounded by bytes. A chunk of Latin letters, with or without a run of marks behind it, needs no
     pre-tokenizer: the letters are one piece and the marks another. `closed` is false for a tokenizer of another make:
     whole texts are then encoded.
     """
@@ -88,29 +77,59 @@ class Ids:
         spec = json.loads(self.tok.to_str())
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.closed = bool(spec["model"].get("end_of_word_suffix")) and first.get("type") == "Split" and first.get("invert", False)
-        model = self.tok.model
-        self.words = _Cache(lambda w: b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(w)]), CACHED_WORDS)
-        self.chunks = _Cache(self._chunk, CACHED_CHUNKS)
+        self.tokenize = self.tok.model.tokenize
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if len(chunk) > 200 or any(s in chunk for s in self.special):
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(word)])
+            self.held += 160 + len(word) + len(found)
+        return found
+
+    def _chunk(self, chunk: str, normal: str) -> bytes:
+        if len(chunk) > 200:
             return self._whole(chunk)
-        normal = chunk.lower() if chunk.isascii() else self.tok.normalizer.normalize_str(chunk)
         letters = normal.rstrip(MARKS)
-        if letters.isalpha() and max(letters) < LATIN_END:
+        if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END):
             own = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
-            return self.words[own] + self.words[normal[len(letters) :]] if len(letters) < len(normal) else self.words[own]
-        return b"".join([self.words[w] for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)])
+            return self._word(own) + self._word(normal[len(letters) :]) if len(letters) < len(normal) else self._word(own)
+        return b"".join([self._word(w) for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)])
+
+    def _learn(self, missing: list[str]) -> None:
+        """Put the ids of chunks into the cache."""
+        plain = [c for c in missing if c.isascii()]
+        other = [c for c in missing if not c.isascii()]
+        normal = "\n".join(plain).lower().split("\n") if plain else []
+        normalize = self.tok.normalizer.normalize_str if self.tok.normalizer is not None else str
+        marked = normalize(" ".join(other)).split(" ") if other else []
+        if len(marked) != len(other):
+            marked = [normalize(c) for c in other]
+        for c, n in zip(plain + other, normal + marked):
+            self.chunks[c] = found = self._chunk(c, n)
+            self.held += 160 + len(c) + len(found)
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [None if t and (not self.closed or any(s in t for s in SEPARATORS) or any(s in t for s in self.special)) else (t or "").split() for t in texts]
+        if self.held > CACHE_BYTES:
+            self.forget()
+        missing = set().union(*(c for c in cut if c is not None)).difference(self.chunks)
+        if missing:
+            self._learn(list(missing))
+        get = self.chunks.__getitem__
+        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.closed or any(s in text for s in SEPARATORS):
-            return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return self.of([text])[0]
 
 
 _IDS: dict[str, Ids] = {}
@@ -120,23 +139,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _IDS:
+        if tokenizer_path not in _IDS:  # the vocabulary stays with the worker, the caches don't
             _IDS[tokenizer_path] = Ids(tokenizer_path)
         ids = _IDS[tokenizer_path]
         end = END_ID.to_bytes(4, "little")
-        for b in it:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(b.column(1)):
-                data = ids(x.as_py()) + end
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            cols = [pa.array(c, t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for whole in it:
+            for some in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(some, TEXTS)
+                row, piece, start, length, crc = [], [], [], [], []
+                for i, data in enumerate(ids.of(b.column(1).to_pylist())):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        row.append(i)
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                cols = [pa.array(c, t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.forget()
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -232,7 +255,11 @@ class Packer:
         return self._repack([list(x) for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]])
 
     def evolve(self, population: list[list[list[int]]], generations: int, enough: int) -> list[list[int]]:
-        """The elite after some generations, or as soon as it needs no more than `enough` bins."""
+        """The elite of the population that bred() gives."""
+        return self.bred(population, generations, enough)[0]
+
+    def bred(self, population: list[list[list[int]]], generations: int, enough: int) -> list[list[list[int]]]:
+        """The population, best first, after some generations, or as soon as its elite needs no more than `enough` bins."""
         pop = sorted(population, key=self.fitness, reverse=True)
         for _ in range(generations):
             if len(pop[0]) <= enough:
@@ -242,8 +269,10 @@ class Packer:
                 a, b = self.random.choice(pop[: max(2, len(pop) // 2)]), self.random.choice(pop)
                 child = self.crossover(a, b)
                 children.append(self.mutate(child) if self.random.random() < 0.5 else child)
+                if len(children[-1]) <= enough:
+                    break
             pop = sorted([*pop, *children], key=self.fitness, reverse=True)[: len(pop)]
-        return pop[0]
+        return pop
 
 
 def _labels(bins: list[list[int]], n: int) -> bytes:
@@ -261,35 +290,40 @@ def _bins(labels: bytes) -> list[list[int]]:
     return out
 
 
-_STATE = "block long, island int, labels binary, n_bins int, done boolean"
+_STATE = "block long, island int, population array<binary>, n_bins int, done boolean"
+_ARROW = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("population", pa.list_(pa.binary())), ("n_bins", pa.int32()), ("done", pa.bool_())])
+
 
+def _epoch(capacity: int, epoch: int):
+    """Rows: block, lengths, island, own population, elite that migrated here (none before the first epoch)."""
 
-def _start(capacity: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for block, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                bins = Packer(lengths, capacity, block).first()
-                done = len(bins) <= lower_bound(np.array(lengths), capacity)
-                yield pa.RecordBatch.from_pylist([{"block": block, "island": 0, "labels": _labels(bins, len(lengths)), "n_bins": len(bins), "done": done}], _ARROW)
+            for r in b.to_pylist():
+                lengths = r["lengths"]
+                p = Packer(lengths, capacity, zlib.crc32(f"{r['block']}/{r['island']}/{epoch}".encode()))
+                enough = lower_bound(np.array(lengths), capacity)
+                pop = [_bins(x) for x in (r["population"] or [])][: POPULATION - (r["guest"] is not None)]
+                pop += [_bins(r["guest"])] if r["guest"] is not None else []
+                while len(pop) < POPULATION and not (pop and min(map(len, pop)) <= enough):
+                    pop.append(p.first(DISORDER[len(pop) % len(DISORDER)]))
+                pop = p.bred(pop, GENERATIONS, enough)
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "island": r["island"], "population": [_labels(x, len(lengths)) for x in pop], "n_bins": len(pop[0]), "done": len(pop[0]) <= enough}], _ARROW)
 
     return batches
 
 
-_ARROW = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("labels", pa.binary()), ("n_bins", pa.int32()), ("done", pa.bool_())])
-
-
-def _epoch(capacity: int, epoch: int):
-    """Rows: block, lengths, island, own elite, elite that migrated here."""
+def _decreasing(capacity: int):
+    """Rows: block, lengths, labels, n_bins; plain best-fit decreasing, if it is better or there are no labels."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
-                p = Packer(r["lengths"], capacity, hash((r["block"], r["island"], epoch)))
-                enough = lower_bound(np.array(r["lengths"]), capacity)
-                pop = [_bins(x) for x in (r["labels"], r["guest"]) if x is not None]
-                pop += [p.first(0.02 * (1 + k)) for k in range(POPULATION - len(pop))]
-                bins = p.evolve(pop, GENERATIONS, enough)
-                yield pa.RecordBatch.from_pylist([{"block": r["block"], "island": r["island"], "labels": _labels(bins, len(r["lengths"])), "n_bins": len(bins), "done": len(bins) <= enough}], _ARROW)
+                labels, n = r["labels"], r["n_bins"]
+                if n > lower_bound(np.array(r["lengths"]), capacity):
+                    bins = Packer(r["lengths"], capacity, 0).first()
+                    labels = _labels(bins, len(r["lengths"])) if len(bins) < n else labels
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([labels], pa.binary())], ["block", "labels"])
 
     return batches
 
@@ -311,6 +345,35 @@ def _placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(b.column(0)[k].as_py() << 24 | bins), pa.array(ends - length - base)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
+def evolved(sizes: DataFrame, n_blocks: int, capacity: int = CAPACITY, trace: list[DataFrame] | None = None) -> DataFrame:
+    """sizes: block, lengths. The bins (labels) of each block; states after each epoch are appended to trace and kept, if given."""
+    islands = sizes.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    first = F.struct(F.col("n_bins"), F.col("island"))
+    state, over = None, []
+    tasks = max(1, min(MOST_TASKS, n_blocks * ISLANDS))
+    for epoch in range(EPOCHS):
+        if state is None:
+            met = islands.withColumn("population", F.lit(None).cast("array<binary>")).withColumn("guest", F.lit(None).cast("binary"))
+        else:
+            going = state.where("NOT over").drop("n_bins", "done", "over")
+            guest = going.select(F.col("block").alias("g_block"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("g_island"), F.col("population")[0].alias("guest"))
+            met = going.join(guest, (F.col("block") == F.col("g_block")) & (F.col("island") == F.col("g_island"))).join(sizes.withColumnRenamed("block", "s_block"), F.col("block") == F.col("s_block"))
+        slot = F.pmod(F.col("block") * ISLANDS + F.col("island"), F.lit(tasks)).cast("int")
+        dealt = met.select("block", "lengths", "island", "population", "guest").withColumn("slot", slot).repartitionById(tasks, "slot").drop("slot")
+        after = settle(dealt.mapInArrow(_epoch(capacity, epoch), _STATE), "state")
+        done = after.groupBy("block").agg(F.max("done").alias("over")).withColumnRenamed("block", "d_block")
+        state = after.join(done, F.col("block") == F.col("d_block")).drop("d_block")
+        if trace is not None:
+            trace.append(after)
+        last = state if epoch == EPOCHS - 1 else state.where("over")
+        over.append(last.groupBy("block").agg(F.min_by(F.col("population")[0], first).alias("labels"), F.min("n_bins").alias("n_bins")))
+        if epoch < EPOCHS - 1 and state.where("NOT over").isEmpty():
+            break
+    best = functools.reduce(DataFrame.unionByName, over)
+    met = best.join(sizes.withColumnRenamed("block", "s_block"), F.col("block") == F.col("s_block")).select("block", "lengths", "labels", "n_bins")
+    return met.mapInArrow(_decreasing(capacity), "block long, labels binary")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     made = settle(pieces(docs, tokenizer_path, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
@@ -320,16 +383,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block:
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n)))
     row = F.struct("uid", "doc_id", "piece", "start", "length", "ids_crc32")
     blocks = settle(dealt.groupBy("block").agg(F.array_sort(F.collect_list(row)).alias("pieces")), "blocks")
-    sizes = blocks.select("block", F.col("pieces.length").alias("lengths"))
-    state = settle(sizes.mapInArrow(_start(capacity), _STATE), "state")
-    finished = state.where("done")
-    islands = state.where("NOT done").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
-    for epoch in range(EPOCHS):
-        guest = islands.select(F.col("block").alias("g_block"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("g_island"), F.col("labels").alias("guest"))
-        met = islands.join(guest, (islands["block"] == guest["g_block"]) & (islands["island"] == guest["g_island"])).join(sizes.withColumnRenamed("block", "s_block"), islands["block"] == F.col("s_block"))
-        islands = settle(met.select("block", "lengths", "island", "labels", "guest").repartition("block", "island").mapInArrow(_epoch(capacity, epoch), _STATE), "state")
-    last = finished.unionByName(islands)
-    best = last.groupBy("block").agg(F.min_by("labels", F.struct("n_bins", "island")).alias("labels"))
+    sizes = settle(blocks.select("block", F.col("pieces.length").alias("lengths")), "sizes")
+    best = settle(evolved(sizes, n, capacity), "bins")
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = blocks.join(best.withColumnRenamed("block", "b_block"), blocks["block"] == F.col("b_block")).select("block", "pieces", "labels").mapInArrow(_placed, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return full.unionByName(placed)

@@ -9,8 +9,8 @@ with all of them, exactly, by blocked matrix products, and its NEIGHBOURS neares
 their similarity.
 
 Nulls and odd input: a null text is empty, has terms of its shape only, and is scored like any other. Rows with a null
-label or id aren't learned from; without labelled rows the score is 0. Ties of similarity are broken by place in the
-sample, which is ordered. Rows are neither merged nor lost. Columns of the input with the names of the result are
+label or id aren't learned from; without labelled rows the score is 0. Similarities are rounded to five digits, and ties
+broken by place in the sample, which is ordered. Rows are neither merged nor lost. Columns of the input with the names of the result are
 replaced.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, bounded_sample, held_out
+from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample, held_out
 
 SAMPLE = 1500
 DIMENSIONS = 64
@@ -34,6 +34,8 @@ NEIGHBOURS = 25
 #: Votes weigh similarity to this power.
 SHARPNESS = 16
 THRESHOLD = 0.7
+#: Similarities are rounded to this part of one.
+DIGITS = 100_000
 SEED = 11
 STEPS = 10
 #: Documents of a block.
@@ -104,8 +106,11 @@ class Model:
         k = min(NEIGHBOURS, len(self.votes))
         for at in range(0, len(texts) if k else 0, BLOCK):
             cosine = self.embed(np.stack([terms(t) for t in texts[at : at + BLOCK]])) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (len(cosine), 1))
-            w = np.clip(np.take_along_axis(cosine, near, axis=1), 1e-6, 1).astype(np.float64) ** SHARPNESS
+            n = cosine.shape[1]
+            place = np.rint(-cosine * DIGITS).astype(np.int64) * n + np.arange(n)
+            near = np.sort(np.partition(place, k - 1, axis=1)[:, :k] if k < n else place, axis=1)
+            rounded, near = -(near // n) / DIGITS, near % n
+            w = np.clip(rounded, 1e-6, 1) ** SHARPNESS
             out[at : at + len(cosine)] = (w * self.votes[near]).sum(axis=1) / w.sum(axis=1)
         return np.clip(out, 0, 1)
 
@@ -136,10 +141,10 @@ def fit_model(texts: list[bytes], labels: np.ndarray) -> Model:
     return Model(idf, space, _unit(a @ space), labels.astype(float))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id and quality (0 or 1). Held-out rows are not learned from."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_bytes: int = FIT_TEXT_BYTES) -> Model:
+    """labels: doc_id and quality (0 or 1). Held-out rows are not learned from, nor texts over max_bytes."""
     known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
-    rows = bounded_sample(known, docs, ["quality"], sample)
+    rows = bounded_sample(known, docs, ["quality"], sample, max_bytes=max_bytes)
     return fit_model([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], float))
 
 

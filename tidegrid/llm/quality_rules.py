@@ -1,7 +1,8 @@
 """Quality rules: base counts, and a calibrated logistic regression over hashed word and character n-grams.
 
-Features are shares: of the words that hash to a column, and of the 4-byte windows of the text that do. The model is
-fitted on the driver over at most SAMPLE labelled rows a class, calibrated by Platt's method on out-of-fold logits, and
+Features are shares: of the words, of the pairs of neighbouring words, and of the windows of GRAM characters (code
+points) of the text that hash to a column. The models - one for each fold and the final one - are fitted in tasks of
+their own over at most SAMPLE labelled rows a class, with texts of at most max_bytes, calibrated by Platt's method on out-of-fold logits, and
 scores every whole text in Arrow batches against a fixed threshold.
 
 Nulls and odd input: a null text has no words, counts of zero, and fails the base rules (fewer than MIN_WORDS words),
@@ -18,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bounded_sample
-from .linear import Logistic, Rows, calibrate, fit, out_of_fold, sigmoid, word_codes
+from .common import FIT_TEXT_BYTES, bounded_sample
+from .linear import Logistic, Rows, calibrate, folded, sigmoid, word_codes
 
 WORD_BITS, GRAM_BITS = 17, 16
 GRAM = 4
@@ -33,12 +34,14 @@ MIN_ROWS = 5
 SCALE = 20.0
 L2 = 1e-4
 THRESHOLD = 0.5
+# Odd constants of multiplicative hashing.
+MIX = (2654435761, 2246822519, 3266489917, 668265263)
 # The symbols counted, the white space between words, and the base limits.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: Bytes of a text that are turned into n-grams at once.
+#: Characters of a text that are turned into n-grams at once.
 STEP = 1 << 20
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"]
@@ -80,23 +83,35 @@ def fails(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words
 
 
-def _grams(data: bytes) -> Iterator[np.ndarray]:
-    """Hashed columns of the windows of GRAM bytes, step by step."""
-    for at in range(0, max(0, len(data) - GRAM + 1), STEP):
-        b = np.frombuffer(data[at : at + STEP + GRAM - 1], np.uint8).astype(np.uint32)
-        n = len(b) - GRAM + 1
-        code = b[:n] | b[1 : n + 1] << 8 | b[2 : n + 2] << 16 | b[3 : n + 3] << 24
-        yield (code * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
+def _grams(text: str) -> Iterator[np.ndarray]:
+    """Hashed columns of the windows of GRAM characters, step by step."""
+    for at in range(0, max(0, len(text) - GRAM + 1), STEP):
+        c = np.frombuffer(text[at : at + STEP + GRAM - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(c) - GRAM + 1
+        code = c[:n] * np.uint32(MIX[0])
+        for k in range(1, GRAM):
+            code = (code ^ c[k : n + k]) * np.uint32(MIX[k % len(MIX)])
+        yield code >> np.uint32(32 - GRAM_BITS)
 
 
-def features(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    i, n = np.unique(word_codes(words, WORD_BITS), return_counts=True)
+def _words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed columns of the words, and of the pairs of neighbours."""
+    c = word_codes(words, 32)
+    pairs = (c[:-1] * MIX[0] + c[1:] * MIX[1] & 0xFFFFFFFF) >> 32 - WORD_BITS
+    return c & (1 << WORD_BITS) - 1, pairs
+
+
+#: Columns: words, pairs of words, windows of characters.
+PARTS = np.cumsum([0, 1 << WORD_BITS, 1 << WORD_BITS, 1 << GRAM_BITS])
+
+
+def features(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     grams = np.zeros(1 << GRAM_BITS, np.int64)
-    for g in _grams(data):
+    for g in _grams(text):
         grams += np.bincount(g, minlength=1 << GRAM_BITS)
     j = np.flatnonzero(grams)
-    m = grams[j]
-    return np.concatenate([i, j + (1 << WORD_BITS)]), np.concatenate([SCALE * n / max(1, n.sum()), SCALE * m / max(1, m.sum())])
+    kinds = [np.unique(c, return_counts=True) for c in _words(words)] + [(j, grams[j])]
+    return np.concatenate([i + first for (i, _), first in zip(kinds, PARTS)]), np.concatenate([SCALE * n / max(1, n.sum()) for _, n in kinds])
 
 
 @dataclass
@@ -105,33 +120,34 @@ class Model:
     a: float
     b: float
 
-    def logit(self, data: bytes, words: list[bytes]) -> float:
+    def logit(self, text: str, words: list[bytes]) -> float:
         """Equal to the model over features(), without building them."""
-        w = self.logistic.weight
-        z = self.logistic.bias
-        if words:
-            z += SCALE * float(w[word_codes(words, WORD_BITS)].mean())
+        w, z = self.logistic.weight, self.logistic.bias
+        for c, first in zip(_words(words), PARTS):
+            if len(c):
+                z += SCALE * float(w[c + first].mean())
         total, n = 0.0, 0
-        own = w[1 << WORD_BITS :]
-        for g in _grams(data):
+        own = w[PARTS[2] :]
+        for g in _grams(text):
             total += float(own[g].sum())
             n += len(g)
         return z + SCALE * total / max(1, n)
 
-    def probability(self, data: bytes, words: list[bytes]) -> float:
-        return float(sigmoid(np.array(self.a * self.logit(data, words) + self.b)))
+    def probability(self, text: str, words: list[bytes]) -> float:
+        return float(sigmoid(np.array(self.a * self.logit(text, words) + self.b)))
 
 
-def fit_model(texts: list[bytes], y: np.ndarray) -> Model:
-    x = Rows.of([features(t, t.split()) for t in texts], (1 << WORD_BITS) + (1 << GRAM_BITS)).frequent(MIN_ROWS)
-    a, b = calibrate(out_of_fold(x, y, FOLDS, l2=L2), y)
-    return Model(fit(x, y, l2=L2), a, b)
+def fit_model(texts: list[str], y: np.ndarray, spark: SparkSession | None = None) -> Model:
+    x = Rows.of([features(t, t.encode().split()) for t in texts], int(PARTS[-1])).frequent(MIN_ROWS)
+    unseen, model = folded(x, y, FOLDS, spark, l2=L2)
+    a, b = calibrate(unseen, y)
+    return Model(model, a, b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_bytes: int = FIT_TEXT_BYTES) -> Model:
     """labels: doc_id and quality (0 or 1)."""
-    rows = bounded_sample(labels.select("doc_id", "quality"), docs, ["quality"], sample)
-    return fit_model([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], float))
+    rows = bounded_sample(labels.select("doc_id", "quality"), docs, ["quality"], sample, max_bytes=max_bytes)
+    return fit_model([r["text"] or "" for r in rows], np.array([r["quality"] for r in rows], float), docs.sparkSession)
 
 
 def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,6 +156,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     keep = [c for c in docs.columns if c.lower() not in lower]
     source = docs.select(*(f"`{c}`" for c in keep))
     at = keep.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -150,7 +167,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 words = data.split()
                 counts = base_counts(text, data, words)
                 failed = fails(counts[0], counts[4])
-                p = model.probability(data, words)
+                p = shared.value.probability(text, words)
                 rows.append((*counts, failed, p, not failed and p >= threshold))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]

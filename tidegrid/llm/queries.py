@@ -27,7 +27,7 @@ MAX_REPETITION = 1.5
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has images: each embedding is drawn as a picture, and copies are sought among all pictures."""
     images = media.pictures(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return media.copies(images).select(F.col("id").alias("vec_id"), "class_id", "n_links")
+    return media.copies(images).select(F.col("id").alias("vec_id"), "class_id")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import as_bytes, discard, settle, trim, word_runs
+from .common import as_bytes, discard, hashable, settle, trim, word_runs
 
 # Bits of the segments, and the generator polynomial of the (23, 12) Golay code,
 # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -435,12 +435,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return met.withColumn("x_root", F.coalesce("x_root", "a")).withColumn("y_root", F.coalesce("y_root", "b")).where("x_root <> y_root").drop("x_node", "y_node")
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    return [f"`{f.name}`" for f in df.schema.fields if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-
-
 def _facts(docs: DataFrame, words: int) -> DataFrame:
-    rows = docs.select("doc_id", "text", F.xxhash64(*_hashable(docs)).alias("row_hash"))
+    rows = docs.select("doc_id", "text", F.xxhash64(*hashable(docs)).alias("row_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return settle(rows.mapInArrow(_fact_batches(words), f"doc_id {kind}, {_FACTS}"), "facts")
 
@@ -457,7 +453,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
         return rows, pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     met = edges.select(F.explode(F.array("a", "b")).alias("m_node")).distinct()
     wanted = nodes.join(met, nodes["node"] == met["m_node"], "left_semi").select("node", F.col("own.doc_id").alias("w_id"), F.col("own.row_hash").alias("w_hash"))
-    keyed = docs.select("doc_id", "text", F.xxhash64(*_hashable(docs)).alias("row_hash"))
+    keyed = docs.select("doc_id", "text", F.xxhash64(*hashable(docs)).alias("row_hash"))
     texts = settle(keyed.join(wanted, (F.col("row_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text").dropDuplicates(["node"]), "texts")
     first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, similarity)
     links = first.where("near").select("a", "b")
@@ -493,9 +489,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     own = F.struct("doc_id", "row_hash")
     first = named.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(own).alias("own"))
     kept = settle(first.select(F.col("own.doc_id").alias("k_id"), F.col("own.row_hash").alias("k_hash")).distinct(), "kept")
-    row_hash = F.xxhash64(*_hashable(docs))
+    row_hash = F.xxhash64(*hashable(docs))
     stay = docs.join(kept, (docs["doc_id"] == kept["k_id"]) & (row_hash == kept["k_hash"]), "left_semi")
     repeated = rows.groupBy("doc_id", "row_hash").count().where("count > 1").join(kept, (F.col("doc_id") == F.col("k_id")) & (F.col("row_hash") == F.col("k_hash")), "left_semi")
     if not repeated.isEmpty():
-        stay = stay.dropDuplicates([c.strip("`") for c in _hashable(docs)])
+        stay = stay.dropDuplicates([c.strip("`") for c in hashable(docs)])
     return stay.unionByName(docs.where("doc_id IS NULL"))

@@ -130,11 +130,11 @@ _SEGMENTS = "shard long, g long, keys binary, segments binary, sizes binary, own
 _ANSWERS = "shard long, g long, keys binary, at binary, least binary"
 
 
-def _send_keys(shards: int):
+def _send_keys(shards: int, order_by: str):
     def of_group(key: tuple, table: pa.Table) -> pa.Table:
         data, offsets = _texts(table, "text")
         _, _, k, doc = runs(data, offsets)
-        ids = _ids(table.column("doc_id"))[doc]
+        ids = _ids(table.column(order_by))[doc]
         order = np.argsort(k, kind="stable")
         k, ids = k[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -253,13 +253,13 @@ def _distinct(data: np.ndarray, offsets: np.ndarray, keys: pa.ChunkedArray, shar
     return start, count, doc, number, s[first], order[first], order, first
 
 
-def _send_segments(shards: int):
+def _send_segments(shards: int, order_by: str):
     def of_group(key: tuple, docs: pa.Table, chosen: pa.Table) -> pa.Table:
         if not chosen.num_rows or not docs.num_rows:
             return _table([], _SEGMENTS)
         data, offsets = _texts(docs, "text")
         start, count, doc, _, shard, place, order, first = _distinct(data, offsets, chosen.column("keys"), shards)
-        owners = np.minimum.reduceat(_ids(docs.column("doc_id"))[doc[order]], first) if len(first) else np.zeros(0, np.int64)
+        owners = np.minimum.reduceat(_ids(docs.column(order_by))[doc[order]], first) if len(first) else np.zeros(0, np.int64)
         sizes = (count[place] + LENGTH - 1).astype(np.int64)
         known = np.unique(np.concatenate([unsqueeze(x.as_py(), np.uint64) for x in chosen.column("keys")]))
         of_key = _shard(known, shards)
@@ -430,20 +430,19 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, with_text:
     names = NAMES if with_text else NAMES[:-1]
     columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in NAMES]
     read = list(dict.fromkeys([*columns, "doc_id", "text"]))
-    g, o = fresh(docs, "g"), fresh(docs, "o")
-    integral = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if integral:
-        rows = docs.select(*(f"`{c}`" for c in read), F.col("doc_id").cast("long").alias(o))
-    else:
+    g, o = fresh(docs, "g"), "doc_id"
+    rows = docs.select(*(f"`{c}`" for c in read))
+    if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        o = fresh(docs, "o")
         ranks = _ranked(docs.select("doc_id"), "doc_id").withColumnRenamed("doc_id", "__own_id")
-        rows = docs.join(ranks, docs["doc_id"] == F.col("__own_id"), "left").select(*(f"`{c}`" for c in read), F.col("__rank").alias(o))
+        rows = rows.join(ranks, F.col("doc_id") == F.col("__own_id"), "left").select(*(f"`{c}`" for c in read), F.col("__rank").alias(o))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, shards = max(1, math.ceil(size / group_bytes)), max(1, min(most_shards, math.ceil(size / shard_bytes)))
+    # All steps of a group take the same columns, so that documents are dealt out once.
     dealt = rows.withColumn(g, F.pmod(F.xxhash64(o, "text"), F.lit(groups))).repartition(g)
-    slim = dealt.select(F.col(o).alias("doc_id"), "text", g)
-    keys = slim.groupBy(g).applyInArrow(_send_keys(shards), _KEYS)
+    keys = dealt.groupBy(g).applyInArrow(_send_keys(shards, o), _KEYS)
     chosen = keys.groupBy("shard").applyInArrow(_choose(memory), _CHOSEN)
-    segments = slim.groupBy(g).cogroup(chosen.groupBy("g")).applyInArrow(_send_segments(shards), _SEGMENTS)
+    segments = dealt.groupBy(g).cogroup(chosen.groupBy("g")).applyInArrow(_send_segments(shards, o), _SEGMENTS)
     answers = segments.groupBy("shard").applyInArrow(_sorted_shard(memory, base), _ANSWERS)
     kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, kinds[n]) for n in names)])

@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import as_bytes, bounded_sample
-from .linear import Logistic, Rows, fit, out_of_fold, sigmoid, word_codes
+from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample
+from .linear import Logistic, Rows, folded, sigmoid, word_codes
 
 BITS = 18
 SAMPLE = 3000
@@ -62,21 +62,22 @@ class Chain:
         return p
 
 
-def fit_chain(texts: list[bytes], labels: np.ndarray, categories: list[str]) -> Chain:
+def fit_chain(texts: list[bytes], labels: np.ndarray, categories: list[str], spark: SparkSession | None = None) -> Chain:
     x = Rows.of([(f, np.ones(len(f))) for f in map(features, texts)], 1 << BITS).frequent(MIN_ROWS)
     models, before = [], np.zeros((len(texts), 0))
     for k in range(len(categories)):
         own = x.with_dense(before) if k else x
-        models.append(fit(own, labels[:, k], l2=L2, least=CHI_SQUARE))
-        before = np.column_stack([before, sigmoid(out_of_fold(own, labels[:, k], FOLDS, l2=L2, least=CHI_SQUARE))])
+        unseen, model = folded(own, labels[:, k], FOLDS, spark, l2=L2, least=CHI_SQUARE)
+        models.append(model)
+        before = np.column_stack([before, sigmoid(unseen)])
     return Chain(categories, models)
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE) -> Chain:
-    """labels: doc_id and a 0/1 column for each category."""
-    rows = bounded_sample(labels.select("doc_id", *categories), docs, categories, sample)
+def learn(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = SAMPLE, max_bytes: int = FIT_TEXT_BYTES) -> Chain:
+    """labels: doc_id and a 0/1 column for each category. Fitted on at most `sample` rows a combination, with texts of at most max_bytes."""
+    rows = bounded_sample(labels.select("doc_id", *categories), docs, categories, sample, max_bytes=max_bytes)
     y = np.array([[r[c] for c in categories] for r in rows], float).reshape(len(rows), len(categories))
-    return fit_chain([(r["text"] or "").encode() for r in rows], y, categories)
+    return fit_chain([(r["text"] or "").encode() for r in rows], y, categories, docs.sparkSession)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -86,10 +87,11 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
     keep = [c for c in docs.columns if c.lower() not in lower]
     source = docs.select(*(f"`{c}`" for c in keep))
     at = keep.index("text")
+    shared, categories = docs.sparkSession.sparkContext.broadcast(chain), len(chain.categories)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            p = np.concatenate([np.zeros((0, len(chain.categories))), *(chain.probabilities(Rows.of([(f, np.ones(len(f)))], 1 << BITS)) for f in map(features, as_bytes(b.column(at))))])
+            p = np.concatenate([np.zeros((0, categories)), *(shared.value.probabilities(Rows.of([(f, np.ones(len(f)))], 1 << BITS)) for f in map(features, as_bytes(b.column(at))))])
             cols = [c for k in range(p.shape[1]) for c in (pa.array(p[:, k]), pa.array((p[:, k] >= threshold).astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*keep, *names])
 
