@@ -347,16 +347,22 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def consensus(p: np.ndarray, q: np.ndarray) -> int:
-    """Most matches p[i] to q[i] (x, y, scale, angle) that one of their similarity transforms explains - the place, and the match's own turn and scale -, each place of either image once."""
-    most, growth, turn = 0, q[:, 2] / p[:, 2], q[:, 3] - p[:, 3]
+def consensus(p: np.ndarray, q: np.ndarray, enough: int | None = None) -> int:
+    """Most matches p[i] to q[i] (x, y, scale, angle) that one of their similarity transforms explains - the place, and the match's own turn and scale -, each place of either image once. Or, if given, the first number found that is `enough`."""
+    most, growth, turn = 0, np.log(q[:, 2] / p[:, 2]), np.exp(1j * (q[:, 3] - p[:, 3]))
     at, to = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
-    for i in range(len(p)):
-        off = np.abs((at - at[i]) * growth[i] * np.exp(1j * turn[i]) - (to - to[i]))
-        ok = (off <= TOLERANCE * max(1.0, growth[i])) & (np.abs(np.angle(np.exp(1j * (turn - turn[i])))) <= TURN) & (np.abs(np.log(growth / growth[i])) <= np.log(GROWTH))
-        if ok.sum() > most:
-            places = [len(np.unique(np.rint(z[ok, :2] / TOLERANCE), axis=0)) for z in (p, q)]
-            most = max(most, min(places))
+    cells = [np.rint(z[:, 0] / TOLERANCE) * (1 << 20) + np.rint(z[:, 1] / TOLERANCE) for z in (p, q)]
+    for k in range(0, len(p), 64):
+        i = np.arange(k, min(len(p), k + 64))[:, None]
+        off = np.abs((at - at[i]) * np.exp(growth[i]) * turn[i] - (to - to[i]))
+        ok = (off <= TOLERANCE * np.maximum(1.0, np.exp(growth[i]))) & ((turn / turn[i]).real >= np.cos(TURN)) & (np.abs(growth - growth[i]) <= np.log(GROWTH))
+        number = ok.sum(axis=1)
+        for h in np.argsort(-number, kind="stable").tolist():
+            if number[h] <= most:
+                break
+            most = max(most, min(len(np.unique(c[ok[h]])) for c in cells))
+            if enough is not None and most >= enough:
+                return most
     return most
 
 
@@ -368,7 +374,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, j in zip([0, *cut], [*cut, len(a)]):
             if j - i >= INLIERS:
                 pairs = np.unique(np.stack([p[i:j], q[i:j]], axis=1), axis=0)
-                if consensus(unpack_places(pairs[:, 0]), unpack_places(pairs[:, 1])) >= INLIERS:
+                if consensus(unpack_places(pairs[:, 0]), unpack_places(pairs[:, 1]), INLIERS) >= INLIERS:
                     links.append((int(a[i]), int(b[i])))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
