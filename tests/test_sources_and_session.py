@@ -112,7 +112,7 @@ def test_completion(catalog, line, want):
 def test_completion_inside_select(catalog):
     q = "SELECT max(mean(u FROM cpu"
     assert completion.complete(catalog, q, 17, "metrics", "autogen").candidates == ["usage_idle", "used_bytes", "used_percent"]
-    assert completion.complete(catalog, "SELECT  FROM cpu", 7, "metrics", "autogen").candidates == ["AS", "FROM", "host", "region", "usage_idle", "value"]
+    assert completion.complete(catalog, "SELECT  FROM cpu", 7, "metrics", "autogen").candidates == ["FROM", "GROUP BY", "LIMIT", "ORDER BY", "WHERE", "host", "region", "usage_idle", "value"]
     assert [completion.measurement_of(x) for x in ("SELECT a FROM cpu", 'SELECT a FROM "rp"."cpu"', 'SELECT a FROM "cpu load" WHERE x', "SHOW MEASUREMENTS", "SELECT f(a FROM b")] == ["cpu", "cpu", "cpu load", "", ""]
 
 

@@ -6,6 +6,7 @@ import argparse
 import datetime as dt
 import os
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,7 @@ from .session import Session
 from .sources import lineproto
 from .sources.catalog import Catalog
 from .sources.history import Store
+from .streaming.watch import DEFAULT_SECONDS, Watch
 
 HISTORY = Path.home() / ".local/state/tidegrid/history.jsonl"
 CONFIG = Path.home() / ".config/tidegrid/config.yaml"
@@ -74,7 +76,7 @@ def ingest(spark: SparkSession, args: argparse.Namespace, c: config.Effective, w
         settings = iql.Settings(database=c.database, forced=frozenset({"database"} if c.database else ()))
         run = iql.run(spark, Path(args.file).read_text(encoding="utf-8"), settings, args.dry_run)
         lines, unit, database, policy = run.lines, settings.precision, settings.database, settings.retention_policy
-        summary = {"dataset": "iql", "points": run.points, "batches": run.batches, "skipped_queries": run.skipped_queries, "raw": run.raw, "ignored": ",".join(settings.ignored)}
+        summary = {"dataset": "iql", **run.measured(), "batches": run.batches, "skipped_queries": run.skipped_queries, "raw": run.raw, "ignored": ",".join(settings.ignored)}
     else:
         start = int(dt.datetime.fromisoformat(args.start).replace(tzinfo=dt.UTC).timestamp()) * 10**9 if args.start else None
         p = datasets.plan(datasets.Options(args.dataset, start, parse_rate(args.rate), duration_ns(args.duration), args.hosts, args.pids, args.points, args.series, duration_ns(args.tick), args.ratio, args.batch_size, args.precision))
@@ -88,6 +90,23 @@ def ingest(spark: SparkSession, args: argparse.Namespace, c: config.Effective, w
         print(f"{k}: {v}", file=sys.stderr)
 
 
+def watch(session: Session, args: argparse.Namespace, c: config.Effective, write) -> int:
+    """Run a statement again and again: `times` times, or until interrupted. A failure is told and the last good result stays."""
+    w = Watch(session.spark, lambda: session.execute(args.text), lambda out: render.render(out.df, c.format, out.series, max_rows=c.max_rows, max_series=c.max_series), args.every)
+    done = 0
+    try:
+        while not args.times or done < args.times:
+            began = time.monotonic()
+            good = w.refresh()
+            write(w.result if good else f"error: {w.error}")
+            done += 1
+            if done != args.times:
+                time.sleep(max(0.0, w.seconds - (time.monotonic() - began)))
+    except KeyboardInterrupt:
+        w.cancel()
+    return 0 if w.error is None else 1
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidegrid")
     for flag in ("profile", "database", "retention-policy", "precision", "format", "master", "warehouse", "max-rows", "max-series"):
@@ -95,6 +114,10 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command")
     sub.add_parser("query").add_argument("text")
     sub.add_parser("repl")
+    w = sub.add_parser("watch")
+    w.add_argument("text")
+    w.add_argument("--every", type=float, default=DEFAULT_SECONDS)
+    w.add_argument("--times", type=int, default=0)
     g = sub.add_parser("ingest")
     g.add_argument("dataset", choices=[*datasets.MEASUREMENTS, "iql"])
     for flag, default in {"file": "", "start": "", "rate": "100/s", "duration": "1m", "tick": "10s", "out": "warehouse"}.items():
@@ -127,6 +150,8 @@ def main(argv: list[str] | None = None, write=print) -> int:
             return 1
         write(render.render(out.df, c.format, out.series, max_rows=c.max_rows, max_series=c.max_series))
         return 0
+    if args.command == "watch":
+        return watch(session, args, c, write)
     repl(session, sys.stdin, write, c.format, Store(HISTORY))
     return 0
 

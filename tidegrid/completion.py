@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import CancelledError, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from .functions.text import clean_identifier
@@ -10,8 +11,8 @@ from .sources.catalog import Catalog
 
 # The words offered.
 META = [":cancel", ":clear", ":db", ":dbs", ":fields", ":fmt", ":format", ":help", ":hist", ":history", ":measurements", ":msts", ":q", ":refresh", ":rp", ":rps", ":schema", ":status", ":tags", ":use"]
-KEYWORDS = ["AND", "ASC", "BY", "COUNT", "DESC", "FROM", "GROUP", "LIMIT", "MAX", "MEAN", "MIN", "NOW()", "OR", "ORDER", "SELECT", "SHOW", "SUM", "TIME", "WHERE"]
-AFTER_SELECT = ["AS", "FROM"]
+KEYWORDS = ["AND", "DATABASES", "FROM", "GROUP BY", "LIMIT", "MEASUREMENTS", "OR", "ORDER BY", "RETENTION POLICIES", "SELECT", "SHOW", "WHERE", "now()", "time"]
+AFTER_SELECT = ["FROM", "GROUP BY", "LIMIT", "ORDER BY", "WHERE"]
 _CLAUSES = {"select", "from", "where", "group", "order", "limit", "offset", "fill", "slimit", "soffset", "tz"}
 
 
@@ -85,6 +86,18 @@ def complete(catalog: Catalog, line: str, cursor: int | None = None, database: s
     return matching(prefix, KEYWORDS)
 
 
+def suffixes(catalog: Catalog, line: str, cursor: int | None = None, database: str | None = None, policy: str | None = None, seconds: float = 2.0) -> list[str]:
+    """What a line editor puts behind the cursor: the rest of each candidate. A lookup that takes longer than `seconds`, or is cancelled, offers nothing."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        found = pool.submit(complete, catalog, line, cursor, database, policy).result(seconds)
+    except (TimeoutError, CancelledError):
+        return []
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return [c[len(found.prefix) :] for c in found.candidates]
+
+
 def _meta(catalog: Catalog, head: str, database: str | None, policy: str | None) -> Completion:
     words = head.split(" ")
     if len(words) == 1:

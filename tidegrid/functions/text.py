@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +95,24 @@ def truncate(s: str, width: int) -> str:
     return s[:width] if width <= 3 else s[: width - 3] + "..."
 
 
+def cell_width(s: str) -> int:
+    """Cells that a text takes on a terminal: two for wide characters, none for combining ones."""
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Cf", "Cc", "Me") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in s)
+
+
+def truncate_cells(s: str, width: int) -> str:
+    """At most width cells; what is cut ends in three points, and points alone where nothing else fits."""
+    if width <= 0 or cell_width(s) <= width:
+        return s if width > 0 else ""
+    kept, used = "", 0
+    for c in s:
+        used += cell_width(c)
+        if used > width - 3:
+            break
+        kept += c
+    return kept + "..." if kept else "." * min(3, width) if width <= 3 else "." * width
+
+
 def one_line(s: str, most: int = 160) -> str:
     s = clean_cell(s)
     return s if len(s.encode()) <= most else s.encode()[: most - 3].decode(errors="ignore") + "..."

@@ -238,6 +238,11 @@ class Run:
     skipped_queries: int = 0
     raw: int = 0
 
+    def measured(self) -> dict[str, int | None]:
+        """Points and the first and last time, from the lines themselves."""
+        r = self.lines.agg(F.count("*").alias("points"), F.min("time_ns").alias("from_ns"), F.max("time_ns").alias("to_ns")).first()
+        return {"points": r["points"], "data_from_ns": r["from_ns"], "data_to_ns": r["to_ns"]}
+
 
 def run(spark: SparkSession, text: str, settings: Settings | None = None, dry_run: bool = True, partitions: int | None = None) -> Run:
     """The lines of a script, lazily, and the counts that follow from it; batches never span statements."""

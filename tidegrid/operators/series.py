@@ -11,6 +11,9 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slices that a series is cut into where its points are numbered.
+SLICES = 256
+
 
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
@@ -26,14 +29,50 @@ def union_tables(parts: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
     return out.select(*(["measurement"] if named else []), *(t for t in tags if t not in data), *data)
 
 
+def numeric_fields(df: DataFrame, fields: list[str]) -> list[str]:
+    kinds = dict(df.dtypes)
+    return [f for f in fields if kinds[f] not in ("string", "boolean") and not kinds[f].startswith(("timestamp", "date", "array", "map", "struct"))]
+
+
+def points(df: DataFrame, measurement: str | None, tags: list[str], fields: list[str], time: str = "time") -> DataFrame:
+    """Numeric fields as points: name, the tags as columns of their own (tag_0, tag_1, ... in the order given), time, value; nulls and values that aren't finite are left out.
+
+    Group by name and tag columns first, and make maps or labels of the tags on the groups (tag_map).
+    """
+    numeric = numeric_fields(df, fields)
+    own = [f"tag_{k}" for k in range(len(tags))]
+    base = df.where(F.col(time).isNotNull()).select(*(F.col(t).cast("string").alias(n) for t, n in zip(tags, own)), F.col(time).alias("time"), *(F.col(f).cast("double").alias(f"field_{k}") for k, f in enumerate(numeric)))
+    if not numeric:
+        return base.select(F.lit("").alias("name"), *own, "time", F.lit(0.0).alias("value")).where("false")
+    pairs = F.array(*(F.struct(series_name(F.lit(measurement), F.lit(f)).alias("name"), F.col(f"field_{k}").alias("value")) for k, f in enumerate(numeric)))
+    return base.select(*own, "time", F.inline(pairs)).where(finite(F.col("value"))).select("name", *own, "time", "value")
+
+
+def tag_map(tags: list[str]) -> Column:
+    """The tag columns of points() as a map, null if there are none."""
+    if not tags:
+        return F.lit(None).cast("map<string,string>")
+    return F.map_from_arrays(F.array(*(F.lit(t) for t in tags)), F.array(*(F.col(f"tag_{k}") for k in range(len(tags)))))
+
+
 def unpivot(df: DataFrame, measurement: str | None, tags: list[str], fields: list[str], time: str = "time") -> DataFrame:
     """Numeric fields as series: name, tags (null if there are none), time, value; nulls and values that aren't finite are left out."""
-    kinds = dict(df.dtypes)
-    numeric = [f for f in fields if kinds[f] not in ("string", "boolean") and not kinds[f].startswith(("timestamp", "date", "array", "map", "struct"))]
-    pairs = F.map_from_arrays(F.array(*(F.lit(t) for t in tags)), F.array(*(F.col(t).cast("string") for t in tags))) if tags else F.lit(None).cast("map<string,string>")
-    base = df.select(pairs.alias("tags"), F.col(time).alias("time"), *(F.col(f).cast("double").alias(f) for f in numeric))
-    long = base.unpivot(["tags", "time"], numeric, "column", "value")
-    return long.where(finite(F.col("value")) & F.col("time").isNotNull()).select(series_name(F.lit(measurement), F.col("column")).alias("name"), "tags", "time", "value")
+    return points(df, measurement, tags, fields, time).select("name", tag_map(tags).alias("tags"), "time", "value")
+
+
+def grouped_points(df: DataFrame, measurement: str | None, tags: list[str], fields: list[str], time: str | None, source_time: str = "time") -> DataFrame:
+    """Points by series (and by `time`, if named): name, tag columns, and the least, greatest, sum and number of the values.
+
+    Fields are aggregated side by side in one pass over the rows, and only the groups are turned into long form.
+    """
+    numeric = numeric_fields(df, fields)
+    own = [f"tag_{k}" for k in range(len(tags))]
+    value = lambda f: F.when(finite(F.col(f).cast("double")), F.col(f).cast("double"))
+    keys = [*(F.col(t).cast("string").alias(n) for t, n in zip(tags, own)), *([F.col(source_time).alias(time)] if time else [])]
+    sums = [g(value(f)).alias(f"{n}_{k}") for k, f in enumerate(numeric) for n, g in (("low", F.min), ("high", F.max), ("sum", F.sum), ("n", F.count))]
+    wide = df.where(F.col(source_time).isNotNull()).groupBy(*keys).agg(*sums)
+    rows = F.array(*(F.struct(series_name(F.lit(measurement), F.lit(f)).alias("name"), *(F.col(f"{n}_{k}").alias(n) for n in ("low", "high", "sum", "n"))) for k, f in enumerate(numeric)))
+    return wide.select(*own, *([time] if time else []), F.inline(rows)).where("n > 0")
 
 
 def series_name(measurement: Column, column: Column) -> Column:
@@ -51,13 +90,42 @@ def time_range(df: DataFrame, time: str = "time") -> DataFrame:
 
 def downsample(df: DataFrame, by: list[str], order: list[str], width: int, value: str = "value") -> DataFrame:
     """Means of `width` buckets of neighbouring points: bucket j has the points from floor(j n / w) on; a series of at most `width` points stays as it is."""
-    s = Window.partitionBy(*by)
-    i = F.row_number().over(s.orderBy(*order)) - 1
-    ranked = df.where(finite(F.col(value))).withColumn("__i", i.cast("long")).withColumn("__n", F.count("*").over(s))
+    ranked = ranks(df.where(finite(F.col(value))).select(*by, *order, value), by, order)
     bucket = F.when(F.col("__n") <= width, F.col("__i")).otherwise(F.floor(((F.col("__i") + 1) * width - 1) / F.col("__n"))).cast("long")
     return ranked.withColumn("bucket", bucket).groupBy(*by, "bucket").agg(F.avg(value).alias("value"), F.count("*").alias("points"))
 
 
+def ranks(df: DataFrame, by: list[str], order: list[str], slices: int = SLICES) -> DataFrame:
+    """df with __i (place in the series, from 0) and __n (points of the series).
+
+    A series is cut into slices of equal width of its first order column, if that is a number or a time; rows are
+    numbered within slices, and the sizes of the slices before are added, so that no task holds a whole series. Points
+    with the same value of the first order column share a slice.
+    """
+    kind = dict(df.dtypes)[order[0]]
+    if kind.startswith("timestamp"):
+        at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    elif kind in ("bigint", "int", "smallint", "tinyint", "double", "float", "date"):
+        at = F.unix_date(order[0]) if kind == "date" else F.col(order[0])
+    else:
+        s = Window.partitionBy(*by)
+        return df.withColumn("__i", F.row_number().over(s.orderBy(*order)).cast("long") - 1).withColumn("__n", F.count("*").over(s))
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"__{c}"]) for c in by], F.lit(True))
+    named = lambda g: [F.col(c).alias(f"__{c}") for c in g]
+    ends = df.groupBy(*by).agg(F.min(at).cast("double").alias("__low"), F.max(at).cast("double").alias("__high")).select(*named(by), "__low", "__high")
+    part = F.coalesce(F.least(F.lit(slices - 1), F.floor((at.cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low") + F.lit(1e-9)) * slices)), F.lit(-1)).cast("int")
+    cut = df.join(ends, same(df, ends)).withColumn("__slice", part).drop(*ends.columns)
+    own = Window.partitionBy(*by, "__slice")
+    rows = cut.withColumn("__i", F.row_number().over(own.orderBy(*order)))
+    sizes = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__size"))
+    series = Window.partitionBy(*by)
+    before = F.sum("__size").over(series.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*named([*by, "__slice"]), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__size").over(series).alias("__n"))
+    starts = starts.withColumnRenamed("____slice", "__s")
+    out = rows.join(starts, same(rows, starts) & (F.col("__slice") == F.col("__s")))
+    return out.select(*df.columns, (F.col("__before") + F.col("__i") - 1).alias("__i"), "__n")
+
+
 def levels(reduced: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Level 0 to 7 of each reduced value between the least and greatest reduced value; 4 if they are equal."""
     s = Window.partitionBy(*by)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import epoch, text
 from ..operators import datasets, iql, series
 from ..sources import history, lineproto, wire
-from ..sources.catalog import Catalog, RetentionPolicy, merged_schema, tag_cardinality
+from ..sources.catalog import Catalog, RetentionPolicy, first_value, merged_schema, tag_cardinality
 from ..streaming import twins
 from .compiler import Compiler
 
@@ -46,10 +46,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     c = Catalog(spark)
     c.create_database("metrics", [RetentionPolicy("autogen", "0s", "168h0m0s", "1", True), RetentionPolicy("short", "24h0m0s", "1h0m0s", "1")])
     c.create_database("telegraf", [RetentionPolicy("raw", "720h0m0s", "24h0m0s", "1", True)])
-    events = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    c.register("metrics", "autogen", "events", events, "ts", ["event_type", "user_id"], ["value", "k", "event_id"])
-    c.register("metrics", "autogen", "orders", _table(spark, sf_dir, "orders"), "o_orderdate", ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_orderkey"])
-    c.register("metrics", "short", "lineitem", _table(spark, sf_dir, "lineitem"), "l_shipdate", LINE_TAGS, [*LINE_FIELDS, "l_orderkey"])
+    c.register_later("metrics", "autogen", "events", lambda: _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")), "ts", ["event_type", "user_id"], ["value", "k", "event_id"])
+    c.register_later("metrics", "autogen", "orders", lambda: _table(spark, sf_dir, "orders"), "o_orderdate", ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_orderkey"])
+    c.register_later("metrics", "short", "lineitem", lambda: _table(spark, sf_dir, "lineitem"), "l_shipdate", LINE_TAGS, [*LINE_FIELDS, "l_orderkey"])
     return c
 
 
@@ -81,12 +80,35 @@ _ql("ql_nested_max_mean", "SELECT max(mean(value)) FROM events GROUP BY time(1h)
 _ql("ql_subquery", "SELECT max(mean), min(mean) FROM (SELECT mean(value) FROM events GROUP BY time(1d), event_type) GROUP BY event_type", f"SELECT event_type, round(max(m), 6) AS max, round(min(m), 6) AS min FROM (SELECT {_DAY} AS t, event_type, avg(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1", "max", "min")
 _ql(
     "ql_aggregates",
-    "SELECT sum(value), min(value), max(value), first(value), last(value), spread(value), median(value), stddev(value), percentile(value, 90), distinct(k) FROM events GROUP BY event_type",
-    f"SELECT event_type, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, arg_min(value, ts) AS first, arg_max(value, ts) AS last, round(max(value) - min(value), 6) AS spread, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS stddev, round(quantile_cont(value, 0.9), 6) AS percentile, count(DISTINCT {_K}) AS \"distinct\" FROM events GROUP BY 1",
+    "SELECT sum(value), min(value), max(value), first(value), last(value), spread(value), median(value), stddev(value), percentile(value, 90), count(distinct(k)) AS n_distinct FROM events GROUP BY event_type",
+    f"SELECT event_type, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max, arg_min(value, ts) AS first, arg_max(value, ts) AS last, round(max(value) - min(value), 6) AS spread, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS stddev, round(quantile_cont(value, 0.9), 6) AS percentile, count(DISTINCT {_K}) AS n_distinct FROM events GROUP BY 1",
     "sum", "spread", "median", "stddev", "percentile",
 )
 _ql("ql_arithmetic", "SELECT value * 2 + k AS score, value / 4 AS quarter, k % 7 AS rest FROM events WHERE k >= 50", f"SELECT ts AS time, round(value * 2 + {_K}, 6) AS score, round(value / 4, 6) AS quarter, {_K} % 7 AS rest FROM events WHERE {_K} >= 50", "score", "quarter")
 _ql("ql_aggregate_arithmetic", "SELECT max(value) - min(value) AS width, sum(value) / count(value) AS average FROM events GROUP BY time(1d)", f"SELECT {_DAY} AS time, round(max(value) - min(value), 6) AS width, round(sum(value) / count(value), 6) AS average FROM events GROUP BY 1", "width", "average")
+_ql("ql_divide_by_zero", "SELECT value / k AS ratio, k % k AS rest, event_id % (k - 10) AS odd FROM events", f"SELECT ts AS time, round(value / nullif({_K}, 0), 6) AS ratio, {_K} % nullif({_K}, 0) AS rest, event_id % nullif({_K} - 10, 0) AS odd FROM events", "ratio")
+_ql("ql_star_aggregates", "SELECT count(*), mean(*) FROM events GROUP BY event_type", f"SELECT event_type, count(event_id) AS count_event_id, count({_K}) AS count_k, count(value) AS count_value, round(avg(event_id), 6) AS mean_event_id, round(avg({_K}), 6) AS mean_k, round(avg(value), 6) AS mean_value FROM events GROUP BY 1", "mean_event_id", "mean_k", "mean_value")
+_ql("ql_distinct", "SELECT distinct(k) FROM events GROUP BY event_type", f'SELECT DISTINCT event_type, {_K} AS "distinct" FROM events WHERE {_K} IS NOT NULL')
+_ql("ql_distinct_by_time", "SELECT distinct(user_id) AS who FROM events GROUP BY time(1d)", f"SELECT DISTINCT {_DAY} AS time, CAST(user_id AS VARCHAR) AS who FROM events WHERE user_id IS NOT NULL")
+_DAILY = f"(SELECT {_DAY} AS time, event_type, avg(value) AS m FROM events GROUP BY 1, 2)"
+_DAYS_W = "WINDOW w AS (PARTITION BY event_type ORDER BY time)"
+_ql("ql_difference", "SELECT difference(mean(value)), non_negative_difference(mean(value)) AS up FROM events GROUP BY time(1d), event_type", f"SELECT * FROM (SELECT time, event_type, round(m - lag(m) OVER w, 6) AS difference, round(CASE WHEN m >= lag(m) OVER w THEN m - lag(m) OVER w END, 6) AS up FROM {_DAILY} {_DAYS_W}) WHERE difference IS NOT NULL OR up IS NOT NULL", "difference", "up")
+_ql("ql_derivative", "SELECT derivative(mean(value), 1h), non_negative_derivative(mean(value), 6h) AS up FROM events GROUP BY time(1d), event_type", f"SELECT * FROM (SELECT time, event_type, round((m - lag(m) OVER w) * 3600 / (epoch(time) - epoch(lag(time) OVER w)), 6) AS derivative, round(CASE WHEN m >= lag(m) OVER w THEN (m - lag(m) OVER w) * 21600 / (epoch(time) - epoch(lag(time) OVER w)) END, 6) AS up FROM {_DAILY} {_DAYS_W}) WHERE derivative IS NOT NULL OR up IS NOT NULL", "derivative", "up")
+_ql("ql_moving_average", "SELECT moving_average(mean(value), 3) FROM events GROUP BY time(1d), event_type", f"SELECT * FROM (SELECT time, event_type, round(CASE WHEN count(m) OVER v = 3 THEN avg(m) OVER v END, 6) AS moving_average FROM {_DAILY} WINDOW v AS (PARTITION BY event_type ORDER BY time ROWS 2 PRECEDING)) WHERE moving_average IS NOT NULL", "moving_average")
+_ql("ql_cumulative_sum", "SELECT cumulative_sum(sum(k)) FROM events GROUP BY time(1d), event_type", f"SELECT time, event_type, CAST(sum(s) OVER (PARTITION BY event_type ORDER BY time) AS BIGINT) AS cumulative_sum FROM (SELECT {_DAY} AS time, event_type, sum({_K}) AS s FROM events GROUP BY 1, 2)")
+_ql("ql_elapsed", "SELECT elapsed(count(value), 1m) FROM events GROUP BY time(1h), event_type", f"SELECT * FROM (SELECT time, event_type, CAST(floor((epoch(time) - epoch(lag(time) OVER w)) / 60) AS BIGINT) AS elapsed FROM (SELECT DISTINCT {_HOUR} AS time, event_type FROM events) {_DAYS_W}) WHERE elapsed IS NOT NULL")
+_ql("ql_top", "SELECT top(value, 3) FROM events GROUP BY event_type", "SELECT time, event_type, top FROM (SELECT ts AS time, event_type, value AS top, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts) AS n FROM events WHERE value IS NOT NULL) WHERE n <= 3")
+_ql("ql_bottom", "SELECT bottom(value, 2) AS least FROM events GROUP BY time(7d), event_type", "SELECT time, event_type, least FROM (SELECT ts AS time, event_type, value AS least, row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') ORDER BY value, ts) AS n FROM events WHERE value IS NOT NULL) WHERE n <= 2")
+_ql("ql_mode", "SELECT mode(k) FROM events GROUP BY event_type", f"SELECT event_type, arg_min(k, (-n, k)) AS mode FROM (SELECT event_type, {_K} AS k, count(*) AS n FROM events WHERE {_K} IS NOT NULL GROUP BY 1, 2) GROUP BY 1")
+_ql("ql_regex_from", "SELECT count(event_id), count(o_orderkey) AS orders FROM /^(events|ord)/", "SELECT 'events' AS measurement, count(event_id) AS count, 0 AS orders FROM events UNION ALL SELECT 'orders', 0, count(o_orderkey) FROM orders")
+_query("ql_into", f"SELECT {_DAY} AS time, event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")(lambda spark, sf_dir: _into(spark, sf_dir))
+
+
+def _into(spark, sf_dir):
+    c = Compiler(spark, catalog(spark, sf_dir), "metrics", "autogen", lambda: NOW)
+    c.run('SELECT mean(value) INTO "short"."daily" FROM events GROUP BY time(1d), event_type')
+    return _rounded(c.run('SELECT * FROM "short"."daily"'), "mean")
+
 
 _BOUNDS = "WHERE time >= '2024-01-01T00:00:00Z' AND time < '2024-01-08T00:00:00Z'"
 _GRID = f"""
@@ -121,7 +143,25 @@ _ql("ql_multi_statement", "SELECT mean(value) FROM events GROUP BY event_type; S
 _ql("ql_qualified_names", 'SELECT count(l_tax) FROM "metrics"."short"."lineitem" GROUP BY l_returnflag', "SELECT l_returnflag, count(l_tax) AS count FROM lineitem GROUP BY 1")
 _query("ql_now", "SELECT TIMESTAMP '2024-01-31 00:00:00' AS now")(lambda spark, sf_dir: run(spark, sf_dir, "SELECT now()").select(F.col("now").cast("timestamp_ntz").alias("now")))
 _query("ql_sql_escape", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda spark, sf_dir: spark.sql("SELECT event_type, count(*) AS n FROM {t} GROUP BY 1", t=_table(spark, sf_dir, "events")))
-_query("ql_explain")(lambda spark, sf_dir: run(spark, sf_dir, "EXPLAIN SELECT mean(value) FROM events WHERE time > now() - 1d GROUP BY time(1h)"))
+
+
+@_query("ql_explain", "SELECT true AS filter_is_pushed, true AS columns_are_pruned")
+def _explain(spark, sf_dir):
+    """What EXPLAIN shows of the scan: the time filter reaches it, and only the columns in use are read."""
+    plan = run(spark, sf_dir, "EXPLAIN SELECT mean(value) FROM events WHERE time > now() - 1d GROUP BY time(1h)")
+    return plan.agg(F.max(F.col("plan").contains("GreaterThan(ts,")).alias("filter_is_pushed"), F.max(F.col("plan").contains("ReadSchema: struct<ts:timestamp_ntz,value:double>")).alias("columns_are_pruned"))
+
+
+_query("ql_approximate", "SELECT event_type, true AS median_near, true AS percentile_near FROM events GROUP BY 1")(lambda spark, sf_dir: _approximate(spark, sf_dir))
+
+
+def _approximate(spark, sf_dir):
+    """Sketched quantiles lie among the exact ones of ranks nearby."""
+    got = run(spark, sf_dir, "SELECT median_approx(value) AS m, percentile_approx(value, 90) AS p FROM events GROUP BY event_type")
+    exact = run(spark, sf_dir, "SELECT percentile(value, 49) AS m0, percentile(value, 51) AS m1, percentile(value, 89) AS p0, percentile(value, 91) AS p1 FROM events GROUP BY event_type")
+    return got.join(exact, "event_type").select("event_type", F.col("m").between(F.col("m0"), F.col("m1")).alias("median_near"), F.col("p").between(F.col("p0"), F.col("p1")).alias("percentile_near"))
+
+
 
 # Metadata.
 
@@ -130,6 +170,13 @@ _query("met_measurements", "SELECT * FROM (VALUES ('events'), ('lineitem'), ('or
 _query("met_field_keys", """SELECT * FROM (VALUES ('events', 'event_id', 'integer'), ('events', 'k', 'integer'), ('events', 'value', 'float')) t(measurement, "fieldKey", "fieldType")""")(lambda spark, sf_dir: run(spark, sf_dir, "SHOW FIELD KEYS FROM events"))
 _query("met_tag_keys", """SELECT * FROM (VALUES ('events', 'event_type'), ('events', 'user_id'), ('orders', 'o_orderpriority'), ('orders', 'o_orderstatus')) t(measurement, "tagKey")""")(lambda spark, sf_dir: run(spark, sf_dir, "SHOW TAG KEYS"))
 _query("met_tag_values", "SELECT DISTINCT 'event_type' AS key, event_type AS value FROM events")(lambda spark, sf_dir: run(spark, sf_dir, "SHOW TAG VALUES FROM events WITH KEY = event_type"))
+_ql("met_tag_values_all", "SHOW TAG VALUES WITH KEY IN (event_type, o_orderstatus)", "SELECT DISTINCT 'events' AS measurement, 'event_type' AS key, event_type AS value FROM events UNION ALL SELECT DISTINCT 'orders', 'o_orderstatus', o_orderstatus FROM orders")
+_ql("met_series", "SHOW SERIES FROM orders", "SELECT DISTINCT 'orders,o_orderpriority=' || replace(o_orderpriority, ' ', '\\ ') || ',o_orderstatus=' || o_orderstatus AS key FROM orders")
+_ql("met_series_cardinality_all", "SHOW SERIES CARDINALITY", "SELECT 'events' AS measurement, count(DISTINCT (event_type, user_id)) AS cardinality FROM events UNION ALL SELECT 'orders', count(DISTINCT (o_orderstatus, o_orderpriority)) FROM orders")
+_query("met_ping", "SELECT true AS ok")(lambda spark, sf_dir: spark.range(1).select(F.lit(catalog(spark, sf_dir).ping()).alias("ok")))
+_query("met_cell", "SELECT event_id, coalesce(event_type, CAST(user_id AS VARCHAR)) AS cell FROM events")(
+    lambda spark, sf_dir: first_value(_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("Name"), F.col("user_id").cast("string").alias("NAME")), "name", "cell")
+)
 _query(
     "met_schema",
     """SELECT * FROM (VALUES ('events', 'field', 'event_id', 'integer'), ('events', 'field', 'k', 'integer'), ('events', 'field', 'value', 'float'), ('events', 'tag', 'event_type', ''), ('events', 'tag', 'user_id', ''),
@@ -164,17 +211,19 @@ def _table_union(spark, sf_dir):
     return series.union_tables([("events", a, ["event_type"]), ("orders", b, ["o_orderstatus"])])
 
 
-def _line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.unpivot(_table(spark, sf_dir, "lineitem"), "lineitem", LINE_TAGS, LINE_FIELDS, "l_shipdate")
-
-
 _LINE_SERIES = "SELECT 'lineitem.' || field AS name, 'l_linestatus=' || l_linestatus || ',l_returnflag=' || l_returnflag AS label, l_shipdate AS time, value FROM (UNPIVOT (SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME field VALUE value)"
 
 
 @_query("nrm_series_unpivot", f"SELECT name || '{{' || label || '}}' AS label, time, count(*) AS n, round(sum(value), 4) AS total FROM ({_LINE_SERIES}) GROUP BY 1, 2")
 def _series_unpivot(spark, sf_dir):
-    s = _line_series(spark, sf_dir).groupBy(text.series_label(F.col("name"), F.col("tags")).alias("label"), "time")
-    return s.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    s = series.grouped_points(_table(spark, sf_dir, "lineitem"), "lineitem", LINE_TAGS, LINE_FIELDS, "time", "l_shipdate")
+    return s.select(text.series_label(F.col("name"), series.tag_map(LINE_TAGS)).alias("label"), "time", "n", F.round("sum", 4).alias("total"))
+
+
+@_query("nrm_series_points", f"SELECT name, label, count(*) AS n, round(min(value), 4) AS low, count(DISTINCT time) AS times FROM ({_LINE_SERIES}) GROUP BY 1, 2")
+def _series_points(spark, sf_dir):
+    s = series.points(_table(spark, sf_dir, "lineitem"), "lineitem", LINE_TAGS, LINE_FIELDS, "l_shipdate").groupBy("name", "tag_0", "tag_1").agg(F.count("*").alias("n"), F.round(F.min("value"), 4).alias("low"), F.count_distinct("time").alias("times"))
+    return _keyed(s.withColumn("tags", series.tag_map(LINE_TAGS))).select("name", F.col("tags_key").alias("label"), "n", "low", "times")
 
 
 #: Order keys whose orders share a response body, for each status.
@@ -188,25 +237,28 @@ def _order_bodies(orders: DataFrame) -> DataFrame:
     return parts.select(F.format_string('{"results":[{"statement_id":0,"series":[{"name":"orders","tags":{"o_orderstatus":"%s"},"columns":["time","value","note"],"values":[%s]}]}]}', "o_orderstatus", "rows").alias("body"))
 
 
-@_query("nrm_wire_series", "SELECT 'orders' AS name, o_orderstatus AS tag, epoch_ns(o_orderdate) AS time_ns, round(o_totalprice, 6) AS value FROM orders WHERE o_orderkey % 50 = 0")
+@_query("nrm_wire_series", "SELECT 'orders' AS name, o_orderstatus AS tag, epoch_ns(o_orderdate) AS time_ns, round(o_totalprice, 6) AS value FROM orders")
 def _wire_series(spark, sf_dir):
     """Orders as response bodies, built and read back."""
-    body = _order_bodies(_table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+    body = _order_bodies(_table(spark, sf_dir, "orders"))
     return wire.normalize(body).series.select("name", F.col("tags")["o_orderstatus"].alias("tag"), "time_ns", F.round("value", 6).alias("value"))
 
 
 # Summaries, downsampling, chart geometry.
 
-_BY = ["name", "tags_key"]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("tags_key", F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
 
 
-_query("sum_series_stats", f"SELECT name, label AS tags_key, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 6) AS avg_value, count(*) AS points FROM ({_LINE_SERIES}) GROUP BY 1, 2")(
-    lambda spark, sf_dir: _rounded(series.stats(_keyed(_line_series(spark, sf_dir)), _BY), "min_value", "max_value", "avg_value")
-)
+@_query("sum_series_stats", f"SELECT name, label AS tags_key, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 6) AS avg_value, count(*) AS points FROM ({_LINE_SERIES}) GROUP BY 1, 2")
+def _series_stats(spark, sf_dir):
+    s = series.grouped_points(_table(spark, sf_dir, "lineitem"), "lineitem", LINE_TAGS, LINE_FIELDS, None, "l_shipdate")
+    s = s.select("name", series.tag_map(LINE_TAGS).alias("tags"), F.col("low").alias("min_value"), F.col("high").alias("max_value"), (F.col("sum") / F.col("n")).alias("avg_value"), F.col("n").alias("points"))
+    return _rounded(_keyed(s).drop("tags"), "min_value", "max_value", "avg_value")
+
+
 _query("sum_time_range", "SELECT min(ts) AS time_from, max(ts) AS time_to FROM events")(lambda spark, sf_dir: series.time_range(_table(spark, sf_dir, "events"), "ts"))
 
 _WIDTH = 60
@@ -253,8 +305,8 @@ _query("fn_line_protocol", "SELECT event_id, 'events,event_type=' || event_type
         lambda e: e.select("event_id", lineproto.line("events", ["event_type", "user"], ["value", "id"], e, "ms").alias("line"))
     )(_table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("user"), (F.floor(F.col("value") * 10) / 10).alias("value"), F.col("event_id").alias("id"), (epoch.micros(F.col("ts")) * 1000).alias("time_ns")))
 )
-_query("fn_line_escape", r"""SELECT doc_id, replace(replace(replace(left(text, 200), '\', '\\'), ',', '\,'), ' ', '\ ') AS measurement, replace(replace(replace(replace(left(text, 200), '\', '\\'), ',', '\,'), ' ', '\ '), '=', '\=') AS tag, '"' || replace(replace(left(text, 200), '\', '\\'), '"', '\"') || '"' AS field FROM documents""")(
-    lambda spark, sf_dir: (lambda t: _table(spark, sf_dir, "documents").select("doc_id", text.escape_measurement(t).alias("measurement"), text.escape_key(t).alias("tag"), text.quote_field(t).alias("field")))(F.substring("text", 1, 200))
+_query("fn_line_escape", r"""SELECT doc_id, replace(replace(replace(text, '\', '\\'), ',', '\,'), ' ', '\ ') AS measurement, replace(replace(replace(replace(text, '\', '\\'), ',', '\,'), ' ', '\ '), '=', '\=') AS tag, '"' || replace(replace(text, '\', '\\'), '"', '\"') || '"' AS field FROM documents""")(
+    lambda spark, sf_dir: (lambda t: _table(spark, sf_dir, "documents").select("doc_id", text.escape_measurement(t).alias("measurement"), text.escape_key(t).alias("tag"), text.quote_field(t).alias("field")))(F.col("text"))
 )
 _query("fn_series_label", "SELECT DISTINCT 'orders{priority=' || o_orderpriority || ',status=' || o_orderstatus || '}' AS label FROM orders")(
     lambda spark, sf_dir: _table(spark, sf_dir, "orders").select(text.series_label(F.lit("orders"), F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")).alias("label")).distinct()
@@ -270,6 +322,17 @@ def _line_parse(spark, sf_dir):
     return p.select("event_id", F.col("tags")["event_type"].alias("event_type"), F.col("tags")["user_id"].alias("user_id"), lineproto.typed(F.col("fields")["id"], "integer").alias("id"), F.round(lineproto.typed(F.col("fields")["value"], "float"), 3).alias("value"), F.expr("time_ns div 1000000").alias("ms"))
 
 
+@_query("src_line_bad_rows", "SELECT n, CASE n % 4 WHEN 0 THEN 'cpu' WHEN 1 THEN 'a b' WHEN 2 THEN 'cpu' END AS measurement, CASE n % 4 WHEN 0 THEN 'y' WHEN 1 THEN 'c,d' WHEN 2 THEN '1' END AS host, CASE WHEN n % 4 <> 3 THEN n END AS time_ns FROM (SELECT event_id AS n FROM events)")
+def _line_bad_rows(spark, sf_dir):
+    """Lines with a repeated tag, escapes, a quoted field and no fields at all, in turn."""
+    n = F.col("event_id")
+    stamp = F.concat(F.lit(" "), n.cast("string"))
+    kinds = [F.concat(F.lit("cpu,host=x,host=y v=1,v=2"), stamp), F.concat(F.lit("a\\ b,host=c\\,d v=1"), stamp), F.concat(F.lit('cpu,host=1 note="x y,z=\\"q\\""'), stamp), F.lit("cpu")]
+    line = F.when(n % 4 == 0, kinds[0]).when(n % 4 == 1, kinds[1]).when(n % 4 == 2, kinds[2]).otherwise(kinds[3])
+    p = lineproto.parse(_table(spark, sf_dir, "events").select(n.alias("n"), line.alias("line")))
+    return p.select("n", "measurement", F.col("tags")["host"].alias("host"), "time_ns")
+
+
 # Generators.
 
 
@@ -339,6 +402,9 @@ _query("hist_search_joined", "SELECT conv_id, turn FROM conversations WHERE cont
 _query("stream_hourly_counts", f"SELECT {_HOUR} AS time, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")(
     lambda spark, sf_dir: _rounded(twins.drained(twins.bucket_counts(twins.file_stream(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], "value"), "complete"), "total")
 )
+_query("stream_sessions", "SELECT event_type, CAST(min(ts) AS TIMESTAMP) AS session_start, CAST(max(ts) + INTERVAL '90 seconds' AS TIMESTAMP) AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL '90 seconds' THEN 0 ELSE 1 END AS new FROM events WHERE event_type <> 'view')) GROUP BY event_type, session")(
+    lambda spark, sf_dir: twins.drained(twins.sessions(twins.file_stream(spark, sf_dir, "events").where("event_type <> 'view'").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "90 seconds", ["event_type"], "1 hour"), "complete").select("event_type", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+)
 _query("watch_snapshot", "SELECT event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1")(
     lambda spark, sf_dir: twins.drained(twins.file_stream(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("latest")), "complete")
 )

@@ -3,11 +3,18 @@
 Decisions where the language leaves room: without a time bucket an aggregate has no time column; buckets start at the
 epoch (plus the offset); empty buckets appear only with FILL, between the bounds of the WHERE clause or, where it has
 none, of the result; LIMIT and OFFSET count within each series when grouped by tags; SLIMIT and SOFFSET count tag sets
-in order; one clock reading serves a whole statement.
+in order; one clock reading serves a whole statement. Division by zero and its remainder are null. `*` inside a function
+stands for every field it can take (numbers, or all for count). Functions of neighbouring points (difference, derivative,
+moving_average, ...) work on the points of a tag set in the order of time, or on the buckets of an aggregate, and rows
+where they all are null are left out; top, bottom and distinct stand alone. A pattern behind FROM joins all measurements
+that match it, with their names. median and percentile interpolate and are exact: the distinct values of a group meet in
+one task; median_approx and percentile_approx keep a sketch of ACCURACY instead, whose ranks are off by 1 / ACCURACY at
+most. INTO registers the result as a measurement of the catalog.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import functools
 import operator
@@ -17,9 +24,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog, Measurement, series_cardinality
+from ..sources.catalog import Catalog, Measurement, series_cardinality, series_keys, tag_values
 from .lexer import QueryError, dialect, statements
-from .parser import Binary, Call, Create, Duration, Explain, Literal, Name, Regex, Select, Show, Source, Star, parse
+from .parser import Binary, Call, Create, Drop, Duration, Explain, Literal, Name, Regex, Select, Show, Source, Star, parse
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -34,11 +41,27 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "spread": lambda c, t: F.max(c) - F.min(c),
     "median": lambda c, t: F.median(c),
     "stddev": lambda c, t: F.stddev_samp(c),
-    "distinct": lambda c, t: F.count_distinct(c),
+    "mode": lambda c, t: F.mode(c, True),
     "percentile": lambda c, t, n: F.percentile(c, F.lit(n / 100)),
+    "median_approx": lambda c, t: F.approx_percentile(c.cast("double"), F.lit(0.5), F.lit(ACCURACY)),
+    "percentile_approx": lambda c, t, n: F.approx_percentile(c.cast("double"), F.lit(n / 100), F.lit(ACCURACY)),
 }
+#: Functions of neighbouring points: value, time in nanoseconds, window, argument.
+_PREVIOUS = lambda c, w: F.lag(c).over(w)
+NEIGHBOURS: dict[str, Callable[..., Column]] = {
+    "difference": lambda c, t, w, n: c - _PREVIOUS(c, w),
+    "non_negative_difference": lambda c, t, w, n: F.when(c >= _PREVIOUS(c, w), c - _PREVIOUS(c, w)),
+    "derivative": lambda c, t, w, n: F.try_divide((c - _PREVIOUS(c, w)).cast("double") * n, t - _PREVIOUS(t, w)),
+    "non_negative_derivative": lambda c, t, w, n: F.when(c >= _PREVIOUS(c, w), F.try_divide((c - _PREVIOUS(c, w)).cast("double") * n, t - _PREVIOUS(t, w))),
+    "elapsed": lambda c, t, w, n: F.floor((t - _PREVIOUS(t, w)) / F.lit(n)).cast("long"),
+    "cumulative_sum": lambda c, t, w, n: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    "moving_average": lambda c, t, w, n: F.when(F.count(c).over(w.rowsBetween(1 - n, 0)) == n, F.avg(c).over(w.rowsBetween(1 - n, 0))),
+}
+#: Functions whose second argument is a duration, and its default in nanoseconds.
+UNITS = {"derivative": 10**9, "non_negative_derivative": 10**9, "elapsed": 1}
+ACCURACY = 10_000
 SCALARS: dict[str, Callable[..., Column]] = {k: getattr(F, k) for k in ("abs", "sin", "cos", "tan", "sqrt", "exp", "ln", "floor", "ceil", "round", "log2", "log10", "pow")}
-_OPS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod, "=": operator.eq, "!=": operator.ne, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+_OPS = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": F.try_divide, "%": F.try_mod, "=": operator.eq, "!=": operator.ne, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 _FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "!=": "!=", "<>": "<>"}
 
 
@@ -55,7 +78,7 @@ def _parse_time(text: str) -> int:
 
 class Compiler:
     def __init__(self, spark: SparkSession, catalog: Catalog, database: str | None = None, policy: str | None = None, now: Callable[[], dt.datetime] | None = None):
-        self.spark, self.catalog, self.database, self.policy = spark, catalog, database, policy
+        self.spark, self.catalog, self.database, self.policy, self.tags = spark, catalog, database, policy, []
         self.now_us = ((now or (lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None)))() - EPOCH) // dt.timedelta(microseconds=1)
 
     # Statements.
@@ -72,17 +95,31 @@ class Compiler:
 
     def statement(self, s) -> DataFrame:
         if isinstance(s, Select):
-            return self.select(s)[0]
+            return self.into(s) if s.into else self.select(s)[0]
         if isinstance(s, Explain):
             plan = self.select(s.query)[0]._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
             return self.spark.createDataFrame([(line,) for line in plan.splitlines()], "plan string")
         if isinstance(s, Create):
             self.catalog.create_database(s.database)
             return self.spark.createDataFrame([], "name string")
+        if isinstance(s, Drop):
+            self.catalog.drop_database(s.name) if s.what == "database" else self.catalog.drop_measurement(self.database, s.name)
+            return self.spark.createDataFrame([], "name string")
         return self.show(s)
 
+    def into(self, q: Select) -> DataFrame:
+        """The result becomes a measurement; the answer is the number of rows."""
+        df, tags = self.select(q, inner=True)
+        names = q.into.names
+        database, policy = (names[0], names[1]) if len(names) == 3 else (self.database, names[0] if len(names) == 2 else self.policy)
+        rows = df if "time" in df.columns else df.withColumn("time", F.lit(EPOCH))
+        kinds = dict(rows.dtypes)
+        tags = [*tags, *(c for c in rows.columns if kinds[c] == "string" and c not in tags and c in self.tags)]
+        self.catalog.register(database, policy or self.catalog.default_policy(database), names[-1], rows, "time", tags, [c for c in rows.columns if c != "time" and c not in tags])
+        return rows.agg(F.count("*").alias("written"))
+
     def show(self, s: Show) -> DataFrame:
-        db, name = s.database or self.database, s.source.names[-1] if s.source else None
+        db, name = s.database or self.database, s.source.names[-1] if s.source and s.source.names else None
         if s.what == "databases":
             return self.catalog.show_databases()
         if s.what == "retention policies":
@@ -93,10 +130,17 @@ class Compiler:
             return self.catalog.field_keys(db, self.policy, name)
         if s.what == "tag keys":
             return self.catalog.tag_keys(db, self.policy, name)
-        m = self.measurement(s.source)
+        named = [self.measurement(s.source)] if s.source and s.source.names else self.catalog.measurements(db, self.policy, s.source.pattern if s.source else None)
         if s.what == "series cardinality":
-            return series_cardinality(m)
-        return m.df.select(F.lit(s.key).alias("key"), F.col(s.key).alias("value")).where("value IS NOT NULL").distinct().orderBy("value")
+            return series_cardinality(named[0]) if s.source and s.source.names else functools.reduce(DataFrame.union, (series_cardinality(m).select(F.lit(m.name).alias("measurement"), "cardinality") for m in named))
+        if s.what == "series":
+            return functools.reduce(DataFrame.union, map(series_keys, named)).orderBy("key")
+        if s.source and s.source.names and len(s.keys) == 1:
+            return tag_values(named[0], s.keys[0]).orderBy("value")
+        found = [tag_values(m, k).select(F.lit(m.name).alias("measurement"), "key", "value") for m in named for k in s.keys if k in m.tags]
+        if not found:
+            return self.spark.createDataFrame([], "measurement string, key string, value string")
+        return functools.reduce(DataFrame.union, found).orderBy("measurement", "key", "value")
 
     def measurement(self, source: Source) -> Measurement:
         names = source.names
@@ -107,6 +151,14 @@ class Compiler:
         return self.catalog.lookup(self.database, self.policy, names[0])
 
     def relation(self, source: Source) -> Measurement:
+        if source.pattern is not None:
+            found = self.catalog.measurements(self.database, self.policy, source.pattern)
+            if not found:
+                raise QueryError(f"no measurement matches /{source.pattern}/")
+            tags, fields = sorted({t for m in found for t in m.tags}), {f: k for m in found for f, k in m.fields.items()}
+            fields = {f: k for f, k in fields.items() if f not in tags}
+            df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (m.df.select(F.lit(m.name).alias("measurement"), "time", *(F.col(f"`{c}`").cast("double") if m.fields.get(c) in ("float", "integer") else F.col(f"`{c}`") for c in m.columns() if c != "time")) for m in found))
+            return Measurement("", df, ["measurement", *tags], fields)
         if source.query is None:
             return self.measurement(source)
         df, tags = self.select(source.query, inner=True)
@@ -120,12 +172,20 @@ class Compiler:
             row = self.spark.range(1)
             return row.select(*(self.constant(e).alias(a or _label(e)) for e, a in q.fields)), []
         m = self.relation(q.source)
+        self.tags = m.tags
+        q = self.expanded(q, m)
         self.kind = dict(m.df.dtypes).get("time", "timestamp")
         df = m.df if q.where is None else m.df.where(self.condition(q.where, m, self.kind))
         tags = sorted(m.tags) if q.all_tags else q.tags
         for t in tags:
             if t not in m.tags:
                 raise QueryError(f"unknown tag {t!r}")
+        if q.source.pattern is not None and "measurement" not in tags and any(_aggregates(e) or _moves(e) for e, _ in q.fields):
+            tags = ["measurement", *tags]
+        if any(isinstance(e, Call) and e.name in ("top", "bottom", "distinct") for e, _ in q.fields):
+            return self.finish(self.chosen(df, m, q, tags), q, tags, inner), tags
+        if any(_moves(e) for e, _ in q.fields):
+            return self.finish(self.moved(df, m, q, tags), q, tags, inner), tags
         calls = [(e, a) for e, a in q.fields if _aggregates(e)]
         if calls and len(calls) < len(q.fields):
             raise QueryError("aggregates and plain fields can't be mixed")
@@ -138,6 +198,73 @@ class Compiler:
             out = df.select(*time, *keep, *(c.alias(n) for n, c in cols))
         return self.finish(out, q, tags, inner), tags
 
+    def expanded(self, q: Select, m: Measurement) -> Select:
+        """q with * inside a function written out for every field that the function takes."""
+        fields = []
+        for e, alias in q.fields:
+            inner = e.args[0] if isinstance(e, Call) and e.args and isinstance(e.args[0], Call) else e
+            if isinstance(inner, Call) and inner.args and isinstance(inner.args[0], Star):
+                taken = sorted(f for f, k in m.fields.items() if inner.name == "count" or k in ("float", "integer"))
+                for f in taken:
+                    own = Call(inner.name, (Name(f), *inner.args[1:]))
+                    fields.append((own if inner is e else Call(e.name, (own, *e.args[1:])), f"{alias or e.name}_{f}"))
+            else:
+                fields.append((e, alias))
+        return dataclasses.replace(q, fields=fields)
+
+    def chosen(self, df: DataFrame, m: Measurement, q: Select, tags: list[str]) -> DataFrame:
+        """top, bottom or distinct of each tag set (and bucket)."""
+        if len(q.fields) > 1:
+            raise QueryError("top, bottom and distinct stand alone")
+        e, alias = q.fields[0]
+        if not e.args or len(e.args) != (1 if e.name == "distinct" else 2):
+            raise QueryError(f"wrong arguments of {e.name}()")
+        value, name = self.value(e.args[0], m), alias or e.name
+        keys = [F.col(f"`{t}`") for t in tags]
+        bucket = [self.bucket(q).alias("time")] if q.every_ns else []
+        if e.name == "distinct":
+            return df.select(*bucket, *keys, value.alias(name)).where(F.col(name).isNotNull()).distinct()
+        if not (isinstance(e.args[1], Literal) and isinstance(e.args[1].value, int) and e.args[1].value > 0):
+            raise QueryError(f"{e.name}() needs a number of points")
+        rows = df.select("time", *keys, value.alias(name), *([self.bucket(q).alias("__bucket")] if q.every_ns else [])).where(F.col(f"`{name}`").isNotNull())
+        by = [*tags, *(["__bucket"] if q.every_ns else [])]
+        order = F.col(f"`{name}`").desc() if e.name == "top" else F.col(f"`{name}`").asc()
+        n = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order, "time"))
+        return rows.withColumn("__n", n).where(F.col("__n") <= e.args[1].value).select("time", *keys, f"`{name}`")
+
+    def moved(self, df: DataFrame, m: Measurement, q: Select, tags: list[str]) -> DataFrame:
+        """Functions of neighbouring points of each tag set, or of the buckets of aggregates."""
+        calls = []
+        for e, alias in q.fields:
+            if not _moves(e) or not e.args:
+                raise QueryError("functions of neighbouring points can't be mixed with others")
+            extra = e.args[1] if len(e.args) > 1 else None
+            if e.name == "moving_average":
+                if not (isinstance(extra, Literal) and isinstance(extra.value, int) and extra.value > 1):
+                    raise QueryError("moving_average() needs a number of points")
+                n = extra.value
+            elif e.name in UNITS:
+                if extra is not None and not isinstance(extra, Duration):
+                    raise QueryError(f"{e.name}() needs a duration")
+                n = extra.ns if extra is not None else UNITS[e.name]
+            else:
+                n = 0
+            calls.append((e, alias or e.name, n))
+        inner = [e.args[0] for e, _, _ in calls]
+        nested = [_aggregates(e) for e in inner]
+        if any(nested):
+            if not all(nested) or not q.every_ns:
+                raise QueryError("functions of neighbouring buckets need aggregates and a time bucket")
+            base, _ = self.aggregate(df, m, dataclasses.replace(q, fields=[(e, f"__v{k}") for k, e in enumerate(inner)]), tags)
+        else:
+            base = df.select("time", *(F.col(f"`{t}`") for t in tags), *(self.value(e, m).alias(f"__v{k}") for k, e in enumerate(inner)))
+            base = base.where(functools.reduce(operator.or_, [F.col(f"__v{k}").isNotNull() for k in range(len(inner))]))
+        w = Window.partitionBy(*(tags or [F.lit(0)])).orderBy("time")
+        t = F.unix_micros(F.col("time").cast("timestamp")) * 1000
+        cols = _unique([(name, NEIGHBOURS[e.name](F.col(f"__v{k}"), t, w, n)) for k, (e, name, n) in enumerate(calls)])
+        out = base.select("time", *(F.col(f"`{c}`") for c in tags), *(c.alias(n) for n, c in cols))
+        return out.where(functools.reduce(operator.or_, [F.col(f"`{n}`").isNotNull() for n, _ in cols]))
+
     def plain_columns(self, q: Select, m: Measurement) -> list[tuple[str, Column]]:
         out: list[tuple[str, Column]] = []
         for e, alias in q.fields:
@@ -154,7 +281,7 @@ class Compiler:
         return F.window("time", f"{width} microseconds", f"{width} microseconds", f"{shift} microseconds")["start"]
 
     def aggregate(self, df: DataFrame, m: Measurement, q: Select, tags: list[str]) -> tuple[DataFrame, list[tuple[str, Column]]]:
-        nested = [e for e, _ in q.fields if isinstance(e, Call) and e.args and isinstance(e.args[0], Call) and e.args[0].name in AGGREGATES]
+        nested = [e for e, _ in q.fields if isinstance(e, Call) and e.name in AGGREGATES and e.args and isinstance(e.args[0], Call) and e.args[0].name in AGGREGATES]
         keys = [F.col(f"`{t}`") for t in tags]
         time = [self.bucket(q).alias("time")] if q.every_ns else []
         if nested:
@@ -185,7 +312,7 @@ class Compiler:
         step = F.expr(f"make_dt_interval(0, 0, 0, {us / 1e6:.6f})")
         grid = edges.where("__low <= __high").select(F.explode(F.sequence("__low", "__high", step)).alias("time"))
         if tags:
-            grid = out.select(*(f"`{t}`" for t in tags)).distinct().join(F.broadcast(grid))
+            grid = out.select(*(f"`{t}`" for t in tags)).distinct().join(grid)
         g = grid.select(F.col("time").alias("__t"), *(F.col(f"`{t}`").alias(f"__{t}") for t in tags))
         on = functools.reduce(operator.and_, [F.col("__t") == out["time"], *(F.col(f"__{t}").eqNullSafe(out[t]) for t in tags)])
         full = g.join(out, on, "left").select(F.col("__t").alias("time"), *(F.col(f"__{t}").alias(t) for t in tags), *names)
@@ -252,10 +379,14 @@ class Compiler:
         if e.name in AGGREGATES:
             if not e.args:
                 raise QueryError(f"{e.name}() needs a field")
+            if e.name == "count" and isinstance(e.args[0], Call) and e.args[0].name == "distinct" and len(e.args[0].args) == 1:
+                return F.count_distinct(self.value(e.args[0].args[0], m))
             extra = [a.value for a in e.args[1:] if isinstance(a, Literal)]
-            if (e.name == "percentile") != bool(extra):
+            if (e.name in ("percentile", "percentile_approx")) != bool(extra):
                 raise QueryError(f"wrong arguments of {e.name}()")
             return AGGREGATES[e.name](self.value(e.args[0], m), F.col("time") if "time" in m.df.columns else F.lit(0), *extra)
+        if e.name in NEIGHBOURS or e.name in ("top", "bottom", "distinct"):
+            raise QueryError(f"{e.name}() can't be part of an expression")
         if e.name in SCALARS:
             return SCALARS[e.name](*(self.value(a, m) for a in e.args))
         raise QueryError(f"unknown function {e.name}()")
@@ -325,6 +456,10 @@ def _aggregates(e) -> bool:
     return isinstance(e, Binary) and (_aggregates(e.left) or _aggregates(e.right))
 
 
+def _moves(e) -> bool:
+    return isinstance(e, Call) and e.name in NEIGHBOURS
+
+
 def _label(e) -> str:
     if isinstance(e, Call):
         return e.name

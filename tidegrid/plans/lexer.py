@@ -59,7 +59,7 @@ def tokens(text: str) -> list[Token]:
         if c in "'\"`":
             value, end = _quoted(text, i)
             out.append(Token("text" if c == "'" else "name", value, i))
-        elif c == "/" and out and out[-1].value in ("=~", "!~"):
+        elif c == "/" and out and (out[-1].value in ("=~", "!~") or (out[-1].kind == "word" and out[-1].value.lower() == "from")):
             value, end = _quoted(text, i)
             out.append(Token("regex", value, i))
         elif m := _DURATION.match(text, i):
@@ -122,14 +122,14 @@ def _scan(text: str) -> _Scan:
                 i += 1
             elif c == s.quote:
                 s.quote, last = "", c
-        elif two in ("--", "//") and not (c == "/" and last == "~"):
+        elif two in ("--", "//") and not (c == "/" and (last == "~" or text[:i].rstrip().lower().endswith("from"))):
             i = text.find("\n", i)
             if i < 0:
                 break
             continue
         elif two == "/*":
             s.comment, i = True, i + 1
-        elif c in "'\"`" or (c == "/" and last == "~"):
+        elif c in "'\"`" or (c == "/" and (last == "~" or text[:i].rstrip().lower().endswith("from"))):
             s.quote, s.ends_statement = c, False
         elif not c.isspace():
             s.depth += (c in "([{") - (c in ")]}")

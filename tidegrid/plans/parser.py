@@ -47,10 +47,11 @@ class Binary:
 
 @dataclass(frozen=True)
 class Source:
-    """A measurement by up to three names, or a subquery."""
+    """A measurement by up to three names, all whose names match a pattern, or a subquery."""
 
     names: tuple[str, ...] = ()
     query: object = None
+    pattern: str | None = None
 
 
 @dataclass
@@ -69,6 +70,7 @@ class Select:
     slimit: int | None = None
     soffset: int = 0
     tz: str | None = None
+    into: Source | None = None
 
 
 @dataclass
@@ -76,7 +78,7 @@ class Show:
     what: str
     source: Source | None = None
     database: str | None = None
-    key: str | None = None
+    keys: tuple[str, ...] = ()
 
 
 @dataclass
@@ -89,6 +91,12 @@ class Create:
     database: str
 
 
+@dataclass
+class Drop:
+    what: str
+    name: str
+
+
 _LEVELS = [("or",), ("and",), ("=", "!=", "<>", "<", "<=", ">", ">=", "=~", "!~"), ("+", "-"), ("*", "/", "%")]
 
 
@@ -137,6 +145,10 @@ class Parser:
             out = self.show()
         elif self.word("create", "database"):
             out = Create(self.name())
+        elif self.word("drop", "database"):
+            out = Drop("database", self.name())
+        elif self.word("drop", "measurement"):
+            out = Drop("measurement", self.name())
         else:
             out = self.select()
         self.mark(";")
@@ -144,7 +156,7 @@ class Parser:
         return out
 
     def show(self) -> Show:
-        names = {("databases",): "databases", ("retention", "policies"): "retention policies", ("measurements",): "measurements", ("field", "keys"): "field keys", ("tag", "keys"): "tag keys", ("tag", "values"): "tag values", ("series", "cardinality"): "series cardinality"}
+        names = {("databases",): "databases", ("retention", "policies"): "retention policies", ("measurements",): "measurements", ("field", "keys"): "field keys", ("tag", "keys"): "tag keys", ("tag", "values"): "tag values", ("series", "cardinality"): "series cardinality", ("series",): "series"}
         for words, what in names.items():
             if self.word(*words):
                 out = Show(what)
@@ -157,10 +169,18 @@ class Parser:
             elif self.word("from"):
                 out.source = self.source()
             elif self.word("with", "key"):
-                self.need(self.mark("="), "=")
-                out.key = self.name()
+                if self.word("in"):
+                    self.need(self.mark("("), "(")
+                    out.keys = (self.name(),)
+                    while self.mark(","):
+                        out.keys += (self.name(),)
+                    self.need(self.mark(")"), ")")
+                else:
+                    self.need(self.mark("="), "=")
+                    out.keys = (self.name(),)
             else:
                 self.need(False, "ON, FROM or WITH KEY")
+        self.need(out.what != "tag values" or bool(out.keys), "WITH KEY")
         return out
 
     def select(self) -> Select:
@@ -168,6 +188,9 @@ class Parser:
         q = Select([self.column()])
         while self.mark(","):
             q.fields.append(self.column())
+        if self.word("into"):
+            q.into = self.source()
+            self.need(bool(q.into.names), "a measurement")
         if self.word("from"):
             q.source = self.source()
         if self.word("where"):
@@ -205,6 +228,8 @@ class Parser:
             q = self.select()
             self.need(self.mark(")"), ")")
             return Source(query=q)
+        if self.peek() is not None and self.peek().kind == "regex":
+            return Source(pattern=str(self.take("regex")))
         names = [self.name()]
         while self.mark("."):
             if self.mark("."):

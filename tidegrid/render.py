@@ -118,16 +118,38 @@ def _plot(x: Line, width: int, height: int) -> str:
     return "\n".join([*lines, " " * left + " +" + "-" * max(8, len(x.rows))])
 
 
-def as_json(df: DataFrame, max_rows: int = MAX_ROWS) -> str:
-    rows = [r.asDict(recursive=True) for r in df.limit(max_rows).collect()]
-    return json.dumps({"columns": df.columns, "rows": rows}, indent=2, default=str, ensure_ascii=False)
-
-
-def render(df: DataFrame, fmt: str = "table", series: DataFrame | None = None, width: int | None = None, max_rows: int = MAX_ROWS, max_series: int = MAX_SERIES) -> str:
+def as_json(df: DataFrame, series: DataFrame | None = None, metadata: dict[str, object] | None = None) -> str:
+    """The whole result: columns, rows, series with their points (null if there are none) and counters. Rows are fetched part by part; a cap belongs into the query (LIMIT)."""
+    rows = [r.asDict(recursive=True) for r in df.toLocalIterator()]
+    found: dict[str, dict] = {}
+    for r in series.withColumn("label", ops_label()).toLocalIterator() if series is not None else []:
+        own = found.setdefault(r["label"], {"name": r["name"], "tags": r["tags"], "points": []})
+        own["points"].append({"time": r["time"], "value": r["value"]})
+    counters = {"rows": len(rows), "points": sum(len(s["points"]) for s in found.values()), "series": len(found)}
+    out = {"columns": df.columns, "rows": rows, "series": list(found.values()) or None, "metadata": {**(metadata or {}), **counters}}
+    return json.dumps(out, indent=2, default=str, ensure_ascii=False)
+
+
+def summary(rows: int | None, points: int = 0, series: int = 0, max_rows: int = MAX_ROWS) -> str:
+    """One line on a result; rows is None if it has no table."""
+    parts = []
+    if rows is not None:
+        parts.append(f"rows {rows} shown {max_rows}" if 0 < max_rows < rows else f"rows {rows}")
+    parts += [f"{what} {n}" for what, n in (("points", points), ("series", series)) if n > 0]
+    return ", ".join(parts)
+
+
+def result_summary(df: DataFrame | None, series: DataFrame | None = None, max_rows: int = MAX_ROWS) -> str:
+    """summary() of a result, counted in the cluster."""
+    n = series.agg(F.count("*").alias("points"), F.count_distinct(ops_label()).alias("series")).first() if series is not None else (0, 0)
+    return summary(None if df is None else df.count(), n[0], n[1], max_rows)
+
+
+def render(df: DataFrame, fmt: str = "table", series: DataFrame | None = None, width: int | None = None, max_rows: int = MAX_ROWS, max_series: int = MAX_SERIES, metadata: dict[str, object] | None = None) -> str:
     """auto: a sparkline if there are series, else a table; series formats without series fall back to the table."""
     fmt = normalize_format(fmt)
     if fmt == "json":
-        return as_json(df, max_rows)
+        return as_json(df, series, metadata)
     if fmt == "table" or series is None or (fmt == "auto" and series.isEmpty()):
         return table(df, max_rows, width)
     return chart(series, width or 80, max_series) if fmt == "chart" else sparkline(series, width or 60, max_series)

@@ -7,12 +7,16 @@ DataFrames, sorted as their listings are.
 
 from __future__ import annotations
 
+import re
 import time as clock
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import escape_key, escape_measurement
+
 #: Field types by Spark type.
 FIELD_TYPES = {"double": "float", "float": "float", "bigint": "integer", "int": "integer", "smallint": "integer", "string": "string", "boolean": "boolean"}
 
@@ -41,7 +45,7 @@ class Measurement:
 @dataclass
 class Database:
     policies: dict[str, RetentionPolicy] = field(default_factory=dict)
-    measurements: dict[tuple[str, str], Measurement] = field(default_factory=dict)
+    measurements: dict[tuple[str, str], Measurement | Callable[[], Measurement]] = field(default_factory=dict)
 
 
 class Catalog:
@@ -56,26 +60,55 @@ class Catalog:
 
     def register(self, database: str, policy: str, name: str, df: DataFrame, time: str, tags: list[str], fields: list[str]) -> Measurement:
         """df becomes a measurement: `time` is renamed, tags become strings, field types follow Spark's."""
-        cols = [F.col(time).alias("time")]
-        cols += [F.col(t).cast("string").alias(t, metadata={"role": "tag"}) for t in tags]
-        kinds = {f: FIELD_TYPES.get(df.schema[f].dataType.simpleString(), "string") for f in fields}
-        cols += [F.col(f).alias(f, metadata={"role": "field", "ftype": kinds[f]}) for f in fields]
-        m = Measurement(name, df.select(*cols), list(tags), kinds)
+        m = _measurement(name, df, time, tags, fields)
+        self._put(database, policy, name, m)
+        return m
+
+    def register_later(self, database: str, policy: str, name: str, make: Callable[[], DataFrame], time: str, tags: list[str], fields: list[str]) -> None:
+        """As register; the DataFrame is made when the measurement is first looked up."""
+        self._put(database, policy, name, lambda: _measurement(name, make(), time, tags, fields))
+
+    def _put(self, database: str, policy: str, name: str, m: Measurement | Callable[[], Measurement]) -> None:
         if database not in self.databases:
             self.create_database(database)
         self.databases[database].measurements[policy, name] = m
         self.refresh()
-        return m
+
+    def _get(self, database: str, policy: str, name: str) -> Measurement:
+        ms = self.databases[database].measurements
+        if not isinstance(ms[policy, name], Measurement):
+            ms[policy, name] = ms[policy, name]()
+        return ms[policy, name]
+
+    def drop_database(self, name: str) -> None:
+        self.databases.pop(name, None)
+        self.refresh()
+
+    def drop_measurement(self, database: str | None, name: str) -> None:
+        """From all policies of the database; the data stay where they are."""
+        db = self.databases.get(database or "")
+        if db is None:
+            raise KeyError(f"database not found: {database}")
+        for key in [k for k in db.measurements if k[1] == name]:
+            del db.measurements[key]
+        self.refresh()
+
+    def measurements(self, database: str | None, policy: str | None, pattern: str | None = None) -> list[Measurement]:
+        """Those of a scope whose names a pattern matches, by name."""
+        return [m for m in self._scope(database, policy) if pattern is None or re.search(pattern, m.name)]
+
+    def ping(self) -> bool:
+        """Whether a job runs."""
+        return self.spark.range(1).count() == 1
 
     def lookup(self, database: str | None, policy: str | None, name: str) -> Measurement:
         db = self.databases.get(database or "")
         if db is None:
             raise KeyError(f"database not found: {database}")
         policy = policy or self.default_policy(database)
-        found = db.measurements.get((policy, name))
-        if found is None:
+        if (policy, name) not in db.measurements:
             raise KeyError(f"measurement not found: {name}")
-        return found
+        return self._get(database, policy, name)
 
     def default_policy(self, database: str) -> str:
         """The default policy with a name, else the only one; otherwise an error."""
@@ -94,7 +127,7 @@ class Catalog:
         for name, db in self.databases.items():
             if database and name != database:
                 continue
-            found += [m for (rp, _), m in db.measurements.items() if not policy or rp == policy]
+            found += [self._get(name, rp, n) for rp, n in db.measurements if not policy or rp == policy]
         return sorted(found, key=lambda m: m.name.encode())
 
     def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
@@ -110,7 +143,7 @@ class Catalog:
         return self._frame(rows, schema).orderBy("database", "retention_policy")
 
     def show_measurements(self, database: str | None = None, policy: str | None = None) -> DataFrame:
-        return self._frame([(m.name,) for m in self._scope(database, policy)], "name string").distinct().orderBy("name")
+        return self._frame([(n,) for n in self.measurement_names(database, policy)], "name string").orderBy("name")
 
     def field_keys(self, database: str | None = None, policy: str | None = None, measurement: str | None = None) -> DataFrame:
         rows = [(m.name, f, k) for m in self._scope(database, policy) for f, k in m.fields.items() if measurement in (None, m.name)]
@@ -138,7 +171,7 @@ class Catalog:
         self._cache.clear()
 
     def measurement_names(self, database: str | None, policy: str | None) -> list[str]:
-        return self.cached(("measurements", database, policy), lambda: sorted({m.name for m in self._scope(database, policy)}))
+        return self.cached(("measurements", database, policy), lambda: sorted({n for d, db in self.databases.items() if not database or d == database for rp, n in db.measurements if not policy or rp == policy}, key=str.encode))
 
     def keys(self, database: str | None, policy: str | None, measurement: str | None) -> tuple[list[str], list[str]]:
         """(fields, tags) of a measurement, or of all."""
@@ -150,6 +183,35 @@ class Catalog:
         return self.cached(("keys", database, policy, measurement), make)
 
 
+def _measurement(name: str, df: DataFrame, time: str, tags: list[str], fields: list[str]) -> Measurement:
+    cols = [F.col(time).alias("time")]
+    cols += [F.col(t).cast("string").alias(t, metadata={"role": "tag"}) for t in tags]
+    kinds = {f: FIELD_TYPES.get(df.schema[f].dataType.simpleString(), "string") for f in fields}
+    cols += [F.col(f).alias(f, metadata={"role": "field", "ftype": kinds[f]}) for f in fields]
+    return Measurement(name, df.select(*cols), list(tags), kinds)
+
+
+def first_value(df: DataFrame, name: str, alias: str) -> DataFrame:
+    """df with one column `alias` in place of all columns of a name, whatever its case: the first of them that isn't null in a row; null if there is none."""
+    by_place = df.toDF(*(f"__{i}" for i in range(len(df.columns))))
+    same = [F.col(f"__{i}") for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    rest = [F.col(f"__{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() != name.lower()]
+    return by_place.select(*rest, (F.coalesce(*same) if same else F.lit(None).cast("string")).alias(alias))
+
+
+def series_keys(m: Measurement) -> DataFrame:
+    """name,tag=value,... of each distinct tag set; tags by name, null and empty ones left out."""
+    parts = [F.when(F.col(f"`{t}`") != "", F.concat(escape_key(F.lit(t)), F.lit("="), escape_key(F.col(f"`{t}`")))) for t in sorted(m.tags)]
+    return m.df.select(*(f"`{t}`" for t in m.tags)).distinct().select(F.concat_ws(",", escape_measurement(F.lit(m.name)), *parts).alias("key")) if m.tags else m.df.limit(1).select(escape_measurement(F.lit(m.name)).alias("key"))
+
+
+def tag_values(m: Measurement, key: str) -> DataFrame:
+    """key and value of a tag's distinct values."""
+    if key not in m.tags:
+        return m.df.select(F.lit(key).alias("key"), F.lit("").alias("value")).where("false")
+    return m.df.select(F.lit(key).alias("key"), F.col(f"`{key}`").alias("value")).where("value IS NOT NULL").distinct()
+
+
 def series_cardinality(m: Measurement) -> DataFrame:
     """The number of distinct tag sets."""
     return m.df.agg(F.count_distinct(F.struct(*m.tags)).alias("cardinality")) if m.tags else m.df.limit(1).agg(F.count("*").alias("cardinality"))

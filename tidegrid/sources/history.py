@@ -77,10 +77,16 @@ class Store:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """A history file as a table with ids: for files too large for one reader."""
+    """A history file as a table with ids, for files too large for one reader: entries are numbered within the parts of the file, after the sizes of the parts before."""
     raw = spark.read.schema(SCHEMA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("__at", F.monotonically_increasing_id())
     kept = raw.where("_bad IS NULL AND trim(query) <> ''")
-    return kept.select(F.row_number().over(Window.orderBy("__at")).cast("long").alias("id"), *(c.split()[0] for c in SCHEMA.split(", ")))
+    kept = kept.withColumn("__part", F.shiftright("__at", 33))
+    sizes = kept.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("__part").alias("__p"), before.alias("__before"))  # a row for each part of the file
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
+    rows = kept.withColumn("__own", own).join(starts, F.col("__part") == F.col("__p"))
+    return rows.select((F.col("__before") + F.col("__own")).cast("long").alias("id"), *(c.split()[0] for c in SCHEMA.split(", ")))
 
 
 def matching(df: DataFrame, text: str, columns: list[str]) -> DataFrame:

@@ -34,24 +34,42 @@ def _unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"\\([,= \\])", "$1")
 
 
+#: A line without escapes and quotes, whose pairs are all complete.
+PLAIN = r"^[^\\\", ]++(?:,[^\\\",= ]++=[^\\\", ]++)*+ [^\\\",= ]++=[^\\\", ]++(?:,[^\\\",= ]++=[^\\\", ]++)*+(?: -?\d++)?$"
+#: A key that comes again in the same part of a line.
+AGAIN = r"[ ,]([^,= ]++)=[^, ]*+(?:,[^,= ]++=[^, ]*+)*?,\1="
+
+
 def parse(lines: DataFrame, unit: str = "ns", column: str = "line") -> DataFrame:
-    """measurement, tags (map), fields (map of text as written) and time_ns of each line; blank lines and comments are left out, and what doesn't parse has a null measurement."""
+    """measurement, tags (map), fields (map of text as written) and time_ns of each line; blank lines and comments are left out, and what doesn't parse has a null measurement. Of a key that comes again, the last value counts.
+
+    Lines without escapes, quotes and repeated keys - one expression tells - are split; only the others are taken apart
+    by regular expressions.
+    """
     raw = F.trim(F.col(column))
     shape = r"^((?:\\.|[^\\ ])+) ((?:\\.|\"(?:\\.|[^\"\\])*\"|[^\\ \"])+)(?: (-?\d+))?$"
-    rows = lines.where((raw != "") & ~raw.startswith("#")).withColumn("__l", raw).withColumn("__head", F.regexp_extract("__l", shape, 1)).withColumn("__body", F.regexp_extract("__l", shape, 2)).withColumn("__time", F.regexp_extract("__l", shape, 3))
+    rows = lines.where((raw != "") & ~raw.startswith("#")).withColumn("__l", raw).withColumn("__plain", F.col("__l").rlike(PLAIN) & ~F.col("__l").rlike(AGAIN))
+    part = lambda k: F.when(F.col("__plain"), F.split_part("__l", F.lit(" "), F.lit(k))).otherwise(F.regexp_extract("__l", shape, k))
+    rows = rows.withColumns({"__head": part(1), "__body": part(2), "__time": part(3)})
     pair = r"((?:\\.|[^\\,= ])+)=(\"(?:\\.|[^\"\\])*\"|(?:\\.|[^\\, ])+)"
 
     def pairs(c: Column, clean_value) -> Column:
         keys = F.transform(F.regexp_extract_all(c, F.lit(pair), F.lit(1)), _unescape)
         values = F.transform(F.regexp_extract_all(c, F.lit(pair), F.lit(2)), clean_value)
-        return F.map_from_arrays(keys, values)
-
-    name = _unescape(F.regexp_extract("__head", r"^((?:\\.|[^\\,])+)", 1))
-    tags = pairs(F.regexp_extract("__head", r"^(?:\\.|[^\\,])+,(.*)$", 1), _unescape)
+        entries = F.arrays_zip(keys.alias("key"), values.alias("value"))
+        last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+        return F.map_from_entries(last)
+
+    none = F.expr("CAST(map() AS map<string,string>)")
+    comma = F.instr("__head", ",")
+    plain_tags = F.when(comma > 0, F.str_to_map(F.substr("__head", comma + 1), F.lit(","), F.lit("="))).otherwise(none)
+    name = F.when(F.col("__plain"), F.substring_index("__head", ",", 1)).otherwise(_unescape(F.regexp_extract("__head", r"^((?:\\.|[^\\,])+)", 1)))
+    tags = F.when(F.col("__plain"), plain_tags).otherwise(pairs(F.regexp_extract("__head", r"^(?:\\.|[^\\,])+,(.*)$", 1), _unescape))
+    fields = F.when(F.col("__plain"), F.str_to_map("__body", F.lit(","), F.lit("="))).otherwise(pairs(F.col("__body"), lambda v: v))
     ns = F.try_multiply(F.col("__time").try_cast("long"), F.lit(UNIT_NS[precision(unit)]).cast("long"))
     ok = (F.col("__head") != "") & F.col("__body").contains("=")
     keep = [c for c in lines.columns if c != column]
-    return rows.select(*keep, F.when(ok, name).alias("measurement"), tags.alias("tags"), pairs(F.col("__body"), lambda v: v).alias("fields"), ns.alias("time_ns"))
+    return rows.select(*keep, F.when(ok, name).alias("measurement"), tags.alias("tags"), fields.alias("fields"), ns.alias("time_ns"))
 
 
 def typed(value: Column, kind: str) -> Column:

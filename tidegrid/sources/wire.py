@@ -20,6 +20,12 @@ class WireError(RuntimeError):
     pass
 
 
+def raw_results(bodies: DataFrame) -> DataFrame:
+    """result, statement and the series as they came (VARIANT) of each body's results: for schema answers, which need no table."""
+    parsed = bodies.select(F.parse_json("body").alias("v"))
+    return bodies.sparkSession.sql("SELECT r.pos AS result, coalesce(try_variant_get(r.value, '$.statement_id', 'int'), 0) AS statement, variant_get(r.value, '$.series') AS series FROM {b} JOIN LATERAL variant_explode(variant_get(v, '$.results')) r", b=parsed)
+
+
 @dataclass
 class Response:
     table: DataFrame  # cells as text, in the order of `statement`, series and row
@@ -40,18 +46,18 @@ class Response:
 def normalize(bodies: DataFrame, precision: str = "") -> Response:
     spark = bodies.sparkSession
     parsed = bodies.select(F.monotonically_increasing_id().alias("doc"), F.parse_json("body").alias("v"))
-    parsed.createOrReplaceTempView("__wire_bodies")
     results = spark.sql(
         "SELECT doc, r.pos AS result, try_variant_get(v, '$.error', 'string') AS top, try_variant_get(r.value, '$.error', 'string') AS error, try_variant_get(r.value, '$.statement_id', 'int') AS statement, "
-        "variant_get(r.value, '$.series') AS series FROM __wire_bodies LEFT JOIN LATERAL variant_explode_outer(variant_get(v, '$.results')) r"
+        "variant_get(r.value, '$.series') AS series FROM {bodies} LEFT JOIN LATERAL variant_explode_outer(variant_get(v, '$.results')) r",
+        bodies=parsed,
     )
     failed = results.where("top IS NOT NULL OR error IS NOT NULL").orderBy("doc", "result").select(F.coalesce("top", "error").alias("e")).first()
     if failed is not None:
         raise WireError(failed["e"])
-    results.createOrReplaceTempView("__wire_results")
     series = spark.sql(
         "SELECT doc, result, coalesce(statement, 0) AS statement, s.pos AS pos, try_variant_get(s.value, '$.name', 'string') AS name, coalesce(try_variant_get(s.value, '$.tags', 'map<string,string>'), map()) AS tags, "
-        "coalesce(try_variant_get(s.value, '$.columns', 'array<string>'), array()) AS columns, try_variant_get(s.value, '$.values', 'array<variant>') AS cells FROM __wire_results JOIN LATERAL variant_explode(series) s"
+        "coalesce(try_variant_get(s.value, '$.columns', 'array<string>'), array()) AS columns, try_variant_get(s.value, '$.values', 'array<variant>') AS cells FROM {results} JOIN LATERAL variant_explode(series) s",
+        results=results,
     )
     statements = results.select("doc", "result").where("result IS NOT NULL").distinct().count()
     lists = [r["columns"] for r in series.groupBy("columns").agg(F.min(F.struct("doc", "result", "pos")).alias("at")).orderBy("at").select("columns").collect()]

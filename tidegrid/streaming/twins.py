@@ -5,11 +5,11 @@ Operators that need a whole series (downsampling) have no streaming form; they r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table as a stream of its files."""
@@ -37,14 +37,19 @@ def newest_once(df: DataFrame, time: str, late: str, key: list[str]) -> DataFram
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives for all that is there now, as a table in the shared folder: a batch that is run again replaces what it wrote before."""
+    spark = df.sparkSession
+    path = new_path(spark, "drained")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows").select(*df.columns)
 
 
 def write_batches(df: DataFrame, write, checkpoint: str):

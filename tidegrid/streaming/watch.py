@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_SECONDS, LEAST_SECONDS, MOST_SECONDS = 5, 1, 3600
 
 
+def choose(editor: str, last: str, tick: bool) -> str:
+    """The statement to run: a tick repeats the last one, or takes the editor's text if there is none; by hand it is the other way round."""
+    first, second = (last, editor) if tick else (editor, last)
+    return first.strip() or second.strip()
+
+
 class Watch:
     def __init__(self, spark: SparkSession, run: Callable[[], DataFrame], take: Callable[[DataFrame], object], seconds: float = DEFAULT_SECONDS):
         """take: makes the bounded result of a refresh, for example a limited collect."""
