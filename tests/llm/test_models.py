@@ -171,9 +171,19 @@ def test_language_odd_input(spark, docs):
 
 def test_language_scorer_takes_the_smallest_total():
     s = language_id.Scorer({"x": b"the quick brown fox " * 50, "y": b"ein schneller fuchs " * 50})
-    text = "A quick brown fox, the quick fox"
-    sizes = [sum(len(c.compress(language_id.letters(text))) for _ in (0,)) for c in s.compressors]
-    assert s.predict(text)[0] == "xy"[int(np.argmin(sizes))] == "x" and s.predict("schneller fuchs")[0] == "y"
+    for text, want in (("A quick brown fox, the quick fox, and again the quick brown fox of the fox", "x"), ("ein schneller fuchs und ein schneller fuchs, ein fuchs und kein schneller", "y")):
+        data = language_id.letters(text)
+        assert len(data) > language_id.SHORT_BYTES and s.predict(text)[0] == want == "xy"[int(np.argmin([len(c.compress(data)) for c in s.compressors]))]
+    for text, want in (("quick fox", "x"), ("schneller fuchs", "y"), ("the", "x")):
+        totals = [sum(len(c.compress(language_id.CARRIER + language_id.letters(text))) for c in own) for own in s.fine]
+        assert s.predict(text)[0] == want == "xy"[int(np.argmin(totals))]
+
+
+def test_language_of_short_texts(spark, docs):
+    """Texts under 40 characters that weren't learned from, of the larger table."""
+    more = table(spark, "/root/testdata/sf0.1", "documents").where("length(text) < 40")
+    got = language_id.identify(more.where(held_out(F.col("doc_id"))).select("text", "lang"), language_id.learn(docs)).where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(got) >= 10 and np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.6
 
 
 # Empty tables and clashing columns.

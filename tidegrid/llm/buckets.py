@@ -17,6 +17,8 @@ from .common import squeeze, unsqueeze
 
 #: Buckets up to this size are compared pair by pair.
 SMALL = 8
+#: Buckets up to this size are compared all at once where tags differ, larger ones row by row.
+SHIFTS = 64
 #: Rows compared at once.
 BLOCK = 1 << 16
 
@@ -86,13 +88,24 @@ def _tree(rest: np.ndarray, bits: list[np.ndarray], limit: int) -> Iterator[tupl
 
 def cross_pairs(keys: np.ndarray, bits: list[np.ndarray], limit: int, tags: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a bucket within `limit` bits that have different tags; keys are sorted."""
-    first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.zeros(0, np.int64)
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
-        if b - a < 2 or (tags[a:b] == tags[a]).all():
+    if len(keys) < 2:
+        return
+    first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    size = np.diff(np.concatenate([first, [len(keys)]]))
+    small = np.repeat(size <= SHIFTS, size)
+    for step in range(1, min(SHIFTS, len(keys))):
+        i = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:]))
+        if not len(i):
+            break
+        i = i[tags[i] != tags[i + step]]
+        i = i[distance(bits, i, i + step) <= limit]
+        yield i, i + step
+    for a, n in zip(first[size > SHIFTS].tolist(), size[size > SHIFTS].tolist()):
+        if (tags[a : a + n] == tags[a]).all():
             continue
-        for i in range(a, b - 1):
-            for k in range(i + 1, b, BLOCK):
-                j = np.arange(k, min(b, k + BLOCK))
+        for i in range(a, a + n - 1):
+            for k in range(i + 1, a + n, BLOCK):
+                j = np.arange(k, min(a + n, k + BLOCK))
                 j = j[tags[j] != tags[i]]
                 j = j[distance(bits, np.full(len(j), i), j) <= limit]
                 if len(j):

@@ -39,7 +39,7 @@ from .common import settle, squeeze, trim, unsqueeze
 from .simhash import connected
 
 SCALES = (1.0, 0.8, 0.64)
-RADIUS = 13
+RADIUS = 17
 GAP = 6
 BITS, TABLES, WORD_BITS = 128, 6, 21
 MAX_BITS = 20
@@ -298,7 +298,7 @@ def _matches(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     for i, j, root in buckets.forest(word, [low, high], MAX_BITS):
         keep = (root >= 0) | (image[i] != image[j])
         held.append((i[keep], j[keep], np.where(root[keep] >= 0, key[0].as_py() << 32 | root[keep], -1)))
-        if sum(len(h[0]) for h in held) > buckets.BLOCK:
+        if sum(len(h[0]) for h in held) > buckets.BLOCK or len(held) > 4096:
             yield made()
             held = []
     if held:
@@ -320,8 +320,19 @@ def _cross_matches(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     tree, image, own, place, low, high = buckets.gathered(batches, [np.int64] * 6)
     order = np.lexsort((place, image, tree))
     tree, image, own, place, low, high = (c[order] for c in (tree, image, own, place, low, high))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def made() -> pa.RecordBatch:
+        i, j = (np.concatenate(c) for c in zip(*held))
+        return _pair_rows(i, j, image, place, np.full(len(i), -1))
+
     for i, j in buckets.cross_pairs(tree, [low.view(np.uint64), high.view(np.uint64)], MAX_BITS, own):
-        yield _pair_rows(i, j, image, place, np.full(len(i), -1))
+        held.append((i, j))
+        if sum(len(h[0]) for h in held) > buckets.BLOCK or len(held) > 4096:
+            yield made()
+            held = []
+    if held:
+        yield made()
     trim()
 
 
@@ -438,7 +449,7 @@ def copies(images: DataFrame, id_column: str = "id", image_column: str = "image"
 
 # A stand-in for a media column: a picture of an embedding.
 
-CELLS, CELL = 16, 8
+CELLS, CELL = 32, 4
 _MIX = np.random.default_rng(SEED + 1).integers(0, 64, (CELLS * CELLS, 3))
 
 

@@ -385,7 +385,7 @@ def _candidates(limit: int, across: bool):
 
         for f in found:
             held.append(f if len(f) == 3 else (*f, np.full(len(f[0]), -1, np.int64)))
-            if sum(len(h[0]) for h in held) > buckets.BLOCK:
+            if sum(len(h[0]) for h in held) > buckets.BLOCK or len(held) > 4096:
                 yield made()
                 held = []
         if held:
