@@ -46,7 +46,7 @@ def test_out_of_order_and_covering_block(spark):
 
 
 def test_demo_cpu_times(spark):
-    start = int(dt.datetime(2026, 7, 5, tzinfo=dt.UTC).timestamp()) * 10**9
+    start = int(dt.datetime(2018, 11, 3, tzinfo=dt.UTC).timestamp()) * 10**9
     _, rows = make(spark, "demo-cpu", rate=2, duration_ns=SECOND, start_ns=start)
     assert [r["time_ns"] for r in rows] == [1783209600000000000, 1783209600500000000]
     assert all(abs(r["usage_user"] + r["usage_system"] + r["usage_idle"] - 100) < 1e-9 for r in rows)

@@ -98,3 +98,47 @@ def test_statement_buffer(lines, done):
     b = lexer.StatementBuffer()
     got = [b.add(x) for x in lines]
     assert got[:-1] == [None] * (len(lines) - 1) and got[-1] == done
+
+
+def test_neighbours_and_choices(run):
+    rows = lambda q: [tuple(r) for r in run(q).collect()]
+    assert {r[2] for r in rows("SELECT difference(usage) FROM short.cpu GROUP BY host")} == {20.0, 80.0, 140.0 - 60.0} | {200.0 - 80.0 - 40.0}
+    assert rows("SELECT moving_average(max(usage), 2) AS m, cumulative_sum(count(usage)) AS c FROM short.cpu WHERE host = 'b' GROUP BY time(1h)")[0][1:] == (None, 3)
+    assert [r[-1] for r in rows("SELECT top(usage, 2) FROM short.cpu GROUP BY host ORDER BY time")] == [260.0, 280.0] * 2
+    assert sorted(r[-1] for r in rows("SELECT distinct(n) FROM short.cpu")) == [0, 1, 2, 3, 4]
+    assert rows("SELECT count(distinct(n)) AS c FROM short.cpu WHERE host = 'a'") == [(4,)]
+    assert run("SELECT mean(*) FROM short.cpu").columns == ["mean_n", "mean_usage"] and run("SELECT max(mean(*)) FROM short.cpu GROUP BY time(1h)").columns == ["max_n", "max_usage"]
+    assert rows("SELECT usage / 0 AS a, n % 0 AS b FROM short.cpu LIMIT 1")[0][1:] == (None, None)
+    for bad in ("SELECT difference(usage), usage FROM short.cpu", "SELECT top(usage) FROM short.cpu", "SELECT derivative(mean(usage)) FROM short.cpu", "SELECT 1 + difference(usage) FROM short.cpu", "SELECT moving_average(usage) FROM short.cpu", "SELECT top(usage, 1), n FROM short.cpu", "SELECT elapsed(usage, 3) FROM short.cpu"):
+        with pytest.raises(lexer.QueryError):
+            run(bad)
+
+
+def test_patterns_into_series_and_drop(spark):
+    c = Catalog(spark)
+    made = []
+    for k, name in enumerate(("tide", "tidal gauge", "wind")):
+        df = spark.createDataFrame([(dt.datetime(2020, 1, 1, h), f"port {p}", float(h + k)) for h in range(3) for p in "ab"], "ts timestamp, port string, level double")
+        c.register_later("sea", "autogen", name, lambda df=df: made.append(1) or df, "ts", ["port"], ["level"])
+    c.create_database("sea", [RetentionPolicy("autogen", default=True)])
+    run = lambda q: Compiler(spark, c, "sea", "autogen").run(q)
+    assert [r["name"] for r in run("SHOW MEASUREMENTS").collect()] == ["tidal gauge", "tide", "wind"] and not made
+    assert {r["measurement"]: r["count"] for r in run("SELECT count(level) FROM /^tid/").collect()} == {"tide": 6, "tidal gauge": 6}
+    assert len(made) == 2
+    assert [r["key"] for r in run('SHOW SERIES FROM "tidal gauge"').collect()] == [f"tidal\\ gauge,port=port\\ {p}" for p in "ab"]
+    assert len(run("SHOW TAG VALUES WITH KEY = port").collect()) == 6 and run("SHOW TAG VALUES WITH KEY = none").collect() == []
+    assert run("SELECT max(level) INTO peak FROM wind GROUP BY port").first()["written"] == 2
+    assert [tuple(r) for r in run("SELECT max FROM peak GROUP BY port").select("port", "max").collect()] == [("port a", 4.0), ("port b", 4.0)]
+    run("DROP MEASUREMENT wind")
+    with pytest.raises(KeyError):
+        run("SELECT level FROM wind")
+    with pytest.raises(lexer.QueryError):
+        run("SELECT level FROM /nothing/")
+    assert c.ping()
+    run("DROP DATABASE sea")
+    assert run("SHOW DATABASES").collect() == []
+
+
+def test_sketched_quantiles(run):
+    got = run("SELECT median_approx(usage) AS m, percentile_approx(usage, 90) AS p, median(usage) AS e FROM short.cpu").first()
+    assert abs(got["m"] - got["e"]) <= 20 and got["p"] >= 240

@@ -1,6 +1,7 @@
 import datetime as dt
 import io
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -103,6 +104,8 @@ def test_cache_expires_and_clears(catalog):
         ("SELECT mean(value) FROM cpu GROUP BY h", ["host"]),
         ("sel", ["SELECT"]),
         ("SELECT value FROM cpu LI", ["LIMIT"]),
+        ("SHOW re", ["RETENTION POLICIES"]),
+        ("SELECT value FROM cpu LIMIT 1 o", ["OR", "ORDER BY"]),
     ],
 )
 def test_completion(catalog, line, want):
@@ -116,6 +119,12 @@ def test_completion_inside_select(catalog):
     assert [completion.measurement_of(x) for x in ("SELECT a FROM cpu", 'SELECT a FROM "rp"."cpu"', 'SELECT a FROM "cpu load" WHERE x', "SHOW MEASUREMENTS", "SELECT f(a FROM b")] == ["cpu", "cpu", "cpu load", "", ""]
 
 
+def test_line_editor_candidates(catalog, monkeypatch):
+    assert completion.suffixes(catalog, "SELECT value FROM c", None, "metrics", "autogen") == ["pu"]
+    monkeypatch.setattr(completion, "complete", lambda *a: time.sleep(0.5))
+    assert completion.suffixes(catalog, "SEL", seconds=0.01) == []
+
+
 # History.
 
 
@@ -191,6 +200,8 @@ def test_formats():
     assert [text.format_float(x) for x in (2.5, 100000.0, 0.00012345)] == ["2.5", "1e+05", "0.0001234"]
     assert [text.format_value(x) for x in (None, True, 1.0, 1e21, "a\n\tb ", dt.datetime(2026, 1, 2, 3, 4, 5, 600000))] == ["", "true", "1", "1000000000000000000000", "a b", "2026-01-02T03:04:05.6Z"]
     assert [text.truncate("abcdef", w) for w in (10, 5, 2)] == ["abcdef", "ab...", "ab"]
+    assert [text.truncate_cells("潮汐表格", w) for w in (8, 7, 5, 4, 3, 2, 0)] == ["潮汐表格", "潮汐...", "潮...", "....", "...", "..", ""]
+    assert text.cell_width("e\u0301x") == 2 and text.truncate_cells("e\u0301xyz", 4) == "e\u0301xyz"
     assert text.quote_identifier('a."b"') == '"a"."b"' and text.clean_identifier('"db"."rp"."m x"') == "m x"
 
 
@@ -229,6 +240,12 @@ def test_table(spark):
     assert render.table(df, 1) == "name  n\n----  -\ncpu   1\n... 1 more rows" and render.table(df.limit(0)) == "no rows"
     assert render.limited([50, 50, 4], 40) == [16, 16, 4] and render.limited([60, 3], None) == [48, 3]
     assert json.loads(render.as_json(df))["rows"][1] == {"name": "mem", "n": 2}
+    whole = json.loads(render.render(spark.range(500), "json"))
+    assert len(whole["rows"]) == 500 and whole["series"] is None and whole["metadata"]["rows"] == 500
+    with_series = json.loads(render.as_json(df, long(spark, [1.0, 2.0], tags={"host": "a"}), {"kind": "select"}))
+    assert [p["value"] for p in with_series["series"][0]["points"]] == [1.0, 2.0] and with_series["metadata"] == {"kind": "select", "rows": 2, "points": 2, "series": 1}
+    assert [render.summary(*x) for x in ((None,), (3,), (300, 5, 2), (0, 1))] == ["", "rows 3", "rows 300 shown 200, points 5, series 2", "rows 0, points 1"]
+    assert render.result_summary(df, long(spark, [1.0, 2.0])) == "rows 2, points 2, series 1"
     with pytest.raises(ValueError):
         render.normalize_format("odd")
 
@@ -262,6 +279,67 @@ def test_watch_keeps_the_last_good_result(spark):
     assert w.result >= 3
 
 
+def test_statement_of_a_watch():
+    from tidegrid.streaming.watch import choose
+
+    assert [choose(*x) for x in (("new", "last", True), ("new", "last", False), ("", "last", False), ("new", "", True))] == ["last", "new", "last", "new"]
+
+
+def test_watch_command(spark, catalog, monkeypatch):
+    out, n = [], []
+    session = Session(spark, catalog, "metrics", "autogen")
+    monkeypatch.setattr(cli.time, "sleep", n.append)
+    args = cli.parser().parse_args(["watch", "SELECT count(value) FROM cpu", "--times", "2", "--every", "1"])
+    assert cli.watch(session, args, config.resolve({}, {}, None), out.append) == 0 and len(out) == 2 and "count" in out[0] and len(n) == 1
+    args.text = "SELECT nothing FROM cpu"
+    assert cli.watch(session, args, config.resolve({}, {}, None), out.append) == 1 and out[-1].startswith("error")
+
+
+def test_lines_that_are_odd(spark):
+    """Repeated keys, escapes, quotes and broken pairs beside plain lines."""
+    given_ = ["m,a=1,a=2,b=x v=1,v=2 5", "m,a=1 v=1", "m v=1i,w=t 7", r'm\ 2,a\,b=c\=d v="x, y=z" 9', "m,a v=1", "m", "# note", " ", "m,a=1 v=x=y 3"]
+    got = {r["line"]: r for r in lineproto.parse(spark.createDataFrame([(x, x) for x in given_], "line string, own string").withColumnRenamed("own", "copy").select("line", "copy"), column="copy").collect()}
+    assert len(got) == 7
+    one = got[given_[0]]
+    assert one["tags"] == {"a": "2", "b": "x"} and one["fields"] == {"v": "2"} and one["time_ns"] == 5
+    assert got[given_[1]]["time_ns"] is None and got[given_[2]]["tags"] == {} and got[given_[2]]["fields"] == {"v": "1i", "w": "t"}
+    assert got[given_[3]]["measurement"] == "m 2" and got[given_[3]]["tags"] == {"a,b": "c=d"} and got[given_[3]]["fields"] == {"v": '"x, y=z"'}
+    assert got[given_[4]]["tags"] == {} and got["m"]["measurement"] is None and got[given_[8]]["fields"] == {"v": "x=y"}
+
+
+def test_ranks_by_slices(spark):
+    """Places of points in their series, whatever the order column is: spread, all equal, text, negative."""
+    rows_ = [(s, t, k) for s in "ab" for k, t in enumerate([5, 5, 5, -7, 100, 3, 3, 10**12, 0] * 3)]
+    df = spark.createDataFrame(rows_, "s string, t long, k int")
+    for order in (["t", "k"], ["k", "t"]):
+        got = {(r["s"], r["k"]): (r["__i"], r["__n"]) for r in series.ranks(df, ["s"], order, 7).collect()}
+        for s in "ab":
+            mine = sorted((x for x in rows_ if x[0] == s), key=lambda x: (x[1], x[2]) if order[0] == "t" else (x[2], x[1]))
+            assert [got[s, k] for _, _, k in mine] == [(i, 27) for i in range(27)]
+    named = series.ranks(df.withColumn("t", F.col("t").cast("string")), ["s"], ["t", "k"]).agg(F.max("__i"), F.min("__n")).first()
+    assert tuple(named) == (26, 27)
+
+
+def test_history_of_many_parts(spark, tmp_path):
+    lines = [json.dumps({"query": f"q{i}"}) if i % 10 else "broken" for i in range(300)]
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(lines[k * 100 : (k + 1) * 100]))
+    got = sorted((r["id"], r["query"]) for r in history.load(spark, str(tmp_path)).collect())
+    assert [i for i, _ in got] == list(range(1, 271)) and len({q for _, q in got}) == 270
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tidegrid import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: conf)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
 def test_configuration(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("default: prod\nprofiles:\n  local:\n    database: here\n  prod:\n    database: there  # note\n    max_rows: 7\n    token: secret\n    color: off\n")

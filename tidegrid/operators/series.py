@@ -110,9 +110,9 @@ def ranks(df: DataFrame, by: list[str], order: list[str], slices: int = SLICES)
     else:
         s = Window.partitionBy(*by)
         return df.withColumn("__i", F.row_number().over(s.orderBy(*order)).cast("long") - 1).withColumn("__n", F.count("*").over(s))
-    same = lambda a, b: functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"__{c}"]) for c in by], F.lit(True))
-    named = lambda g: [F.col(c).alias(f"__{c}") for c in g]
-    ends = df.groupBy(*by).agg(F.min(at).cast("double").alias("__low"), F.max(at).cast("double").alias("__high")).select(*named(by), "__low", "__high")
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"__by_{c}"]) for c in by], F.lit(True))
+    named = [F.col(c).alias(f"__by_{c}") for c in by]
+    ends = df.groupBy(*by).agg(F.min(at).cast("double").alias("__low"), F.max(at).cast("double").alias("__high")).select(*named, "__low", "__high")
     part = F.coalesce(F.least(F.lit(slices - 1), F.floor((at.cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low") + F.lit(1e-9)) * slices)), F.lit(-1)).cast("int")
     cut = df.join(ends, same(df, ends)).withColumn("__slice", part).drop(*ends.columns)
     own = Window.partitionBy(*by, "__slice")
@@ -120,9 +120,8 @@ def ranks(df: DataFrame, by: list[str], order: list[str], slices: int = SLICES)
     sizes = cut.groupBy(*by, "__slice").agg(F.count("*").alias("__size"))
     series = Window.partitionBy(*by)
     before = F.sum("__size").over(series.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*named([*by, "__slice"]), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__size").over(series).alias("__n"))
-    starts = starts.withColumnRenamed("____slice", "__s")
-    out = rows.join(starts, same(rows, starts) & (F.col("__slice") == F.col("__s")))
+    starts = sizes.select(*named, F.col("__slice").alias("__own_slice"), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__size").over(series).alias("__n"))
+    out = rows.join(starts, same(rows, starts) & (F.col("__slice") == F.col("__own_slice")))
     return out.select(*df.columns, (F.col("__before") + F.col("__i") - 1).alias("__i"), "__n")
 
 

@@ -95,7 +95,7 @@ class Catalog:
 
     def measurements(self, database: str | None, policy: str | None, pattern: str | None = None) -> list[Measurement]:
         """Those of a scope whose names a pattern matches, by name."""
-        return [m for m in self._scope(database, policy) if pattern is None or re.search(pattern, m.name)]
+        return self._scope(database, policy, lambda n: pattern is None or bool(re.search(pattern, n)))
 
     def ping(self) -> bool:
         """Whether a job runs."""
@@ -122,12 +122,12 @@ class Catalog:
             return ps[0].name
         raise LookupError(f"no default retention policy for database {database!r}")
 
-    def _scope(self, database: str | None, policy: str | None) -> list[Measurement]:
+    def _scope(self, database: str | None, policy: str | None, wanted: Callable[[str], bool] = lambda name: True) -> list[Measurement]:
         found = []
         for name, db in self.databases.items():
             if database and name != database:
                 continue
-            found += [self._get(name, rp, n) for rp, n in db.measurements if not policy or rp == policy]
+            found += [self._get(name, rp, n) for rp, n in db.measurements if (not policy or rp == policy) and wanted(n)]
         return sorted(found, key=lambda m: m.name.encode())
 
     def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
@@ -146,11 +146,11 @@ class Catalog:
         return self._frame([(n,) for n in self.measurement_names(database, policy)], "name string").orderBy("name")
 
     def field_keys(self, database: str | None = None, policy: str | None = None, measurement: str | None = None) -> DataFrame:
-        rows = [(m.name, f, k) for m in self._scope(database, policy) for f, k in m.fields.items() if measurement in (None, m.name)]
+        rows = [(m.name, f, k) for m in self._scope(database, policy, lambda n: measurement in (None, n)) for f, k in m.fields.items()]
         return self._frame(rows, "measurement string, fieldKey string, fieldType string").orderBy("measurement", "fieldKey")
 
     def tag_keys(self, database: str | None = None, policy: str | None = None, measurement: str | None = None) -> DataFrame:
-        rows = [(m.name, t) for m in self._scope(database, policy) for t in m.tags if measurement in (None, m.name)]
+        rows = [(m.name, t) for m in self._scope(database, policy, lambda n: measurement in (None, n)) for t in m.tags]
         return self._frame(rows, "measurement string, tagKey string").orderBy("measurement", "tagKey")
 
     def schema(self, database: str | None = None, policy: str | None = None, measurement: str | None = None) -> DataFrame:
@@ -177,7 +177,7 @@ class Catalog:
         """(fields, tags) of a measurement, or of all."""
 
         def make():
-            ms = [m for m in self._scope(database, policy) if measurement in (None, "", m.name)]
+            ms = self._scope(database, policy, lambda n: measurement in (None, "", n))
             return sorted({f for m in ms for f in m.fields}), sorted({t for m in ms for t in m.tags})
 
         return self.cached(("keys", database, policy, measurement), make)
