@@ -244,6 +244,39 @@ def _wire_series(spark, sf_dir):
     return wire.normalize(body).series.select("name", F.col("tags")["o_orderstatus"].alias("tag"), "time_ns", F.round("value", 6).alias("value"))
 
 
+#: A response with two statements, tags that differ, a column that hides a tag, rows short and long, a series without rows.
+_ODD_BODY = """{"results": [
+  {"statement_id": 0, "series": [{"name": "tide", "tags": {"port": "brest", "zone": "w"}, "columns": ["time", "port", "height"], "values": [["2019-03-21T12:00:00Z"], ["2019-03-21T12:10:00Z", "cell", 4.5, "more"], ["never", null, 2]]}]},
+  {"statement_id": 1, "series": [{"name": "wind", "tags": {"mast": "m"}, "columns": ["time", "gust"], "values": []}, {"name": "swell", "columns": ["time", "value"], "values": [["2019-03-21T13:00:00Z", 7], [null, 8]]}]}]}"""
+
+
+def _odd(spark: SparkSession) -> wire.Response:
+    return wire.normalize(spark.createDataFrame([(_ODD_BODY,)], "body string"))
+
+
+_query(
+    "nrm_wire_table",
+    """SELECT * FROM (VALUES ('0', 'tide', NULL, 'brest', 'w', '2019-03-21T12:00:00Z', NULL, NULL, NULL), ('0', 'tide', NULL, 'cell', 'w', '2019-03-21T12:10:00Z', '4.5', NULL, NULL), ('0', 'tide', NULL, 'brest', 'w', 'never', '2', NULL, NULL),
+    ('1', 'swell', NULL, NULL, NULL, '2019-03-21T13:00:00Z', NULL, NULL, '7'), ('1', 'swell', NULL, NULL, NULL, NULL, NULL, NULL, '8')) t(statement, measurement, mast, port, zone, time, height, gust, value)""",
+)(lambda spark, sf_dir: _odd(spark).table)
+_query("nrm_wire_points", "SELECT * FROM (VALUES ('tide.height', 'brest', 1553170200000000000, 4.5), ('swell', NULL, 1553173200000000000, 7.0)) t(name, port, time_ns, value)")(
+    lambda spark, sf_dir: _odd(spark).series.select("name", F.col("tags")["port"].alias("port"), "time_ns", F.col("value").cast("double").alias("value"))
+)
+_query("nrm_wire_counters", "SELECT 'series' AS kind, 2 AS statements, 5 AS rows, 2 AS points, 2 AS series")(lambda spark, sf_dir: (lambda r: spark.createDataFrame([(r.kind(), *(r.counters()[k] for k in ("statements", "rows", "points", "series")))], "kind string, statements int, rows int, points int, series int"))(_odd(spark)))
+
+
+@_query("nrm_wire_error", "SELECT * FROM (VALUES ('closed'), ('no such port')) t(message)")
+def _wire_error(spark, sf_dir):
+    """A response with an error, of a statement or of the whole, gives no table."""
+    said = []
+    for text_ in ('{"results": [{"series": []}, {"error": "no such port"}]}', '{"error": "closed"}'):
+        try:
+            wire.normalize(spark.createDataFrame([(text_,)], "body string"))
+        except wire.WireError as e:
+            said.append((str(e),))
+    return spark.createDataFrame(said, "message string")
+
+
 # Summaries, downsampling, chart geometry.
 
 
@@ -372,6 +405,17 @@ _query("gen_iql_cartesian", "SELECT i AS seq, 'cpu,host=server-' || (i % 4) || '
 _query("gen_iql_cycle", "SELECT i AS seq, 'load,kind=' || list_extract(['a', 'b'], CAST(i % 2 + 1 AS BIGINT)) || ' level=' || list_extract(['low', 'mid', 'high'], CAST(i % 3 + 1 AS BIGINT)) || ',step=' || (10 + i % 4) || ',n=' || (5 + i // 2) || 'i ' || (1136160000 + 60 * (i // 2)) AS line, i // 5000 AS batch FROM range(3000) t(i)")(
     lambda spark, sf_dir: iql.run(spark, _IQL_CYCLE).lines.select("seq", "line", "batch")
 )
+_query("gen_iql_rand", "SELECT true AS below, true AS letters, true AS varied, true AS repeatable")(lambda spark, sf_dir: _iql_rand(spark))
+
+
+def _iql_rand(spark):
+    """Random values keep to their ranges, differ, and are the same in every run."""
+    script = "SET Precision [s]\nSET StartDate [2006-01-02]\nINSERT\nload,kind=[a|b]\nn=[int rand(50) 0],s=[str rand(8) 0]\n2000 1m\n"
+    rows = [iql.run(spark, script).lines.select("seq", F.regexp_extract("line", r" n=(\d+)i", 1).cast("int").alias("n"), F.regexp_extract("line", r"s=\W?([a-z0-9]{8})\b", 1).alias("s")) for _ in range(2)]
+    same = rows[0].exceptAll(rows[1]).agg((F.count("*") == 0).alias("repeatable"))
+    return rows[0].agg(F.min(F.col("n").between(0, 49)).alias("below"), F.min(F.length("s") == 8).alias("letters"), ((F.count_distinct("n") > 40) & (F.count_distinct("s") > 1900)).alias("varied")).join(same)
+
+
 _query("batch_counts", "SELECT i // 750 AS batch, count(*) AS points, min(i) AS first_seq FROM range(6000) t(i) GROUP BY 1")(
     lambda spark, sf_dir: _gen(spark, "demo-cpu", batch_size=750).groupBy("batch").agg(F.count("*").alias("points"), F.min("seq").alias("first_seq"))
 )
