@@ -23,6 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 FIT_TEXT_BYTES = 65_536
 #: Cells that hashes of labelled rows are dealt into for each row wanted, rows kept in each, and rows drawn for each wanted.
 CELL_ROWS, SPARE = 16, 4
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that may be broadcast: a sample of labelled ids is checked against it.
 BROADCAST_ROWS = 500_000
 
@@ -55,8 +58,15 @@ def scratch_file():
     return tempfile.TemporaryFile(dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches have ARROW_ROWS rows at most: both sides hold whole batches, and documents may be long."""
+    if int(spark.conf.get(_BATCH)) > ARROW_ROWS:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
+
+
 def trim() -> None:
     """Give freed memory back, as Python workers live on and are used again by other stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to give back by hand

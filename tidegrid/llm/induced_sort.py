@@ -25,8 +25,8 @@ import numpy as np
 
 from .common import scratch_file, spread
 
-MEMORY = 96 << 20
-BASE = 1 << 21
+MEMORY = 64 << 20
+BASE = 3 << 19
 #: Suffixes scanned at a time.
 BATCH = 1 << 17
 #: Alphabets larger than this are scanned in runs of symbols.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FIT_TEXT_BYTES, bounded_sample, held_out
+from .common import FIT_TEXT_BYTES, bounded_sample, held_out, small_batches
 
 TEXTS_PER_LANGUAGE = 256
 DICT_BYTES = 32 * 1024
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, contents: dict[str, bytes], min_margin: float = MI
     if "text" not in keep:
         raise ValueError("a column text is needed")
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(contents)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import settle, squeeze, trim, unsqueeze
+from .common import settle, small_batches, squeeze, trim, unsqueeze
 from .simhash import connected
 
 SCALES = (1.0, 0.8, 0.64)
@@ -433,6 +433,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copies(images: DataFrame, id_column: str = "id", image_column: str = "image") -> DataFrame:
     """id and class_id (the smallest id of the class) of each row."""
+    small_batches(images.sparkSession)
     source = images.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{image_column}`").alias("image"))
     kind = source.schema["id"].dataType.simpleString()
     made = source.mapInArrow(_described(kind), f"id {kind}, {_SEEN}").withColumn("number", F.monotonically_increasing_id())

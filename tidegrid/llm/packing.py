@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import settle, trim
+from .common import settle, small_batches, trim
 
 CAPACITY = 4096
 #: Pieces of a block, on average.
@@ -138,6 +138,7 @@ _IDS: dict[str, Ids] = {}
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
+    small_batches(docs.sparkSession)
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _IDS:  # the vocabulary stays with the worker, the caches don't
             _IDS[tokenizer_path] = Ids(tokenizer_path)

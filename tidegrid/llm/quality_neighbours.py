@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample, held_out
+from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample, held_out, small_batches
 
 SAMPLE = 1500
 DIMENSIONS = 64
@@ -154,6 +154,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     keep = [c for c in docs.columns if c.lower() not in names]
     source = docs.select(*(f"`{c}`" for c in keep))
     at = keep.index("text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import FIT_TEXT_BYTES, bounded_sample
+from .common import FIT_TEXT_BYTES, bounded_sample, small_batches
 from .linear import Logistic, Rows, calibrate, folded, sigmoid, word_codes
 
 WORD_BITS, GRAM_BITS = 17, 16
@@ -156,6 +156,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     keep = [c for c in docs.columns if c.lower() not in lower]
     source = docs.select(*(f"`{c}`" for c in keep))
     at = keep.index("text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import induced_sort
-from .common import fresh, offsets_of, scratch_file, settle, spread, squeeze, trim, unsqueeze
+from .common import fresh, offsets_of, scratch_file, settle, small_batches, spread, squeeze, trim, unsqueeze
 
 LENGTH = 50
 K = 24
@@ -52,6 +52,8 @@ SHARD_BYTES = 4 << 20
 SHARDS = 4096
 #: Minimizers or digests of a shard that are compared in memory at once.
 PASS = 1 << 20
+#: Most strings of a segment.
+STARTS = 256
 #: Window starts hashed at a time.
 STEP = 1 << 20
 #: A null doc_id.
@@ -102,7 +104,11 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     doc = np.searchsorted(offsets, start, side="right") - 1
     # Steps cut segments where they happen to end; joined again, segments don't depend on the order of documents.
     first = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + count[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(start) else start
-    return start[first], np.add.reduceat(count, first) if len(first) else count, key[first], doc[first]
+    start, count, key, doc = start[first], np.add.reduceat(count, first) if len(first) else count, key[first], doc[first]
+    pieces = -(-count // STARTS)  # a run of one letter is a single segment; cut evenly, it is one distinct piece and a rest
+    k = spread(np.zeros(len(count), np.int64), pieces)
+    start, count, key, doc = (np.repeat(c, pieces) for c in (start, count, key, doc))
+    return start + k * STARTS, np.minimum(STARTS, count - k * STARTS), key, doc
 
 
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -427,6 +433,7 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, with_text:
 
     Strings are judged on the input. kept_text is what is left, without the bytes of characters that a cut broke.
     """
+    small_batches(docs.sparkSession)
     names = NAMES if with_text else NAMES[:-1]
     columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in NAMES]
     read = list(dict.fromkeys([*columns, "doc_id", "text"]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample
+from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample, small_batches
 from .linear import Logistic, Rows, folded, sigmoid, word_codes
 
 BITS = 18
@@ -87,6 +87,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
     keep = [c for c in docs.columns if c.lower() not in lower]
     source = docs.select(*(f"`{c}`" for c in keep))
     at = keep.index("text")
+    small_batches(docs.sparkSession)
     shared, categories = docs.sparkSession.sparkContext.broadcast(chain), len(chain.categories)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
