@@ -159,8 +159,18 @@ def test_large_group_of_distinct_near_copies(spark, monkeypatch):
     other = edited(rng, base, 12)
     texts = [edited(rng, base, 1) for _ in range(60)] + [edited(rng, other, 1) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["copy_of"] for r in simhash.near_copies(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
+    want = jaccard_groups(texts)
+    for block in (1024, 7):
+        monkeypatch.setattr(simhash, "BLOCK_NODES", block)
+        got = {r["doc_id"]: r["copy_of"] for r in simhash.near_copies(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_overlaps_of_sets(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(simhash, "OVERLAP_COLUMNS", 5)
+    left, right = ([np.unique(rng.integers(0, 40, n)).astype(np.uint64) for n in sizes] for sizes in ((0, 5, 30, 60), (10, 0, 60)))
+    assert simhash.overlaps(left, right).astype(int).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
 
 
 def test_one_of_each_keeps_other_texts_of_an_id(spark):

@@ -18,13 +18,15 @@ Near copies by similarity (near_copies, one_of_each) are groups of texts whose s
 Jaccard similarity of `similarity` or more (five and 0.8 by default). At 0.8 some 15 % of SimHash bits differ, so a
 wider fingerprint of six 23-bit segments is used: its keys are a codeword of each of two segments (15 pairs of segments,
 28 keys each on average), and rows that meet are candidates if their other four segments differ in no more bits than
-all but one in 200 pairs of that similarity do. Every candidate that counts is then verified on the whole texts:
+all but one in 200 pairs of that similarity do. Links are then verified on the whole texts:
 
 * distinct shingle sets are nodes; buckets of up to 8 nodes give all candidate pairs, larger ones a spanning forest of
   theirs, so copies are never expanded into all pairs;
-* of each node first the pair with the smallest partner is verified, then pairs that still lie in different groups;
-* where a pair of a forest fails, the members of its component are dealt out again, and all candidate pairs between
-  different groups are verified. So a verified pair is never lost to the forest.
+* of each node the pair with the smallest partner is verified;
+* the pairs that still lie in different groups, and whole components of forests in which there are such pairs, make
+  components that are compared all with all, in pairs of blocks of BLOCK_NODES, with the overlaps of whole shingle sets
+  as matrix products; only links that join different groups leave a task. So a pair that is alike is never lost to the
+  forest, and no more pairs than nodes are sent to be verified.
 
 A pair of similarity 0.8 exactly meets in some bucket with probability 0.96 (0.85: 0.99, 0.9: 0.998).
 
@@ -50,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import as_bytes, discard, hashable, settle, trim, word_runs
+from .common import BROADCAST_ROWS, as_bytes, discard, hashable, settle, small_batches, trim, word_runs
 
 # Bits of the segments, and the generator polynomial of the (23, 12) Golay code,
 # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -67,6 +69,8 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D
 WORDS, SIMILARITY = 5, 0.8
 SEGMENTS = 6
 PART_KEYS = 1 << 20
+#: Nodes of a block that are compared all with all, and shared shingles counted at once.
+BLOCK_NODES, OVERLAP_COLUMNS = 1024, 4096
 #: Nodes whose keys are made at once.
 NODES = 4096
 
@@ -265,6 +269,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and component_id (the smallest doc_id of the component) of each row."""
+    small_batches(docs.sparkSession)
     fps = settle(docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema), "fps")
     nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
     roots = connected(links(nodes, max(1, math.ceil(nodes.count() / KEY_ROWS))))
@@ -340,13 +345,23 @@ _PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
 def _node_keys(parts: int):
-    """Rows: node, tag, segments. Each pair of segments has parts of its own."""
+    """Rows: node, segments. Each pair of segments has parts of its own."""
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for b in it:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= NODES:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, NODES):
-                b = batch.slice(at, NODES)
-                node, tag, *segs = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+        for table in whole(it):
+            for at in range(0, table.num_rows, NODES):
+                b = table.slice(at, NODES)
+                node, *segs = (c.to_numpy().astype(np.int64) for c in b.columns)
                 near = [codewords(s) for s in segs]
                 for family, (s, t) in enumerate(_PAIRS):
                     code = (near[s][:, :, None] << 12 | near[t][:, None, :]).reshape(len(node), -1)
@@ -358,7 +373,7 @@ def _node_keys(parts: int):
                     r, code, part = r[order], code[order], part[order]
                     u, v, x, y = (segs[k] for k in range(SEGMENTS) if k not in (s, t))
                     low, high = (u | v << 23 | (x & 0x3FFFF) << 46).astype(np.uint64), (x >> 18 | y << 5).astype(np.uint32)
-                    yield buckets.cut(part, [code.astype(np.uint32), node[r], tag[r], low[r], high[r]])
+                    yield buckets.cut(part, [code.astype(np.uint32), node[r], low[r], high[r]])
 
     return batches
 
@@ -367,24 +382,22 @@ _CANDIDATES = "a long, b long, root long, part long"
 _CANDIDATE_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _CANDIDATES.split(", ")])
 
 
-def _candidates(limit: int, across: bool):
-    """Pairs of nodes of a part: a < b, and the component of a forest that they are from (-1: of a small bucket). With `across`: all pairs with different tags."""
+def _candidates(limit: int):
+    """Pairs of nodes of a part: a < b, and the component of a forest that they are from (-1: of a small bucket)."""
 
     def of_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, node, tag, low, high = buckets.gathered(batches, [np.uint32, np.int64, np.int64, np.uint64, np.uint32])
+        code, node, low, high = buckets.gathered(batches, [np.uint32, np.int64, np.uint64, np.uint32])
         order = np.lexsort((node, code))
-        code, node, tag, low, high = code[order], node[order], tag[order], low[order], high[order]
-        found = buckets.cross_pairs(code, [low, high], limit, tag) if across else buckets.forest(code, [low, high], limit)
+        code, node, low, high = code[order], node[order], low[order], high[order]
         held: list[tuple[np.ndarray, ...]] = []
 
         def made() -> pa.RecordBatch:
             i, j, root = (np.concatenate(c) for c in zip(*held))
             e = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), root], axis=1), axis=0)
-            e = e[e[:, 0] != e[:, 1]]
             return pa.RecordBatch.from_arrays([*(pa.array(e[:, k]) for k in range(3)), pa.array(np.full(len(e), key[0].as_py()))], schema=_CANDIDATE_ARROW)
 
-        for f in found:
-            held.append(f if len(f) == 3 else (*f, np.full(len(f[0]), -1, np.int64)))
+        for found in buckets.forest(code, [low, high], limit):
+            held.append(found)
             if sum(len(h[0]) for h in held) > buckets.BLOCK or len(held) > 4096:
                 yield made()
                 held = []
@@ -395,11 +408,70 @@ def _candidates(limit: int, across: bool):
     return of_part
 
 
-def _candidate_pairs(nodes: DataFrame, n: int, limit: int, across: bool) -> DataFrame:
-    """nodes: node, tag, segments; n: how many there are."""
+def _candidate_pairs(nodes: DataFrame, n: int, limit: int) -> DataFrame:
+    """nodes: node, segments; n: how many there are."""
     parts = max(1, math.ceil(n * 28.4 / PART_KEYS))
-    dealt = nodes.select("node", "tag", *(f"s{k}" for k in range(SEGMENTS))).repartition(max(1, math.ceil(n / KEY_ROWS)), "node")
-    return dealt.mapInArrow(_node_keys(parts), buckets.schema(5)).groupBy("part").applyInArrow(_candidates(limit, across), _CANDIDATES)
+    dealt = nodes.select("node", *(f"s{k}" for k in range(SEGMENTS))).repartition(max(1, math.ceil(n / KEY_ROWS)), "node")
+    return dealt.mapInArrow(_node_keys(parts), buckets.schema(4)).groupBy("part").applyInArrow(_candidates(limit), _CANDIDATES)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right): how many hashes each pair of sets shares."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    x, y = (np.concatenate([np.zeros(0, np.uint64), *sets]) for sets in (left, right))
+    both = np.intersect1d(x, y)
+    of_x, of_y = (np.repeat(np.arange(len(sets)), [len(h) for h in sets]) for sets in (left, right))
+    at_x, at_y = np.searchsorted(both, x), np.searchsorted(both, y)
+    in_x, in_y = ((at < len(both)) & (both[np.minimum(at, len(both) - 1)] == h) if len(both) else np.zeros(len(h), bool) for at, h in ((at_x, x), (at_y, y)))
+    for k in range(0, len(both), OVERLAP_COLUMNS):
+        cells = []
+        for sets, at, of, inside in ((left, at_x, of_x, in_x), (right, at_y, of_y, in_y)):
+            m = np.zeros((len(sets), min(OVERLAP_COLUMNS, len(both) - k)), np.float32)
+            some = inside & (at >= k) & (at < k + OVERLAP_COLUMNS)
+            m[of[some], at[some] - k] = 1
+            cells.append(m)
+        out += cells[0] @ cells[1].T
+    return out
+
+
+def _block_links(words: int, similarity: float):
+    """Rows: comp, low and high block, own block, node, tag, text. Links between different tags that join these, in a pair of blocks."""
+
+    def of_pair(key: tuple, table: pa.Table) -> pa.Table:
+        node, tag, own = (table.column(c).to_numpy() for c in ("node", "tag", "own"))
+        sets = [shingles(x, words) for x in as_bytes(table.column("text").combine_chunks())]
+        low, high = key[1].as_py(), key[2].as_py()
+        i, j = (np.flatnonzero(own == k) for k in (low, high))
+        size = np.array([len(h) for h in sets])
+        both = overlaps([sets[k] for k in i], [sets[k] for k in j])
+        near = (both >= similarity * (size[i][:, None] + size[j][None, :] - both)) & (tag[i][:, None] != tag[j][None, :])
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for x, y in np.argwhere(near).tolist():
+            p, q = top(int(tag[i[x]])), top(int(tag[j[y]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                links.append((int(node[i[x]]), int(node[j[y]])))
+        trim()
+        return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return of_pair
+
+
+def _joined_blocks(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """members: comp, node, tag. Links between nodes of a component that have different tags, enough to join what is linked."""
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks")).withColumnRenamed("comp", "z_comp")
+    cut = members.join(sizes, F.col("comp") == F.col("z_comp")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = pairs.select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.col("node").alias("m_node"), "tag")
+    full = rows.join(texts, F.col("m_node") == texts["node"]).select("comp", "low", "high", "own", "node", "tag", "text")
+    return settle(full.groupBy("comp", "low", "high").applyInArrow(_block_links(words, similarity), "a long, b long"), "joined")
 
 
 def _jaccard(words: int, similarity: float):
@@ -436,6 +508,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _facts(docs: DataFrame, words: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64(*hashable(docs)).alias("row_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return settle(rows.mapInArrow(_fact_batches(words), f"doc_id {kind}, {_FACTS}"), "facts")
@@ -447,30 +520,31 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     own = F.min(F.struct("doc_id", "row_hash")).alias("own")
     nodes = settle(facts.groupBy("set_high", "set_low").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(SEGMENTS)), own).withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = facts.join(nodes.select("set_high", "set_low", "node"), ["set_high", "set_low"])
-    pairs = settle(_candidate_pairs(nodes.withColumn("tag", F.lit(0).cast("long")), nodes.count(), limit, False).distinct(), "candidates")
+    pairs = settle(_candidate_pairs(nodes, nodes.count(), limit).distinct(), "candidates")
     edges = pairs.select("a", "b").distinct()
     if pairs.isEmpty():
         return rows, pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     met = edges.select(F.explode(F.array("a", "b")).alias("m_node")).distinct()
-    wanted = nodes.join(met, nodes["node"] == met["m_node"], "left_semi").select("node", F.col("own.doc_id").alias("w_id"), F.col("own.row_hash").alias("w_hash"))
+    wanted = settle(nodes.join(met, nodes["node"] == met["m_node"], "left_semi").select("node", F.col("own.doc_id").alias("w_id"), F.col("own.row_hash").alias("w_hash")), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS  # else texts are shuffled
     keyed = docs.select("doc_id", "text", F.xxhash64(*hashable(docs)).alias("row_hash"))
-    texts = settle(keyed.join(wanted, (F.col("row_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text").dropDuplicates(["node"]), "texts")
+    same = (F.col("row_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
+    texts = settle(keyed.join(F.broadcast(wanted) if few else wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
     first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, similarity)
     links = first.where("near").select("a", "b")
     roots = connected(links)
-    second = _verified(_apart(edges.join(first.select("a", "b"), ["a", "b"], "left_anti"), roots).select("a", "b"), texts, words, similarity)
-    if not second.where("near").isEmpty():
-        links = links.union(second.where("near").select("a", "b"))
-        roots = connected(links)
-    failed = first.union(second).where("NOT near").select("a", "b")
-    torn = pairs.where("root >= 0").join(failed, ["a", "b"], "left_semi").select("part", "root").distinct()
-    if not torn.isEmpty():
-        again = pairs.where("root >= 0").join(torn, ["part", "root"], "left_semi").select(F.explode(F.array("a", "b")).alias("m_node")).distinct()
-        tagged = nodes.join(again, nodes["node"] == again["m_node"], "left_semi").join(roots.withColumnRenamed("node", "t_node"), F.col("node") == F.col("t_node"), "left").withColumn("tag", F.coalesce("root", "node"))
-        rest = _candidate_pairs(tagged, again.count(), limit, True).select("a", "b").distinct().join(failed, ["a", "b"], "left_anti")
-        third = _verified(rest, texts, words, similarity)
-        if not third.where("near").isEmpty():
-            roots = connected(links.union(third.where("near").select("a", "b")))
+    named = pairs.withColumnRenamed("root", "tree")
+    apart = settle(_apart(named, roots).select("a", "b", "part", "tree"), "apart")
+    if not apart.isEmpty():
+        torn = apart.where("tree >= 0").select("part", "tree").distinct()
+        whole = named.join(torn, ["part", "tree"], "left_semi").select("a", "b").union(apart.where("tree < 0").select("a", "b")).distinct()
+        again = connected(whole)
+        own = again.select(F.col("node").alias("o_node"), F.col("root").alias("comp")).unionByName(again.select(F.col("root").alias("o_node"), F.col("root").alias("comp")).distinct())
+        tagged = own.join(roots.select(F.col("node").alias("t_node"), F.col("root").alias("t_root")), F.col("o_node") == F.col("t_node"), "left")
+        members = tagged.select("comp", F.col("o_node").alias("node"), F.coalesce("t_root", "o_node").alias("tag"))
+        third = _joined_blocks(members, texts, words, similarity)
+        if not third.isEmpty():
+            roots = connected(links.union(third))
     return rows, roots
 
 
