@@ -1,6 +1,6 @@
 import duckdb
 from pyspark.sql import functions as F
-from tidegrid.functions import text
+from tidegrid.functions import epoch, text
 from tidegrid.plans import catalogue
 from tidegrid.sources import wire
 
@@ -25,3 +25,22 @@ def test_whole_texts_are_escaped(spark):
     want = duckdb.sql(rf"""SELECT doc_id, replace(replace(replace(text, '\', '\\'), ',', '\,'), ' ', '\ '), replace(replace(replace(replace(text, '\', '\\'), ',', '\,'), ' ', '\ '), '=', '\='), '"' || replace(replace(text, '\', '\\'), '"', '\"') || '"' FROM '{SF}/documents.parquet'""").fetchall()
     key = lambda r: tuple((x is None, x) for x in r)
     assert max(len(r[1] or "") for r in want) > 1000 and sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_epochs_beyond_the_nanoseconds_of_a_long(spark, tmp_path):
+    """Hours after 2262, and halves that a double's text has an exponent for."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    far = spark.createDataFrame([(0,), (3_000_000,), (6_000_000,), (30_000_001,)], "far long")
+    e.crossJoin(far).withColumn("event_id", F.col("event_id") + F.col("far")).drop("far").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["fn_epoch_decode"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = duck.execute(catalogue.ORACLE_SQL["fn_epoch_decode"]).fetchall()
+    assert len(want) == 4 * e.count() and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_whole_epochs_to_times(spark):
+    """Down to the microsecond below, null beyond its range."""
+    n = F.col("id")
+    got = spark.createDataFrame([(-1,), (2**62,)], "id long").select(*(epoch.micros(epoch.to_time(n, u)) for u in ("ns", "u", "ms", "s", "m", "h", None))).collect()
+    assert list(map(tuple, got)) == [(-1, -1, -1000, -(10**6), -60 * 10**6, -3600 * 10**6, -1), (2**62 // 1000, 2**62, None, None, None, None, 2**62 // 1000)]

@@ -47,6 +47,14 @@ def ns_to_time(ns: Column) -> Column:
     return F.timestamp_micros(F.floor(ns / F.lit(1000).cast("decimal(20,0)")).cast("long"))
 
 
+def to_time(value: Column, unit: str | None) -> Column:
+    """Timestamp of whole epoch numbers, down to the microsecond below, also where nanoseconds exceed a long; null beyond the microseconds of one. Unknown units count as ns."""
+    ns = UNIT_NS.get(_SAME.get((unit or "").lower(), "ns"), 1)
+    if ns < UNIT_NS["u"]:
+        return ns_to_time(value.cast("long"))
+    return F.timestamp_micros(F.try_multiply(value.cast("long"), F.lit(ns // UNIT_NS["u"]).cast("long")))
+
+
 def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 

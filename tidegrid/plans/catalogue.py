@@ -330,7 +330,7 @@ _query("fn_epoch_encode", "SELECT event_id, epoch_ns(ts) AS ns, epoch_us(ts) AS
 )
 _query("fn_epoch_decode", "SELECT event_id, CAST(make_timestamp(event_id * 1000000) AS TIMESTAMP) AS s, CAST(make_timestamp(event_id * 1000) AS TIMESTAMP) AS ms, CAST(make_timestamp(event_id * 3600000000) AS TIMESTAMP) AS h, event_id * 500000000 AS half_ns FROM events")(
     lambda spark, sf_dir: _table(spark, sf_dir, "events").select(
-        "event_id", *(epoch.ns_to_time(epoch.to_ns(F.col("event_id"), u)).cast("timestamp_ntz").alias(u) for u in ("s", "ms", "h")), epoch.text_to_ns(F.concat((F.col("event_id") / 2).cast("string"), F.lit("e0")), "s").alias("half_ns")
+        "event_id", *(epoch.to_time(F.col("event_id"), u).cast("timestamp_ntz").alias(u) for u in ("s", "ms", "h")), epoch.text_to_ns(F.concat((F.col("event_id") / 2).cast("decimal(20,1)").cast("string"), F.lit("e0")), "s").alias("half_ns")
     )
 )
 _query("fn_line_protocol", "SELECT event_id, 'events,event_type=' || event_type || ',user=' || user_id || ' value=' || printf('%.3f', floor(value * 10) / 10) || ',id=' || event_id || 'i ' || epoch_us(ts) // 1000 AS line FROM events")(
