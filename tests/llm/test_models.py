@@ -237,6 +237,21 @@ def test_ids_equal_the_tokenizer(docs):
         assert np.frombuffer(ids(t), "<u4").tolist() == ids.tok.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_plain_texts_are_cut_into_pieces_at_once():
+    """Latin texts with ever other words: ids as the tokenizer gives them, and no chunk between white space is learnt; characters that compose or lower otherwise are left to the tokenizer."""
+    rng = random.Random(9)
+    ids = packing.Ids(queries.tokenizer_path())
+    plain = [chr(c) for c in [*range(1, 0x250), *range(0x2010, 0x205F), 0x20AC] if c not in range(28, 32) and not packing._ODD.search(chr(c))]
+    assert len(plain) > 500 and {*"aZ9'é€²ß \n"} <= {*plain} and not {*"İ\u0301Ω漢\x85\u2028"} & {*plain}
+    texts = [" ".join("".join(rng.choices(plain, k=rng.randint(1, 12))) for _ in range(60)) for _ in range(60)]
+    texts += [w + "'s" + v + "'LL 'Re" + w for w, v in zip(plain, plain[1:])] + [c * n for c in "aé'.²" for n in (2, 199, 250)]
+    for t, got in zip(texts, ids.of(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == ids.tok.encode(t, add_special_tokens=False).ids, t
+    assert not ids.chunks
+    mixed = ["cafe\u0301 e\u0301t\u00e9", "İI ǅ", "ΟΔΟΣ x", "a\x85b\u2028c", "x\u200by"]
+    assert [np.frombuffer(got, "<u4").tolist() for got in ids.of(mixed)] == [ids.tok.encode(t, add_special_tokens=False).ids for t in mixed]
+
+
 def test_packing_is_exact_and_tight(spark, docs):
     some = docs.select("doc_id", "text").where("doc_id < 300").unionByName(odd(spark).select("doc_id", "text"))
     got = [r.asDict() for r in packing.pack(some, queries.tokenizer_path(), block=64).collect()]

@@ -22,8 +22,10 @@ import functools
 import json
 import math
 import random
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ END_ID = 1
 #: Disorder of the groupings that populations start from: the share of a length that the order may be off by.
 DISORDER = (0.25, 0.5, 1.0, 2.0)
 #: Bytes of keys and ids that a worker's cache holds at most before it starts anew, and texts that are encoded together.
-CACHE_BYTES, TEXTS = 24 << 20, 256
+CACHE_BYTES, TEXTS = 48 << 20, 256
 #: Most tasks of an epoch.
 MOST_TASKS = 10_000
 # Characters at which str.split() cuts and the tokenizer's white space doesn't.
@@ -49,6 +51,9 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 # Marks that are neither letters, digits nor white space, and the end of the Latin letters.
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 LATIN_END = "\u0250"
+# The pattern of the tokenizer that plain texts are cut for, and its normalizer's steps.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = ["NFC", "Replace", "Lowercase"]
 
 
 def _shown_bytes() -> dict[int, str]:
@@ -61,6 +66,33 @@ def _shown_bytes() -> dict[int, str]:
 _SHOWN = _shown_bytes()
 
 
+def _plain() -> tuple[re.Pattern, re.Pattern]:
+    """(characters that plain texts don't have, PATTERN over lower-cased plain texts).
+
+    Plain texts hold ASCII, Latin letters and common marks only: no character that composes with others, or whose lower
+    case is more than one character or of another kind.
+    """
+    known = [chr(c) for c in [*range(33, 0x250), *range(0x2010, 0x205F), 0x20AC] if not 127 <= c < 161]
+    kind = {c: "L" if c.isalpha() else "N" if c.isnumeric() else "M" for c in known if not c.isspace() and unicodedata.is_normalized("NFC", c) and unicodedata.category(c)[0] != "C"}
+    kind = {c: k for c, k in kind.items() if kind.get(c.lower()) == k}
+    of = lambda k: "".join(re.escape(c) for c, own in kind.items() if own == k)
+    low = "".join(c for c in kind if kind[c] == "L" and c.lower() == c)
+    return re.compile(f"[^ \\t\\n\\x0b\\f\\r\\xa0{of('L')}{of('N')}{of('M')}]"), re.compile(f"[{low}]+|[{of('N')}]|'(?:s|t|re|ve|m|ll|d)|[{of('M')}]+")
+
+
+_ODD, _PIECE = _plain()
+
+
+class _Known(dict):
+    """Ids of pieces, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece)
+
+
 class Ids:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False).ids.
 
@@ -68,7 +100,8 @@ class Ids:
     white space; chunks that texts share are made once, by the tokenizer's own normalizer, pre-tokenizer and model, and
     kept in a cache bounded by bytes. A chunk of Latin letters, with or without a run of marks behind it, needs no
     pre-tokenizer: the letters are one piece and the marks another. `closed` is false for a tokenizer of another make:
-    whole texts are then encoded.
+    whole texts are then encoded. Plain texts (see _plain) are cut into pieces at once, if the tokenizer has PATTERN:
+    they have far fewer distinct pieces than chunks.
     """
 
     def __init__(self, path: str):
@@ -77,12 +110,16 @@ class Ids:
         spec = json.loads(self.tok.to_str())
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.closed = bool(spec["model"].get("end_of_word_suffix")) and first.get("type") == "Split" and first.get("invert", False)
+        steps, kinds = (spec["normalizer"] or {}).get("normalizers") or [], (spec["pre_tokenizer"] or {}).get("pretokenizers") or []
+        self.cuts = self.closed and first["pattern"] == {"Regex": PATTERN} and [x["type"] for x in steps] == NORMAL and [x["type"] for x in kinds[1:]] == ["ByteLevel"] and not kinds[1]["add_prefix_space"] and not kinds[1]["use_regex"]
         self.tokenize = self.tok.model.tokenize
+        self.numbers = [n.to_bytes(4, "little") for n in range(self.tok.get_vocab_size())]
         self.forget()
 
     def forget(self) -> None:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.pieces = _Known(self._piece)
         self.held = 0
 
     def _whole(self, text: str) -> bytes:
@@ -91,10 +128,19 @@ class Ids:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(word)])
+            found = self.words[word] = b"".join([self.numbers[t.id] for t in self.tokenize(word)])
             self.held += 160 + len(word) + len(found)
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        if len(piece) > 200:
+            return self._whole(piece)
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SHOWN)
+        of = self.numbers
+        found = self.pieces[piece] = b"".join([of[t.id] for t in self.tokenize(shown)])
+        self.held += 160 + len(piece) + len(found)
+        return found
+
     def _chunk(self, chunk: str, normal: str) -> bytes:
         if len(chunk) > 200:
             return self._whole(chunk)
@@ -119,14 +165,25 @@ class Ids:
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        cut = [None if t and (not self.closed or any(s in t for s in SEPARATORS) or any(s in t for s in self.special)) else (t or "").split() for t in texts]
+        cut: list[list[str] | None] = []
         if self.held > CACHE_BYTES:
             self.forget()
-        missing = set().union(*(c for c in cut if c is not None)).difference(self.chunks)
+        piece, out = self.pieces.__getitem__, []
+        for t in texts:
+            t, found = t or "", b""
+            if t and (not self.closed or any(s in t for s in SEPARATORS) or any(s in t for s in self.special)):
+                cut.append(None)
+            elif self.cuts and not _ODD.search(t):
+                cut.append([])
+                found = b"".join(map(piece, _PIECE.findall(t.lower())))
+            else:
+                cut.append(t.split())
+            out.append(found)
+        missing = set().union(*(c for c in cut if c)).difference(self.chunks)
         if missing:
             self._learn(list(missing))
         get = self.chunks.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        return [self._whole(t) if c is None else b"".join(map(get, c)) if c else known for t, c, known in zip(texts, cut, out)]
 
     def __call__(self, text: str | None) -> bytes:
         return self.of([text])[0]
