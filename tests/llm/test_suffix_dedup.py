@@ -105,6 +105,18 @@ def test_induced_order_and_prefixes(monkeypatch):
             assert n == next((k for k in range(min(len(p), len(q), cap)) if p[k] != q[k]), min(len(p), len(q), cap))
 
 
+def test_places_among_starts_and_doubled_ranks(monkeypatch):
+    """The segment of a position without a search, and the order of all suffixes of names with many equal ones."""
+    rng = np.random.default_rng(4)
+    for total, memory in ((1, 1 << 20), (63, 0), (64, 0), (5000, 0), (5000, 1 << 20)):
+        monkeypatch.setattr(induced_sort, "BATCH", int(rng.choice([1, 7, 1 << 17])))
+        starts = np.concatenate([[0], 1 + np.flatnonzero(rng.random(total - 1) < 0.1)])
+        x = rng.integers(0, total, 3000)
+        assert (suffix_dedup._places(starts, total, induced_sort.Store(memory))(x) == np.searchsorted(starts, x, side="right") - 1).all()
+    for names in (rng.integers(0, 3, 200), np.zeros(100, np.int64), np.tile([2, 0, 1], 50), np.array([5])):
+        assert induced_sort.doubled(names).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
 def test_segments_do_not_depend_on_order_or_steps(monkeypatch):
     import pyarrow as pa
     import pyarrow.parquet as pq

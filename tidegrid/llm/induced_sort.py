@@ -108,6 +108,10 @@ class Queues:
         store.free(self.pos, *([] if self.lcp is None else [self.lcp]))
 
 
+#: The greatest k with 1 << k of at most n, by n.
+_LEVEL = (np.frexp(np.arange(BATCH + 2, dtype=np.float64))[1] - 1).astype(np.int8)
+
+
 class _Least:
     """The least value passed since the last push to each symbol."""
 
@@ -116,16 +120,17 @@ class _Least:
 
     def of(self, l: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Common prefixes of pushes: item at[k] of the batch pushes to target[k]; both sorted by target, then place."""
-        table = [l]
-        while len(table[-1]) > (step := 1 << (len(table) - 1)):
-            table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+        levels = max(1, len(l).bit_length())
+        table = np.empty((levels, len(l)), np.uint8)  # row k: the least of 1 << k items from each on
+        table[0] = l
+        for k in range(1, levels):
+            step, n = 1 << (k - 1), len(l) - (1 << k) + 1
+            np.minimum(table[k - 1, :n], table[k - 1, step : step + n], out=table[k, :n])
         first = np.concatenate([[True], target[1:] != target[:-1]])
         low = np.where(first, 0, np.concatenate([[0], at[:-1] + 1]))
-        level = np.frexp((at - low + 1).astype(np.float64))[1] - 1
-        value = np.empty(len(at), np.uint8)
-        for k in np.unique(level).tolist():
-            m = level == k
-            value[m] = np.minimum(table[k][low[m]], table[k][at[m] - (1 << k) + 1])
+        level = _LEVEL[at - low + 1].astype(np.int64) if len(l) < len(_LEVEL) else np.frexp((at - low + 1).astype(np.float64))[1] - 1
+        row, flat = level * len(l), table.reshape(-1)
+        value = np.minimum(flat[row + low], flat[row + at - (1 << level) + 1])
         heads = target[first]
         value[first] = np.where(self.met[heads], np.minimum(value[first], self.run[heads]), 255)
         out = np.where(value == 255, 0, np.minimum(value.astype(np.int32) + 1, self.cap)).astype(np.uint8)
@@ -418,26 +423,27 @@ class Sorter:
 def doubled(names: np.ndarray) -> np.ndarray:
     """Order of all suffixes of a text of names, in memory; suffixes that run out are smaller."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)  # equal names get one rank, so any order among them will do
     s = names[order]
-    start = np.concatenate([[True], s[1:] != s[:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    rank[order] = np.flatnonzero(start)[np.cumsum(start) - 1]
-    h = 1
+    live, h, head = order, 0, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    rank[order] = np.repeat(head, np.diff(np.concatenate([head, [n]])))
     while True:
-        count = np.bincount(rank[:n], minlength=n)
-        live = np.flatnonzero(count[rank[:n]] > 1)
+        size = np.diff(np.concatenate([head, [len(live)]]))
+        live = live[np.repeat(size > 1, size)]
         if not len(live):
             break
+        h = h * 2 or 1
         key = rank[live] * (n + 1) + rank[np.minimum(live + h, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         live, key = live[by], key[by]
-        head = np.concatenate([[True], rank[live][1:] != rank[live][:-1]])
+        old = rank[live]
+        first = np.concatenate([[True], old[1:] != old[:-1]])
         new = np.concatenate([[True], key[1:] != key[:-1]])
         i = np.arange(len(live))
-        rank[live] = rank[live] + i[new][np.cumsum(new) - 1] - i[head][np.cumsum(head) - 1]
-        h *= 2
+        head = i[new]
+        rank[live] = old + head[np.cumsum(new) - 1] - i[first][np.cumsum(first) - 1]
     out = np.empty(n, np.int64)
     out[rank[:n]] = np.arange(n)
     return out

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -321,7 +321,8 @@ def _sorted_shard(memory: int, base: int):
             text[spread(place[a:b][mine], s[mine])] = symbols if plain else symbols.astype(np.uint16) + 1
             starts[k : k + len(mine)], owners[k : k + len(mine)] = place[a:b][mine], owner[a:b][mine]
             k += len(mine)
-        number, low = induced_sort.least_owners(text, LENGTH, lambda x: owners[np.searchsorted(starts, x, side="right") - 1], store, base)
+        place_of = _places(starts, total, store)
+        number, low = induced_sort.least_owners(text, LENGTH, lambda x: owners[place_of(x)], store, base)
         for g, a, b, keys in zip(groups, first, first[1:], spools["keys"]):
             count = size[a:b].astype(np.int64) - LENGTH + 1
             at, value, done = [], [], 0
@@ -340,6 +341,27 @@ def _sorted_shard(memory: int, base: int):
     return of_shard
 
 
+def _places(starts: np.ndarray, total: int, store: induced_sort.Store) -> Callable[[np.ndarray], np.ndarray]:
+    """The number of the last of the (distinct, sorted) starts that isn't behind a position, by a bit for each position and counts of them by word."""
+    bits, before = store.array((total >> 6) + 1, np.uint64), store.array((total >> 6) + 1, np.int64)
+    for a, b in induced_sort.batches(len(starts)):
+        x = np.array(starts[a:b])
+        word = x >> 6
+        head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        bits[word[head]] |= np.bitwise_or.reduceat(np.uint64(1) << (x & 63).astype(np.uint64), head)
+    done = 0
+    for a, b in induced_sort.batches(len(bits)):
+        sums = done + np.cumsum(np.bitwise_count(bits[a:b]), dtype=np.int64)
+        before[a:b] = sums - np.bitwise_count(bits[a:b])
+        done = int(sums[-1])
+
+    def of(x: np.ndarray) -> np.ndarray:
+        word = x >> 6
+        return before[word] + np.bitwise_count(bits[word] << (63 - (x & 63)).astype(np.uint64)) - 1
+
+    return of
+
+
 def _representatives(digest: np.ndarray, owner: np.ndarray, store: induced_sort.Store) -> np.ndarray:
     """For each segment the first one with its digest, whose owner becomes the least of theirs. Digests are compared in passes over ranges of them."""
     n = len(owner)
