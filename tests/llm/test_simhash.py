@@ -198,3 +198,36 @@ def test_pairs_at_the_limit_meet():
                 met += 1
                 break
     assert met >= 0.9 * 300
+
+
+def test_components_by_stars_in_tasks(spark, monkeypatch):
+    """A dense group, chains and pairs: the same components whether one task joins the edges, or tasks thin them out, or rounds follow; one task needs few jobs."""
+    rng = random.Random(8)
+    dense = [(a, b) for a, b in ((rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(6000))]
+    chain = [(5000 + k, 5001 + k) for k in range(200)]
+    pairs = [(9001 + 2 * k, 9000 + 2 * k) for k in range(200)]
+    edges = spark.createDataFrame([*dense, *chain, *pairs], "a long, b long").repartition(7).localCheckpoint()
+    want = {k: 5000 for k in range(5001, 5201)} | {9001 + 2 * k: 9000 + 2 * k for k in range(200)} | {k: min(min(p) for p in dense) for p in dense for k in p}
+    want = {k: v for k, v in want.items() if k != v}
+    sc = spark.sparkContext
+    for most in (1 << 17, 1000, 100):
+        monkeypatch.setattr(simhash, "STAR_EDGES", most, raising=False)
+        sc.setJobGroup(f"stars {most}", "")
+        found = simhash.connected(edges)
+        sc.setJobGroup("other", "")
+        assert {r["node"]: r["root"] for r in found.collect()} == want
+        assert most < 1 << 17 or len(sc.statusTracker().getJobIdsForGroup(f"stars {most}")) <= 6
+    assert simhash.connected(edges.where("a < 0")).collect() == []
+
+
+def test_torn_trees_of_a_part_become_stars():
+    """Many trees over the same nodes leave a part as one edge a node; trees that join what is alike, and such pairs, stay out."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(k, 100 + (rng.randrange(k - 100) if k > 100 else 0), 1000 + t, k, 100) for t in range(50) for k in range(101, 200)]
+    rows += [(301, 300, 7, 300, 300), (302, 301, 7, 300, 300), (401, 400, -1, 400, 400), (501, 500, -1, 501, 500)]
+    a, b, root, x, y = zip(*rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, root, x, y)], simhash._ENDS)
+    got = sorted(tuple(r.values()) for out in simhash._torn((pa.scalar(0),), iter([batch.slice(0, 1000), batch.slice(1000)])) for r in out.to_pylist())
+    assert got == [*((k, 100) for k in range(101, 200)), (501, 500)]

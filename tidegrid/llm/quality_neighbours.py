@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample, held_out, small_batches
+from .common import FIT_TEXT_BYTES, as_bytes, bounded_sample, held_out, small_batches, trim
 
 SAMPLE = 1500
 DIMENSIONS = 64
@@ -130,7 +130,10 @@ def fit_model(texts: list[bytes], labels: np.ndarray) -> Model:
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     counts = np.stack([terms(t) for t in texts])
     idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    a = _weigh(counts, idf)
+    a = np.empty_like(counts)
+    for at in range(0, len(a), BLOCK):  # on the driver, so in blocks
+        a[at : at + BLOCK] = _weigh(counts[at : at + BLOCK], idf)
+    del counts
     d = min(DIMENSIONS, len(texts))
     q = np.random.default_rng(SEED).standard_normal((TERMS, d + 8)).astype(np.float32)
     for _ in range(6):
@@ -145,7 +148,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_bytes: i
     """labels: doc_id and quality (0 or 1). Held-out rows are not learned from, nor texts over max_bytes."""
     known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
     rows = bounded_sample(known, docs, ["quality"], sample, max_bytes=max_bytes)
-    return fit_model([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], float))
+    model = fit_model([(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], float))
+    del rows
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,8 +11,9 @@ two has at most one - or each segment has exactly one, and then one half of the
 
 So every pair within 3 bits shares a key, and no bucket is cut short. Distinct fingerprints (never documents) are dealt
 by key; within a bucket all members are compared, in blocks, and only the edges of a spanning forest leave the task.
-Components are then found over fingerprints by alternating large-star and small-star steps, each written to the shared
-folder, and given back to documents.
+Components are then found over fingerprints: tasks put stars in place of their edges, and what is still too much for one
+task goes through alternating large-star and small-star steps, each written to the shared folder. They are given back to
+documents.
 
 Near copies by similarity (near_copies, one_of_each) are groups of texts whose sets of `words`-word shingles have a
 Jaccard similarity of `similarity` or more (five and 0.8 by default). At 0.8 some 15 % of SimHash bits differ, so a
@@ -73,6 +74,8 @@ PART_KEYS = 1 << 20
 BLOCK_NODES, OVERLAP_COLUMNS = 1024, 4096
 #: Nodes whose keys are made at once.
 NODES = 4096
+#: Edges that one task joins.
+STAR_EDGES = 1 << 17
 
 
 def fingerprint(data: bytes, words_per_shingle: int = 3) -> int:
@@ -247,9 +250,49 @@ def links(distinct_fps: DataFrame, tasks: int = 0) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_edge_batches, "a long, b long").distinct()
 
 
+def _star_edges(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """(node, least node of its component among these edges) of each node that isn't the least."""
+    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    root = list(range(len(nodes)))
+    for x, y in zip(at[: len(left)].tolist(), at[len(left) :].tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    top = np.array(root, np.int64)
+    while (top != (up := top[top])).any():
+        top = up
+    other = np.flatnonzero(top != np.arange(len(top)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[top[other]])], ["a", "b"])
+
+
+def _stars(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of the edges of a task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
+    if held:
+        yield _star_edges(*(np.concatenate(c) for c in zip(*held)))
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of an edge reaches, by alternating large-star and small-star steps."""
+    """(node, root): the smallest node that each node of an edge reaches, where that is another.
+
+    Tasks put stars in place of STAR_EDGES edges each, as long as that halves them; what fits one task is then joined
+    there, more by alternating large-star and small-star steps.
+    """
     now = settle(edges.select("a", "b").where("a <> b"), "edges")
+    n = now.count()
+    while n > STAR_EDGES:
+        before, most = now, n // 2
+        now = settle(before.repartition(math.ceil(n / STAR_EDGES)).mapInArrow(_stars, "a long, b long").distinct(), "edges")
+        discard(before)
+        n = now.count()
+        if n > most:
+            break
+    if n <= STAR_EDGES:
+        out = settle(now.coalesce(1).mapInArrow(_stars, "a long, b long"), "roots")
+        discard(now)
+        return out.select(F.col("a").alias("node"), F.col("b").alias("root"))
     was = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -500,11 +543,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return settle(met.mapInArrow(_jaccard(words, similarity), "a long, b long, near boolean"), "verified")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose nodes have different roots (a node without one is its own), with these roots."""
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs with the roots of their nodes (a node without one is its own)."""
     x, y = (roots.select(F.col("node").alias(f"{n}_node"), F.col("root").alias(f"{n}_root")) for n in "xy")
     met = pairs.join(x, pairs["a"] == x["x_node"], "left").join(y, pairs["b"] == y["y_node"], "left")
-    return met.withColumn("x_root", F.coalesce("x_root", "a")).withColumn("y_root", F.coalesce("y_root", "b")).where("x_root <> y_root").drop("x_node", "y_node")
+    return met.withColumn("x_root", F.coalesce("x_root", "a")).withColumn("y_root", F.coalesce("y_root", "b")).drop("x_node", "y_node")
+
+
+_ENDS = ["a", "b", "root", "x_root", "y_root"]
+
+
+def _torn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a part: _ENDS. Stars in place of the trees that join what isn't alike, and of the pairs outside trees that do."""
+    held = [[b.column(b.schema.get_field_index(c)).to_numpy() for c in _ENDS] for b in batches]
+    a, b, tree, x, y = (np.concatenate(c) for c in zip(*held))
+    apart = x != y
+    keep = np.where(tree < 0, apart, np.isin(tree, np.unique(tree[apart])))
+    if keep.any():
+        yield _star_edges(a[keep], b[keep])
+    trim()
 
 
 def _facts(docs: DataFrame, words: int) -> DataFrame:
@@ -533,11 +590,9 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, similarity)
     links = first.where("near").select("a", "b")
     roots = connected(links)
-    named = pairs.withColumnRenamed("root", "tree")
-    apart = settle(_apart(named, roots).select("a", "b", "part", "tree"), "apart")
-    if not apart.isEmpty():
-        torn = apart.where("tree >= 0").select("part", "tree").distinct()
-        whole = named.join(torn, ["part", "tree"], "left_semi").select("a", "b").union(apart.where("tree < 0").select("a", "b")).distinct()
+    ends = _rooted(pairs, roots).where("root >= 0 OR x_root <> y_root").select("part", *_ENDS)
+    whole = settle(ends.groupBy("part").applyInArrow(_torn, "a long, b long"), "torn")
+    if not whole.isEmpty():
         again = connected(whole)
         own = again.select(F.col("node").alias("o_node"), F.col("root").alias("comp")).unionByName(again.select(F.col("root").alias("o_node"), F.col("root").alias("comp")).distinct())
         tagged = own.join(roots.select(F.col("node").alias("t_node"), F.col("root").alias("t_root")), F.col("o_node") == F.col("t_node"), "left")
