@@ -225,9 +225,14 @@ def test_torn_trees_of_a_part_become_stars():
     import pyarrow as pa
 
     rng = random.Random(2)
-    rows = [(k, 100 + (rng.randrange(k - 100) if k > 100 else 0), 1000 + t, k, 100) for t in range(50) for k in range(101, 200)]
+    rows = [(k, p := 100 + rng.randrange(k - 100), 1000 + t, k, p) for t in range(50) for k in range(101, 200)]
     rows += [(301, 300, 7, 300, 300), (302, 301, 7, 300, 300), (401, 400, -1, 400, 400), (501, 500, -1, 501, 500)]
     a, b, root, x, y = zip(*rows)
-    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, root, x, y)], simhash._ENDS)
-    got = sorted(tuple(r.values()) for out in simhash._torn((pa.scalar(0),), iter([batch.slice(0, 1000), batch.slice(1000)])) for r in out.to_pylist())
-    assert got == [*((k, 100) for k in range(101, 200)), (501, 500)]
+    pairs = pa.table({"a": a, "b": b, "root": root})
+    top = dict(zip(a, x)) | dict(zip(b, y))
+    assert all(top[p] == u and top[q] == v for p, q, u, v in zip(a, b, x, y))
+    nodes = sorted(top, key=lambda k: k % 7)
+    got = simhash._torn((pa.scalar(0),), pairs, pa.table({"node": nodes, "top": [top[k] for k in nodes]})).to_pylist()
+    assert sorted(tuple(r.values()) for r in got) == [*((k, 100) for k in range(101, 200)), (501, 500)]
+    own = [r for out in simhash._members((pa.scalar(3),), iter(pairs.to_batches(max_chunksize=100))) for r in out.to_pylist()]
+    assert own == [{"part": 3, "node": k} for k in sorted(top)]

@@ -543,25 +543,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return settle(met.mapInArrow(_jaccard(words, similarity), "a long, b long, near boolean"), "verified")
 
 
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs with the roots of their nodes (a node without one is its own)."""
-    x, y = (roots.select(F.col("node").alias(f"{n}_node"), F.col("root").alias(f"{n}_root")) for n in "xy")
-    met = pairs.join(x, pairs["a"] == x["x_node"], "left").join(y, pairs["b"] == y["y_node"], "left")
-    return met.withColumn("x_root", F.coalesce("x_root", "a")).withColumn("y_root", F.coalesce("y_root", "b")).drop("x_node", "y_node")
-
-
-_ENDS = ["a", "b", "root", "x_root", "y_root"]
-
-
-def _torn(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part: _ENDS. Stars in place of the trees that join what isn't alike, and of the pairs outside trees that do."""
-    held = [[b.column(b.schema.get_field_index(c)).to_numpy() for c in _ENDS] for b in batches]
-    a, b, tree, x, y = (np.concatenate(c) for c in zip(*held))
+def _members(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct nodes of a part's pairs."""
+    node = np.unique(np.concatenate([b.column(b.schema.get_field_index(c)).to_numpy() for b in batches for c in "ab"]))
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key[0].as_py())), pa.array(node)], ["part", "node"])
+
+
+def _torn(key: tuple, pairs: pa.Table, tops: pa.Table) -> pa.Table:
+    """A part's pairs and the roots of its nodes. Stars in place of the trees that join what isn't alike, and of the pairs outside trees that do."""
+    a, b, tree = (pairs.column(c).to_numpy() for c in ("a", "b", "root"))
+    node, top = (tops.column(c).to_numpy() for c in ("node", "top"))
+    order = np.argsort(node)
+    x, y = (top[order[np.searchsorted(node, ends, sorter=order)]] for ends in (a, b))
     apart = x != y
     keep = np.where(tree < 0, apart, np.isin(tree, np.unique(tree[apart])))
-    if keep.any():
-        yield _star_edges(a[keep], b[keep])
+    out = pa.Table.from_batches([_star_edges(a[keep], b[keep])])
     trim()
+    return out
 
 
 def _facts(docs: DataFrame, words: int) -> DataFrame:
@@ -590,8 +588,9 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     first = _verified(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, similarity)
     links = first.where("near").select("a", "b")
     roots = connected(links)
-    ends = _rooted(pairs, roots).where("root >= 0 OR x_root <> y_root").select("part", *_ENDS)
-    whole = settle(ends.groupBy("part").applyInArrow(_torn, "a long, b long"), "torn")
+    named = pairs.groupBy("part").applyInArrow(_members, "part long, node long")
+    tops = named.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("part", "node", F.coalesce("root", "node").alias("top"))
+    whole = settle(pairs.groupBy("part").cogroup(tops.groupBy("part")).applyInArrow(_torn, "a long, b long"), "torn")
     if not whole.isEmpty():
         again = connected(whole)
         own = again.select(F.col("node").alias("o_node"), F.col("root").alias("comp")).unionByName(again.select(F.col("root").alias("o_node"), F.col("root").alias("comp")).distinct())
