@@ -426,26 +426,47 @@ _CANDIDATE_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _CANDIDATES.sp
 
 
 def _candidates(limit: int):
-    """Pairs of nodes of a part: a < b, and the component of a forest that they are from (-1: of a small bucket)."""
+    """Pairs of nodes of a part: a < b, and the component of the part's forest that they are from (-1: of a small bucket).
+
+    Trees of buckets that share nodes are one tree of the part, so that a group costs an edge a node, in however many buckets it meets.
+    """
 
     def of_part(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, node, low, high = buckets.gathered(batches, [np.uint32, np.int64, np.uint64, np.uint32])
         order = np.lexsort((node, code))
         code, node, low, high = code[order], node[order], low[order], high[order]
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        root: dict[int, int] = {}
+        tree: list[tuple[int, int]] = []
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
 
-        def made() -> pa.RecordBatch:
-            i, j, root = (np.concatenate(c) for c in zip(*held))
-            e = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), root], axis=1), axis=0)
+        def made(e: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*(pa.array(e[:, k]) for k in range(3)), pa.array(np.full(len(e), key[0].as_py()))], schema=_CANDIDATE_ARROW)
 
-        for found in buckets.forest(code, [low, high], limit):
-            held.append(found)
-            if sum(len(h[0]) for h in held) > buckets.BLOCK or len(held) > 4096:
-                yield made()
+        def small() -> pa.RecordBatch:
+            i, j = (np.concatenate(c) for c in zip(*held))
+            return made(np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.full(len(i), -1)], axis=1), axis=0))
+
+        for i, j, own in buckets.forest(code, [low, high], limit):
+            if len(own) and own[0] >= 0:
+                for x, y in zip(node[i].tolist(), node[j].tolist()):
+                    p, q = top(x), top(y)
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        tree.append((min(x, y), max(x, y)))
+                continue
+            held.append((i, j))
+            if sum(len(h[0]) for h in held) > buckets.BLOCK:
+                yield small()
                 held = []
         if held:
-            yield made()
+            yield small()
+        for k in range(0, len(tree), buckets.BLOCK):
+            yield made(np.array([(x, y, top(x)) for x, y in tree[k : k + buckets.BLOCK]], np.int64))
         trim()
 
     return of_part
